@@ -1,0 +1,4 @@
+"""Queries over the driver's tables, and the SQL that gives the same rows."""
+
+QUERIES = {}
+ORACLES = {}
