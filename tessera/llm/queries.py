@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash_dedup, token_counts
+from . import decontaminate, fingerprints, kd_shards, language_id, license_scan, mixing, simhash_dedup, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -32,5 +32,49 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_dedup, op3_decontaminate, op5_token_counts)}
-ORACLES: dict[str, str] = {}
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    placed = kd_shards.kd_shards(documents, shards=8)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    return placed.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned, names = mixing.plan_mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return planned.select("doc_id", *[F.col(names[c]).alias(c) for c in ("size", "source_size", "target", "taken")])
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id").drop("spans")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents").select("text", "lang"))
+    return found.withColumnRenamed("id", "page_id").withColumn("probability", F.round("probability", 6))
+
+
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", fingerprints.hex_of(F.col("bits")).alias("fingerprint"), fingerprints.hex_of(F.col("edited_bits")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), fingerprints.likeness(F.col("bits"), F.col("next_bits")).alias("near_next"),
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = toxicity.score_documents(documents, table(spark, sf_dir, "labels"))
+    return documents.select("doc_id", (~toxicity.learns(F.col("doc_id"))).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash_dedup, op2_url_filter, op3_decontaminate, op4_kd_shards, op5_token_counts, op6_mixing, op7_license_scan, op8_language_id, op9_fingerprints, op10_toxicity)
+}
+
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
