@@ -1,0 +1,74 @@
+"""Blocks against rules: glossary terms and recurring recognition errors.
+
+Rules are few and come as a literal list, each with patterns compiled once; a block meets them all in
+one projection.  For rules in a table there is the join, see :func:`rules_table`.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions.text import joined, term_pattern
+from tessera.operators.blocks import in_range
+
+
+@dataclass(frozen=True)
+class Rule:
+    cell: str
+    sources: tuple[str, ...]
+    targets: tuple[str, ...]
+
+
+def fetch(table: DataFrame) -> list[Rule]:
+    """Rules from (line_no, cell, sources, targets), in file order; a glossary is one file's tables."""
+    return [Rule(r["cell"], tuple(r["sources"]), tuple(r["targets"])) for r in table.orderBy("line_no").collect()]
+
+
+def _each(rules: list[Rule], make) -> F.Column:
+    return F.array_compact(F.array(*[make(n, r) for n, r in enumerate(rules)]))
+
+
+def glossary_violations(both: DataFrame, rules: list[Rule], start: int = 0, end: int = 0) -> DataFrame:
+    """(pair, pos, id, rule_no, cell, hit, wanted, src, dst): a source term stands in the source, none of its targets in the target."""
+    rows = both.where(in_range(start, end)).select("pair", "pos", F.col("s.idx").alias("id"), joined(F.col("s.lines")).alias("src"), joined(F.col("d.lines")).alias("dst"))
+    if not rules:
+        return rows.where("false").select("pair", "pos", "id", F.lit(0).alias("rule_no"), F.lit("").alias("cell"), F.lit("").alias("hit"), F.lit("").alias("wanted"), "src", "dst")
+
+    def make(n, rule):
+        source, target = term_pattern(rule.sources), term_pattern(rule.targets)
+        found = F.struct(F.lit(n).alias("rule_no"), F.lit(rule.cell).alias("cell"), F.regexp_extract("src", source, 0).alias("hit"), F.lit(" / ".join(rule.targets)).alias("wanted"))
+        return F.when(F.col("src").rlike(source) & ~F.col("dst").rlike(target), found)
+
+    return rows.select("pair", "pos", "id", "src", "dst", F.inline(_each(rules, make)))
+
+
+def violation_counts(violations: DataFrame) -> DataFrame:
+    """(cell, n, first): violations of each term; ``first`` orders terms of the same count."""
+    return violations.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("pair", "pos", "rule_no")).alias("first"))
+
+
+def asr_hits(blocks: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
+    """(keys, pos, idx, rule_no, hit, wanted, text): a wrong spelling is left when the right ones are blanked."""
+    rows = blocks.select(*keys, "pos", "idx", joined(F.col("lines")).alias("text"))
+    if not rules:
+        return rows.where("false").select(*keys, "pos", "idx", F.lit(0).alias("rule_no"), F.lit("").alias("hit"), F.lit("").alias("wanted"), "text")
+
+    def make(n, rule):
+        wrong, blanked = term_pattern(rule.sources), F.regexp_replace("text", term_pattern(rule.targets), "\0")
+        found = F.struct(F.lit(n).alias("rule_no"), F.regexp_extract(blanked, wrong, 0).alias("hit"), F.lit(" / ".join(rule.targets)).alias("wanted"))
+        return F.when(blanked.rlike(wrong), found)
+
+    return rows.select(*keys, "pos", "idx", "text", F.inline(_each(rules, make)))
+
+
+def rules_table(both: DataFrame, rules: DataFrame) -> DataFrame:
+    """:func:`glossary_violations` for many rules: a join with (rule_no, cell, source_re, target_re).
+
+    The rules are the smaller side of a nested-loop join; each block is read once per rule either way.
+    """
+    rows = both.select("pair", "pos", F.col("s.idx").alias("id"), joined(F.col("s.lines")).alias("src"), joined(F.col("d.lines")).alias("dst"))
+    hit = F.regexp_like("src", F.col("source_re")) & ~F.regexp_like("dst", F.col("target_re"))
+    return rows.join(rules, hit).select("pair", "pos", "id", "rule_no", "cell", F.expr("regexp_extract(src, source_re, 0)").alias("hit"), "src", "dst")
