@@ -83,11 +83,11 @@ def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
         raise ValueError(f"{blocks} tables find at most {blocks - 1} differing bits")
     half = lambda i: F.shiftrightunsigned(F.col("bits")[i // 2], 32 * (i % 2)).bitwiseAND(0xFFFFFFFF)
     quarter = lambda i: F.shiftrightunsigned(F.col("bits")[i // 4], 16 * (i % 4)).bitwiseAND(0xFFFF)
-    rest = F.array(*[F.array(*[F.struct(F.lit(j).alias("more"), quarter(j).alias("also")) for j in range(2 * blocks) if j // 2 != i]) for i in range(blocks)])
+    rest = F.array(*[F.array(*[F.named_struct(F.lit("more"), F.lit(j), F.lit("also"), quarter(j)) for j in range(2 * blocks) if j // 2 != i]) for i in range(blocks)])
     tables = prints.select("bits", rest.alias("rest"), F.posexplode(F.array(*[half(i) for i in range(blocks)])).alias("block", "value"))
     counts = written(tables.groupBy("block", "value").count().where(F.col("count") > 1), "block-values")
     shared = tables.join(counts, ["block", "value"])
-    nothing = F.array(F.struct(F.lit(-1).alias("more"), F.lit(0).cast("long").alias("also")))
+    nothing = F.array(F.named_struct(F.lit("more"), F.lit(-1), F.lit("also"), F.lit(0).cast("long")))
     keyed = shared.select("bits", "block", "value", F.inline(F.when(F.col("count") > CROWD, F.col("rest")[F.col("block")]).otherwise(nothing)))
     left = keyed.withColumnRenamed("bits", "a")
     right = keyed.withColumnRenamed("bits", "b")

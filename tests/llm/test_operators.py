@@ -1,0 +1,472 @@
+"""Each corpus operator against brute force on small tables with nulls, ties, repeats and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, fingerprints, kd_shards, language_id, license_scan, mixing, simhash_dedup, token_counts, toxicity, url_filter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `_size` string, `_low` int"
+WORDS = "red green blue lake stone river cloud night seven paper window garden silver copper candle".split()
+
+
+def text_of(rng, n):
+    return " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    out = [(i, text_of(rng, rng.randrange(1, 80)), rng.choice(["en", "de", None]), rng.choice(["a", "b", "hot", "hot", None]), 1, "x", 2) for i in range(60)]
+    out += [(100 + i, out[0][1], "en", "hot", 1, "x", 2) for i in range(30)]  # exact copies
+    out += [(None, "two words", "en", "a", 1, None, None), (None, None, None, None, None, None, None), (201, "", "en", "a", 0, "x", 2), (202, " \t\n", "en", "a", 3, "x", 2)]
+    out += [(203, "é " * 30000 + "日本 🙂 end", "fr", "b", 1, "x", 2), (204, "CC BY all rights reserved", "en", "b", 1, "x", 2)]
+    out += [out[3], out[3]]  # repeated rows
+    return out
+
+
+@pytest.fixture(scope="module")
+def documents(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5)
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def lower(t):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), t)
+
+
+# ---- 1
+
+
+def brute_components(prints, ids, radius):
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(prints)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= radius:
+                root[find(i)] = find(j)
+    low = {}
+    for i, d in enumerate(ids):
+        if d is not None:
+            low[find(i)] = min(d, low.get(find(i), d))
+    return [low.get(find(i)) for i in range(len(ids))]
+
+
+def brute_print(text):
+    import xxhash
+
+    w = re.findall(rb"[^\x20\x09-\x0D]+", lower(text or "").encode())
+    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [b" ".join(w)] * bool(w)
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_simhash_fingerprints_and_components(documents, rows):
+    found = simhash_dedup.near_duplicates(documents).select("id", simhash_dedup.hex_of(F.col("bits")).alias("f"), "component_id").collect()
+    prints, ids = [brute_print(r[1]) for r in rows], [r[0] for r in rows]
+    want = sorted(zip(ids, [f"{p:016x}" for p in prints], brute_components(prints, ids, 3), strict=True), key=repr)
+    assert sorted(map(tuple, found), key=repr) == want
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_links_connect_what_all_pairs_connect(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", block)
+    rng = random.Random(block)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    prints = set(base)
+    for b in base[:12]:
+        for _ in range(25):
+            p = b
+            for _ in range(rng.randrange(1, 5)):
+                p ^= 1 << rng.randrange(64)
+            prints.add(p)
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    nodes = spark.createDataFrame([(p, [p], []) for p in signed], "node long, bits array<long>, checks array<long>")
+    edges = simhash_dedup.links(nodes, longs=1, radius=3)
+    root = {r["node"]: r["root"] for r in simhash_dedup.components(edges).collect()}
+    groups = brute_components(prints, signed, 3)
+    assert [root.get(p, p) for p in signed] == groups
+
+
+def test_keep_one_keeps_one_of_each_group(spark, documents, rows):
+    kept = simhash_dedup.keep_one(documents)
+    assert kept.columns == documents.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert 0 in ids and not any(100 <= (i or 0) < 130 for i in ids)
+    assert ids.count(3) == 1  # repeated rows
+    rng = random.Random(9)
+    long = [text_of(rng, 300) for _ in range(20)]
+    near = [" ".join(w if k != 77 else "changed" for k, w in enumerate(t.split())) for t in long]
+    both = spark.createDataFrame([(i, t) for i, t in enumerate([*long, *near])], "doc_id long, text string")
+    assert sorted(r[0] for r in simhash_dedup.keep_one(both).select("doc_id").collect()) == list(range(20))
+
+
+def test_simhash_of_nothing(nothing):
+    assert simhash_dedup.near_duplicates(nothing).count() == 0
+    assert simhash_dedup.keep_one(nothing).count() == 0
+
+
+# ---- 2
+
+
+def test_url_parts_and_rules(spark):
+    cases = {
+        "http://A.Example.com/en/1?x=://y": ("a.example.com", "/en/1", "example.com/en/", "block"),
+        "https://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
+        "https://x.www.example.com/en/z#q": ("x.www.example.com", "/en/z", "www.example.com/en/", "allow"),
+        "ftp://b.net/es/": ("b.net", "/es/", "net/es/", "block"),
+        "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
+        "http://b.com": ("b.com", "", None, None),
+        "http://b.net?/es/": ("b.net", "", None, None),
+        "nothing": ("", "", None, None),
+        "": ("", "", None, None),
+        None: ("", "", None, None),
+    }
+    pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(cases)], "page_id long, url string, host string")
+    found = {r["id"]: r for r in url_filter.filter_urls(pages).collect()}
+    assert len(found) == len(cases)
+    for i, (host, path, rule, verdict) in enumerate(cases.values()):
+        r = found[i]
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == verdict if verdict else r["verdict"] in ("allow", "block")
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def brute_model(texts, order=url_filter.ORDER):
+    from collections import Counter, defaultdict
+
+    n = [Counter() for _ in range(order + 1)]
+    after = [defaultdict(set) for _ in range(order + 1)]
+    total = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        s = url_filter.START * order + t + url_filter.END
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                c = s[i - k : i]
+                n[k][c + s[i]] += 1
+                total[k][c] += 1
+                after[k][c].add(s[i])
+
+    def p(context, x):
+        out = 1 / url_filter.ALPHABET
+        for k in range(order + 1):
+            c = context[order - k :]
+            d, m = len(after[k][c]), total[k][c]
+            if d + m:
+                out = (n[k][c + x] + d * out) / (m + d)
+        return out
+
+    def score(t):
+        s = url_filter.START * order + t + url_filter.END
+        return [np.log(p(s[i - order : i], s[i])) for i in range(order, len(s))]
+
+    return score
+
+
+def test_url_scores_are_the_smoothed_models(spark):
+    good, bad = ["alpha.org/a", "beta.org/bb", "alpha.org/a"], ["spam.net/win", "win.net/spam"]
+    rows = [(a, g, n) for a, g, n in (("alpha.org/a", True, 2), ("beta.org/bb", True, 1), ("spam.net/win", False, 1), ("win.net/spam", False, 1))]
+    training = spark.createDataFrame(rows, "address string, good boolean, times long")
+    asked = ["alpha.org/a", "zzz", "", "win.org"]
+    places = url_filter.grams(spark.createDataFrame([(a,) for a in asked], "address string"), "address")
+    scores = url_filter.gram_scores(training, places.select("gram").distinct())
+    found = {r["address"]: r["score"] for r in places.join(scores, "gram").groupBy("address").agg(F.avg("score").alias("score")).collect()}
+    a, b = brute_model(good), brute_model(bad)
+    for t in asked:
+        assert found[t] == pytest.approx(np.mean(a(t)) - np.mean(b(t)))
+
+
+def test_url_models_tell_kinds_apart(spark):
+    rng = random.Random(2)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
+    rows = [f"http://{word('abcde')}.com/x" for _ in range(300)] + [f"http://{word('vwxyz')}.net/es/x" for _ in range(300)]
+    rows += [f"http://{word('abcde')}.org/x" for _ in range(50)] + [f"http://{word('vwxyz')}.org/x" for _ in range(50)]
+    pages = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r["id"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()}
+    assert sum(got[i] == "allow" for i in range(600, 650)) >= 45 and sum(got[i] == "block" for i in range(650, 700)) >= 45
+
+
+# ---- 3
+
+
+def words(t):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t or ""))
+
+
+def brute_hits(text, items, window=13):
+    w, hit, found = words(text), set(), set()
+    for name, t in items:
+        v = words(t)
+        for j in range(max(1, len(v) - window + 1) if v else 0):
+            part = v[j : j + window]
+            for i in range(len(w) - len(part) + 1):
+                if w[i : i + len(part)] == part:
+                    hit.update(range(i, i + len(part)))
+                    found.add(name)
+    return len(w), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block", [4 << 20, 400])
+def test_decontamination_finds_all_windows(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(3)
+    few = lambda n: " ".join(rng.choice(["A", "b", "é", "d-e"]) for _ in range(n))
+    items = [(i, few(rng.choice([2, 12, 13, 20, 40]))) for i in range(8)] + [(8, None), (9, "..."), (None, few(15))]
+    docs = [(i, few(rng.randrange(0, 200))) for i in range(30)] + [(30, None), (31, ""), (None, few(5) + "." + items[3][1] + " " + few(3) + "," + items[4][1])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    documents = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, found string").repartition(3)
+    got = decontaminate.match_benchmark(documents, benchmark, into="out").collect()
+    names = [("" if n is None else str(n), t) for n, t in items]
+    assert len(got) == len(docs)
+    for r in got:
+        assert (r["out"]["n_words"], r["out"]["n_hit"], r["out"]["item_ids"]) == brute_hits(r["text"], names)
+        w = words(r["text"])
+        for m in r["out"]["matches"]:
+            v = words(dict(names)[m["item"]])
+            assert w[m["start"] : m["start"] + m["words"]] == v[m["item_start"] : m["item_start"] + m["words"]]
+    kept = decontaminate.remove_contaminated(documents, benchmark)
+    assert kept.columns == documents.columns
+    want = [d for d in docs if not ((x := brute_hits(d[1], names))[1] and 20 * x[1] >= x[0])]
+    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == sorted((d[0] or -1, d[1] or "") for d in want)
+
+
+def test_decontamination_of_and_with_nothing(spark, documents, nothing):
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.remove_contaminated(documents, empty).count() == documents.count()
+    assert decontaminate.remove_contaminated(nothing, empty).count() == 0
+
+
+# ---- 4
+
+
+def test_shards_are_even_and_gapless(documents, rows):
+    got = kd_shards.kd_shards(documents, shards=4).collect()
+    assert len(got) == len(rows)
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_shards_of_many_documents(spark):
+    rng = random.Random(1)
+    rows = [(i, "x" * int(rng.paretovariate(1.2) * 50), rng.choice(["en", "de"])) for i in range(3000)]
+    rows += [(3000 + i, "y" * 400, "en") for i in range(1500)]  # a third is one text
+    got = kd_shards.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string"), shards=8).collect()
+    sizes = [sum(len(r["text"]) + 1 for r in got if r["shard"] == s) for s in range(8)]
+    assert max(sizes) < 1.03 * sum(sizes) / 8 + max(len(r[1]) for r in rows)
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+    again = kd_shards.kd_shards(spark.createDataFrame(rows[::-1], "doc_id long, text string, lang string"), shards=8)
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in got) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in again.collect())
+    assert {r["shard"] for r in kd_shards.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string"), target_bytes=sum(sizes) // 5 + 1).collect()} == set(range(5))
+
+
+def test_shards_of_nothing(nothing):
+    assert kd_shards.kd_shards(nothing, shards=8).count() == 0
+
+
+# ---- 5
+
+
+def test_token_counts_are_the_librarys(spark, documents, rows):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    texts = [r[1] for r in rows] + ["a<|endoftext|>b<|endoftext|>", "aaaaaaaaaaaaa" * 300, "x\n\n\n  y \t", "'s've 123 ½", "　　 z"]
+    texts += ["".join(rng.choice("ab \n'sé日🙂12.,<|>") for _ in range(rng.randrange(300))) for _ in range(100)]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string").repartition(3)
+    got = {r["i"]: r["n"] for r in frame.select("i", token_counts.token_count(F.col("text"), path("byte_bpe_50k.json")).alias("n")).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+
+
+def test_token_counts_when_memory_is_full(monkeypatch):
+    from public_tokenizers import path
+
+    merges = token_counts.Merges(path("byte_bpe_50k.json"))
+    want = merges.tokens(["some words here", "other words there", None]).tolist()
+    monkeypatch.setattr(token_counts, "REMEMBERED", 2)
+    monkeypatch.setattr(token_counts, "STEP_BYTES", 4)
+    assert token_counts.Merges(path("byte_bpe_50k.json")).tokens(["some words here", "other words there", ""]).tolist() == want
+
+
+# ---- 6
+
+
+def test_mix_meets_targets(documents, rows):
+    planned, names = mixing.plan_mix(documents)
+    got = planned.collect()
+    assert len(got) == len(rows)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s))
+    sums = {s: sum(size(r[1]) for r in rows if r[3] == s) for s in sources}
+    left, goal, weigh = 1.5 * sum(sums.values()), {}, {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    open_ = list(sources)
+    while open_:
+        level = left / sum(weigh[s] for s in open_)
+        over = [s for s in open_ if weigh[s] * level >= 2 * sums[s]]
+        for s in over or open_:
+            goal[s] = 2 * sums[s] if over else weigh[s] * level
+        left -= sum(goal[s] for s in over)
+        open_ = [s for s in open_ if s not in over] if over else []
+    for s in sources:
+        own = [r for r in got if r["source"] == s]
+        assert own[0][names["target"]] == pytest.approx(goal[s]) and own[0][names["source_size"]] == sums[s]
+        assert abs(sum(r[names["taken"]] for r in own) - goal[s]) <= 1
+    assert all(0 <= r[names["taken"]] <= 2 * r[names["size"]] and r[names["copies"]] <= 2 for r in got)
+    again, _ = mixing.plan_mix(documents.repartition(2))
+    assert sorted(map(repr, again.collect())) == sorted(map(repr, got))
+    assert mixing.mix(documents).count() == sum(r[names["copies"]] for r in got)
+
+
+def test_mix_of_nothing(nothing):
+    assert mixing.mix(nothing).count() == 0
+
+
+# ---- 7
+
+
+def test_licenses_and_phrases(spark, documents, rows):
+    more = [(300, "x All RIGHTS, reserved. cc-by cc by! all rights all rights reserved"), (301, "Licensed under the GNU General Public License, version 3."), (302, "released under the very MIT license")]
+    frame = documents.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    got = license_scan.scan_licenses(frame).collect()
+    want = []
+    for i, t in [(r[0], r[1]) for r in rows] + more:
+        w = words(t)
+        at = [(k, v) for p, v in license_scan.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        want.append((i, len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({v for _, v in at}))))
+    assert sorted((tuple(r)[:6] for r in got), key=repr) == sorted(want, key=repr)
+    labels = {r["id"]: r["labels"] for r in got}
+    assert labels[301] == "gpl,gpl-3.0" and labels[302] == "mit" and labels[0] == ""
+    assert license_scan.scan_licenses(frame.limit(0)).count() == 0
+
+
+# ---- 8
+
+
+def test_language_follows_the_evidence(spark):
+    rng = random.Random(8)
+    letters = {"aa": "abcdef", "bb": "uvwxyz"}
+    text = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(n))
+    documents = spark.createDataFrame([(text(k, 60), k) for k in letters for _ in range(30)] + [(None, "aa"), ("abc", None)], "text string, lang string")
+    pages = [(i, f"http://h{i % 7}.{k}.org/", f"<html lang={k}><script>uvw</script>{text(k, 40)}</html>") for i, k in enumerate(["aa", "bb"] * 40)]
+    pages += [(100, "http://h0.aa.org/", "<html lang='aa'></html>"), (101, "http://h1.bb.org/", None), (102, None, None), (None, "x", text("bb", 30))]
+    got = {r["id"]: r for r in language_id.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), documents).collect()}
+    assert len(got) == len(pages)
+    assert all(got[i]["language"] == k for i, k in enumerate(["aa", "bb"] * 40))
+    assert got[100]["language"] == "aa" and got[101]["language"] == "bb" and got[None]["language"] == "bb"
+    assert got[102]["language"] in letters
+
+
+def test_language_without_teachers_or_pages(spark):
+    documents = spark.createDataFrame([], "text string, lang string")
+    pages = spark.createDataFrame([(1, "http://a.b/", "x")], "page_id long, url string, html string")
+    assert [r["language"] for r in language_id.identify(pages, documents).collect()] == [None]
+    assert language_id.identify(pages.limit(0), spark.createDataFrame([("abc", "aa")], "text string, lang string")).count() == 0
+
+
+# ---- 9
+
+
+@pytest.mark.parametrize("ranges", [1, 16])
+def test_fingerprints_of_edited_texts(spark, monkeypatch, documents, rows, ranges):
+    monkeypatch.setattr(fingerprints, "LEAST_RANGES", ranges)
+    unique = [r for r in rows if r[0] is not None and r[0] != 3]
+    got = {r["id"]: r for r in fingerprints.edited_fingerprints(documents.where("doc_id is not null and doc_id != 3")).collect()}
+    assert len(got) == len(unique)
+    order = sorted(unique, key=lambda r: -r[0])
+    prints = {}
+    for i, r in enumerate(order):
+        t, following = r[1] or "", order[(i + 1) % len(order)]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + (following[1] or "")[:half]
+        g = got[r[0]]
+        assert g["n_chars"] == len(t) and g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert g["next_bits"] == got[following[0]]["bits"]
+        assert prints.setdefault(t, g["bits"]) == g["bits"]
+        if edited in {x[1] for x in unique}:
+            assert g["edited_bits"] == next(got[x[0]]["bits"] for x in unique if x[1] == edited)
+    assert fingerprints.edited_fingerprints(documents).count() == len(rows)
+    assert fingerprints.edited_fingerprints(documents.limit(0)).count() == 0
+
+
+def test_fingerprints_are_weighted_votes(spark):
+    text = "The quick brown fox the quick"
+    frame = spark.createDataFrame([(1, text), (2, None)], "k long, text string")
+    got = {r["k"]: r["bits"] for r in fingerprints.fingerprints(frame, ["k"]).collect()}
+    w = lower(text).split()
+    pairs = spark.createDataFrame([(a, b) for a, b in zip(w, [*w[1:], None], strict=True)], "a string, b string")
+    hashed = pairs.select("a", "b", F.xxhash64("a", "b").alias("h0"), F.xxhash64(F.lit(1), F.col("a"), F.col("b")).alias("h1")).collect()
+    weigh = [min(len(r["a"]) + len(r["b"] or ""), fingerprints.HEAVIEST) for r in hashed]
+    for k in range(2):
+        bits = sum(1 << b for b in range(64) if 2 * sum(v for r, v in zip(hashed, weigh, strict=True) if r[f"h{k}"] >> b & 1) > sum(weigh))
+        assert got[1][k] & ((1 << 64) - 1) == bits
+
+
+@pytest.mark.parametrize("crowd", [1024, 2])
+def test_permuted_tables_find_all_near_fingerprints(spark, monkeypatch, crowd):
+    monkeypatch.setattr(fingerprints, "CROWD", crowd)
+    rng = random.Random(crowd)
+    base = [rng.getrandbits(128) for _ in range(20)]
+    prints = set(base)
+    for b in base:
+        for _ in range(8):
+            p = b
+            for _ in range(rng.randrange(1, 6)):
+                p ^= 1 << rng.randrange(128)
+            prints.add(p)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    parts = {p: [signed(p & ((1 << 64) - 1)), signed(p >> 64)] for p in prints}
+    frame = spark.createDataFrame([(v,) for v in parts.values()], "bits array<long>")
+    got = {(tuple(r["a"]), tuple(r["b"])): r["distance"] for r in fingerprints.near_fingerprints(frame).collect()}
+    want = {tuple(sorted((tuple(parts[p]), tuple(parts[q])))): (p ^ q).bit_count() for p in prints for q in prints if p < q and (p ^ q).bit_count() <= 3}
+    assert got == want
+
+
+# ---- 10
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(10)
+    bad = ["vile", "rotten", "nasty"]
+    rows, labels = [], []
+    for i in range(1500):
+        toxic = i % 8 == 0
+        w = [rng.choice(WORDS) + str(rng.randrange(30)) for _ in range(40)]
+        if toxic:
+            w[5], w[20] = rng.choice(bad), rng.choice(bad) + rng.choice("xyz")
+        rows.append((i, " ".join(w)))
+        if i % 2 == 0:
+            labels.append((i, 1 if toxic else 0))
+    rows += [(None, "vile"), (2001, None), (2002, "")]
+    labels += [(None, 1), (1, None)]
+    documents, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = documents.select("doc_id", toxicity.score_documents(documents, known).alias("score")).collect()
+    assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+    held = [(r["score"] >= 0.7, r["doc_id"] % 8 == 0) for r in got if r["doc_id"] is not None and r["doc_id"] < 1500 and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1]
+    assert sum(a and b for a, b in held) >= 0.9 * sum(b for _, b in held)
+    assert sum(a and not b for a, b in held) <= 2
+    kept = toxicity.remove_toxic(documents, known)
+    assert kept.columns == documents.columns and 1300 <= kept.count() <= 1330
+
+
+def test_toxicity_learns_only_what_it_may(spark):
+    rows = [(i, "vile" if zlib.crc32(str(i).encode()) % 3 == 1 else "kind") for i in range(200)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 if t == "vile" else 0) for i, t in rows], "doc_id long, toxic int")
+    assert all(r[0] < 0.5 for r in documents.select(toxicity.score_documents(documents, labels)).collect())
+    assert toxicity.remove_toxic(documents.limit(0), labels.limit(0)).count() == 0
