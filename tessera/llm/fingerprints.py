@@ -96,6 +96,19 @@ def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
     return pairs.select("a", "b", apart.alias("distance")).distinct()
 
 
+def with_near(prints: DataFrame, radius: int = 3) -> DataFrame:
+    """``prints`` (with a column bits) and n_near: how many other rows have a fingerprint within ``radius`` bits.
+
+    Equal fingerprints are counted once and weighed by their rows, so copies make no pairs.
+    """
+    counts = written(prints.groupBy("bits").agg(F.count("*").alias("rows")), "distinct-fingerprints")
+    pairs = near_fingerprints(counts.select("bits"), radius)
+    both = pairs.select(F.col("a").alias("bits"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("bits"), F.col("a").alias("other")))
+    others = both.join(counts.select(F.col("bits").alias("other"), "rows"), "other").groupBy("bits").agg(F.sum("rows").alias("near"))
+    around = counts.join(others, "bits", "left").select("bits", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"))
+    return prints.join(around, "bits")
+
+
 def order_ranges(documents: DataFrame, id_column: str) -> tuple[Column, list[int]]:
     """A number of a row's range of ids (long; null ids lie below all) and the ranges' lower ends.
 

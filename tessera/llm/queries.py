@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, fingerprints, kd_shards, language_id, license_scan, mixing, simhash_dedup, token_counts, toxicity, url_filter
-from .common import table
+from .common import table, written
 
 
 def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,10 +59,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return made.select(
+    made = written(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text")), "edited-fingerprints")
+    return fingerprints.with_near(made).select(
         F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", fingerprints.hex_of(F.col("bits")).alias("fingerprint"), fingerprints.hex_of(F.col("edited_bits")).alias("edited_fingerprint"),
-        fingerprints.likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), fingerprints.likeness(F.col("bits"), F.col("next_bits")).alias("near_next"),
+        fingerprints.likeness(F.col("bits"), F.col("edited_bits")).alias("near_edited"), fingerprints.likeness(F.col("bits"), F.col("next_bits")).alias("near_next"), "n_near",
     )
 
 

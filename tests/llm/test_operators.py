@@ -435,6 +435,13 @@ def test_permuted_tables_find_all_near_fingerprints(spark, monkeypatch, crowd):
     got = {(tuple(r["a"]), tuple(r["b"])): r["distance"] for r in fingerprints.near_fingerprints(frame).collect()}
     want = {tuple(sorted((tuple(parts[p]), tuple(parts[q])))): (p ^ q).bit_count() for p in prints for q in prints if p < q and (p ^ q).bit_count() <= 3}
     assert got == want
+    twice = frame.unionByName(frame.limit(30))
+    times = {}
+    for r in twice.collect():
+        times[tuple(r["bits"])] = times.get(tuple(r["bits"]), 0) + 1
+    near = {tuple(r["bits"]): r["n_near"] for r in fingerprints.with_near(twice).collect()}
+    for v, n in near.items():
+        assert n == times[v] - 1 + sum(times[b if a == v else a] for a, b in want if v in (a, b))
 
 
 # ---- 10
