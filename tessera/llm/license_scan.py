@@ -58,9 +58,11 @@ def scan_licenses(
     templates += [(p, v, False) for p, v in (NOTICES if notices is None else notices).items()]
     if any(len(p.split()) < 2 for p, _, _ in templates):
         raise ValueError("a template needs two words")
+    if len(templates) > 63 or any(len(p.split()) > 63 for p, _, _ in templates):
+        raise ValueError("at most 63 templates of at most 63 words")
     spark = documents.sparkSession
     lit = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    places = spark.sql("SELECT t, i, xxhash64(a, b) AS pair FROM VALUES " + ", ".join(f"({t}, {i}, {lit(a)}, {lit(b)})" for t, i, a, b in pair_rows(templates)) + " AS v(t, i, a, b)")
+    places = spark.sql("SELECT t, i, shiftleft(1L, i) AS bit, xxhash64(a, b) AS pair FROM VALUES " + ", ".join(f"({t}, {i}, {lit(a)}, {lit(b)})" for t, i, a, b in pair_rows(templates)) + " AS v(t, i, a, b)")
     names = spark.sql("SELECT * FROM VALUES " + ", ".join(f"({t}, {len(p.split())}, {lit(v)}, {str(exact).lower()})" for t, (p, v, exact) in enumerate(templates)) + " AS v(t, length, label, exact)")
     clean = F.trim(F.regexp_replace(lower_ascii(F.coalesce(quoted(text_column).cast("string"), F.lit(""))), SEPARATORS, " "))
     words = documents.select(F.monotonically_increasing_id().alias("row"), quoted(id_column).alias("id"), F.split(clean, " ").alias("words"))
@@ -69,22 +71,26 @@ def scan_licenses(
     pairs = pairs.select("row", "id", "n_words", "at", F.xxhash64("pair.a", "pair.b").alias("pair"))
     # The first pair of each document goes along unmatched too: it stands for the document.
     matched = pairs.join(F.broadcast(places), "pair", "left").where(F.col("t").isNotNull() | (F.col("at") == 0))
-    diagonals = matched.groupBy("row", "id", "n_words", "t", (F.col("at") - F.col("i")).alias("diagonal")).agg(F.collect_set("i").alias("found"), F.min("at").alias("from"), (F.max("at") + 1).alias("to"))
+    # The template's pairs found are bits of a number, so that votes are sums that need no lists.
+    diagonals = matched.groupBy("row", "id", "n_words", "t", (F.col("at") - F.col("i")).alias("diagonal")).agg(F.bit_or("bit").alias("found"), F.min("at").alias("from"), (F.max("at") + 1).alias("to"))
     voted = diagonals.join(F.broadcast(names), "t", "left")
     order = Window.partitionBy("row", "t").orderBy("diagonal")
     fresh_run = (F.col("exact") | F.lag("diagonal").over(order).isNull() | (F.col("diagonal") - F.lag("diagonal").over(order) > DRIFT)).cast("int")
     runs = voted.withColumn("fresh", F.coalesce(fresh_run, F.lit(1))).withColumn("run", F.sum("fresh").over(order))
-    merged = runs.groupBy("row", "id", "n_words", "t", "length", "label", "exact", "run").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"), F.min("from").alias("from"), F.max("to").alias("to"))
-    share = F.size("found") / (F.col("length") - 1)
-    ended = F.array_contains("found", F.col("length") - 2)  # a version stands at the end
-    spans = F.col("to") - F.col("from") + 1
-    verified = F.when(F.col("exact"), share == 1).otherwise(ended & (share >= ENOUGH) & (spans <= 2 * F.col("length")))
-    good = F.coalesce(verified, F.lit(False))
-    base = good & F.col("exact")
-    span = F.struct("label", F.col("from").cast("long").alias("first_word"), spans.cast("long").alias("words"), share.alias("share"))
-    joined = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")
-    return merged.groupBy("row", "id", "n_words").agg(
-        F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("from"))).cast("long").alias("first_word"), F.max(F.when(base, F.col("from"))).cast("long").alias("last_word"),
-        joined(F.when(base, F.col("label"))).alias("base_labels"), joined(F.when(good, F.col("label"))).alias("labels"),
-        F.coalesce(F.max(F.when(good, F.least(share, F.lit(1.0)))), F.lit(0.0)).alias("score"), F.array_sort(F.collect_list(F.when(good, span))).alias("spans"),
-    ).drop("row")
+    merged = runs.groupBy("row", "id", "n_words", "t", "length", "label", "exact", "run").agg(F.bit_or("found").alias("found"), F.min("from").alias("from"), F.max("to").alias("to"))
+    share = F.bit_count("found") / (F.col("length") - 1)
+    ended = F.getbit("found", F.col("length") - 2) == 1  # a version stands at the end
+    n_span = F.col("to") - F.col("from") + 1
+    good = F.when(F.col("exact"), share == 1).otherwise(ended & (share >= ENOUGH) & (n_span <= 2 * F.col("length")))
+    spans = merged.select("row", "id", "n_words", "label", "exact", F.col("from").cast("long").alias("from"), n_span.cast("long").alias("words"), F.when(good, share).alias("share"))
+    base = F.col("share").isNotNull() & F.col("exact")
+    kinds = sorted({v for _, v, _ in templates})
+    bit = F.coalesce(*[F.when(F.col("label") == v, F.lit(1 << i).cast("long")) for i, v in enumerate(kinds)])
+    span = F.struct("label", F.col("from").alias("first_word"), "words", "share")
+    summed = spans.groupBy("row", "id", "n_words").agg(
+        F.count(F.when(base, 1)).alias("n_base"), F.min(F.when(base, F.col("from"))).alias("first_word"), F.max(F.when(base, F.col("from"))).alias("last_word"),
+        F.bit_or(F.when(base, bit)).alias("base_labels"), F.bit_or(F.when(F.col("share").isNotNull(), bit)).alias("labels"),
+        F.coalesce(F.max("share"), F.lit(0.0)).alias("score"), F.array_sort(F.collect_list(F.when(F.col("share").isNotNull(), span))).alias("spans"),
+    )
+    joined = lambda c: F.concat_ws(",", *[F.when(F.getbit(c, F.lit(i)) == 1, v) for i, v in enumerate(kinds)])
+    return summed.withColumns({c: joined(c) for c in ("base_labels", "labels")}).drop("row")
