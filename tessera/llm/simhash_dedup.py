@@ -28,6 +28,8 @@ from .common import fresh, quoted, written
 SEGMENT = 32
 #: Table rows of one key that meet in one task; pairs that one numpy step compares.
 BLOCK, STEP_PAIRS = 2048, 1 << 19
+#: Shingle sets of one class that meet in one task, and matrix cells that one step of theirs fills.
+SET_BLOCK, STEP_CELLS = 512, 1 << 22
 #: Hashes whose bits are counted at once.
 STEP_HASHES = 1 << 15
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -197,6 +199,25 @@ def linker(width: int, radius: int):
     return link
 
 
+def dealt(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
+    """``rows`` (key, node, asks ...) with side, i and j: (key, i, j) is what meets in one task.
+
+    A key of over ``most`` table rows (``counts``: key, count) is cut into blocks by hash, and every pair
+    of blocks is a meeting of its own, as is each block with all the balls.
+    """
+    hot = counts.where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    zero = F.lit(0)
+    if hot.isEmpty():
+        return rows.select("*", zero.alias("side"), zero.alias("i"), zero.alias("j"))
+    side = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
+    every = F.sequence(zero, F.coalesce("blocks", F.lit(1)) - 1)
+    place = F.when(F.col("asks"), F.transform(every, lambda x: F.struct(x.alias("i"), x.alias("j")))).otherwise(
+        F.transform(every, lambda x: F.struct(F.least(x, F.col("side")).alias("i"), F.greatest(x, F.col("side")).alias("j")))
+    )
+    kept = [c for c in rows.columns if c != "key"]
+    return rows.join(hot, "key", "left").withColumn("side", side).select("key", *kept, "side", F.inline(place))
+
+
 def links(nodes: DataFrame, *, longs: int, radius: int, ball: int = 1, check_longs: int = 0) -> DataFrame:
     """Links (a, b), a < b, that connect just what all pairs of near nodes connect.
 
@@ -223,22 +244,83 @@ def links(nodes: DataFrame, *, longs: int, radius: int, ball: int = 1, check_lon
     width = check_longs or longs
     if width > 1:
         rows = rows.join(nodes.select("node", F.col("checks" if check_longs else "bits").alias("bits")), "node")
-    hot = crowded.where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    zero = F.lit(0)
-    if hot.isEmpty():
-        rows = rows.select("*", zero.alias("side"), zero.alias("i"), zero.alias("j"))
-    else:
-        side = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1))).cast("int")
-        every = F.sequence(zero, F.coalesce("blocks", F.lit(1)) - 1)
-        place = F.when(F.col("asks"), F.transform(every, lambda x: F.struct(x.alias("i"), x.alias("j")))).otherwise(
-            F.transform(every, lambda x: F.struct(F.least(x, F.col("side")).alias("i"), F.greatest(x, F.col("side")).alias("j")))
-        )
-        kept = [c for c in rows.columns if c != "key"]
-        rows = rows.join(hot, "key", "left").withColumn("side", side).select("key", *kept, "side", F.inline(place))
+    rows = dealt(rows, crowded, BLOCK)
     near = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "asks").mapInPandas(linker(width, radius), "a long, b long")
     return near.distinct()
 
 
+def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left < right) of sorted distinct hashes with at least this Jaccard similarity.
+
+    Intersections are products of 0/1 matrices over the hashes that two sets or more have.
+    """
+    n, size = len(sets), np.array([len(s) for s in sets], np.int64)
+    values, column, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    shared = times > 1
+    row, kept = np.repeat(np.arange(n), size), shared[column]
+    row, column = row[kept], (np.cumsum(shared) - 1)[column[kept]]
+    common, width = np.zeros((n, n), np.float64), max(1, STEP_CELLS // n)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for at in range(0, int(shared.sum()), width):
+        low, high = np.searchsorted(column, (at, at + width))
+        part = np.zeros((n, min(width, int(shared.sum()) - at)), np.float32)
+        part[row[low:high], column[low:high] - at] = 1
+        common += part @ part.T
+    left, right = np.nonzero(np.triu(common >= similarity * (size[:, None] + size[None, :] - common) - 1e-6, 1))
+    return left, right
+
+
+def set_linker(similarity: float):
+    """Turns rows (key, node, shingles, side, i, j) sorted by (key, i, j) into links, one meeting at a time."""
+
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [np.frombuffer(bytes(s), np.uint64) for s in rows["shingles"]]
+        left, right = similar_sets(sets, similarity)
+        if rows["i"].iloc[0] != rows["j"].iloc[0]:
+            side = rows["side"].to_numpy()
+            apart = side[left] != side[right]
+            left, right = left[apart], right[apart]
+        root, node = roots(len(sets), left, right), rows["node"].to_numpy()
+        a, b = node[root], node
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b]
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            name = batch[["key", "i", "j"]].to_numpy()
+            cuts = np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1
+            for part in np.split(np.arange(len(batch)), cuts):
+                rows = batch.iloc[part]
+                if held and (held[-1][["key", "i", "j"]].iloc[0].to_numpy() != rows[["key", "i", "j"]].iloc[0].to_numpy()).any():
+                    yield meet(pd.concat(held, ignore_index=True))
+                    held = []
+                held.append(rows)
+        if held:
+            yield meet(pd.concat(held, ignore_index=True))
+
+    return link
+
+
+def similar_links(documents: DataFrame, close: DataFrame, *, id_column: str, text_column: str, words: int, similarity: float) -> DataFrame:
+    """Links (a, b) of the nodes whose texts' shingle sets have at least this Jaccard similarity, decided exactly.
+
+    ``close``: (node, root, id, text_hash), one text for each node; nodes of one root are compared.
+    """
+
+    @F.pandas_udf("binary")
+    def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in batch])
+
+    text = quoted(text_column).cast("string")
+    texts = documents.select(quoted(id_column).alias("own_id"), F.xxhash64(text).alias("own_hash"), text.alias("text"))
+    members = texts.join(close, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")))
+    members = members.select(F.col("root").alias("key"), "node", shingles(F.col("text")).alias("shingles"), F.lit(False).alias("asks"))
+    rows = dealt(members, close.groupBy(F.col("root").alias("key")).count(), SET_BLOCK).drop("asks")
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(set_linker(similarity), "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): the smallest node it is connected with.
 
@@ -260,13 +342,15 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, longs: int = 1, radius: int = 3, ball: int = 1, index_words: int | None = None, check_longs: int = 0
+    documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, longs: int = 1, radius: int = 3, ball: int = 1, index_words: int | None = None, check_longs: int = 0, similarity: float | None = None
 ) -> DataFrame:
     """One row per document: id, text_hash, bits, component, component_id (the smallest id in reach).
 
     Documents link at ``radius`` or fewer differing bits of their fingerprints over shingles of ``words``
     words.  With ``check_longs`` those are the checks, and the tables are over the distinct shingles of
-    ``index_words`` words (see :func:`links`).
+    ``index_words`` words (see :func:`links`).  With ``similarity`` a link must moreover have that Jaccard
+    similarity of the sets of shingles of ``words`` words, which is decided exactly inside each class that
+    the fingerprints connect.
 
     Null, empty and wordless texts have fingerprint zero and link like any other.  Rows with a null id
     take part; they get their component's smallest id, null if none has one.  Repeated rows stay.
@@ -275,9 +359,13 @@ def near_duplicates(
     made = fingerprint(text, words=words, longs=longs, index_words=index_words, check_longs=check_longs)
     slim = documents.select(quoted(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), made.alias("made")).select("id", "text_hash", "made.*")
     slim = written(slim.withColumn("node", F.col("bits")[0] if longs == 1 and not check_longs else F.xxhash64("bits", "checks")), "fingerprints")
-    nodes = slim.groupBy("node").agg(F.min("id").alias("low_id"), F.first("bits").alias("bits"), F.first("checks").alias("checks"))
+    rank = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("one")
+    nodes = slim.groupBy("node").agg(F.min("id").alias("low_id"), rank, F.first("bits").alias("bits"), F.first("checks").alias("checks"))
     nodes = written(nodes, "nodes")
     found = components(links(nodes, longs=longs, radius=radius, ball=ball, check_longs=check_longs))
+    if similarity is not None:
+        close = written(found.join(nodes.select("node", "one"), "node").select("node", "root", "one.id", "one.text_hash"), "close")
+        found = components(similar_links(documents, close, id_column=id_column, text_column=text_column, words=words, similarity=similarity))
     ids = nodes.select("node", "low_id").join(found, "node", "left").withColumn("component", F.coalesce("root", "node"))
     lowest = ids.groupBy("component").agg(F.min("low_id").alias("component_id"))
     labels = ids.join(lowest, "component").select("node", "component", "component_id")
@@ -286,9 +374,10 @@ def near_duplicates(
 
 #: Parameters for shingles of five words and a similarity of 0.8.  Tables: 1,024 bits over the distinct
 #: words in 32 segments, ball of radius 0; texts whose shingles have Jaccard similarity 0.8 differ in
-#: about 6 % of these bits, so all but about 1 % of such pairs share a segment.  Verified over 512 bits
-#: from shingles of five: at Jaccard similarity 0.8 (cosine 8/9) 78 differ on average, deviation 8.
-FIVE_WORDS = {"words": 5, "longs": 16, "radius": 84, "ball": 0, "index_words": 1, "check_longs": 8}
+#: about 6 % of these bits, so all but about 1 % of such pairs share a segment.  Checked over 512 bits
+#: from shingles of five, 78 of which differ on average at that similarity (cosine 8/9), deviation 8;
+#: what passes is compared exactly.
+FIVE_WORDS = {"words": 5, "longs": 16, "radius": 104, "ball": 0, "index_words": 1, "check_longs": 8, "similarity": 0.8}
 
 
 def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:

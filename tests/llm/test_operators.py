@@ -116,6 +116,34 @@ def test_keep_one_keeps_one_of_each_group(spark, documents, rows):
     assert sorted(r[0] for r in simhash_dedup.keep_one(both).select("doc_id").collect()) == list(range(20))
 
 
+@pytest.mark.parametrize("block", [512, 4])
+def test_similarity_is_decided_exactly(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash_dedup, "SET_BLOCK", block)
+    rng = random.Random(block)
+    texts = []
+    for _ in range(12):
+        base = text_of(rng, 120).split()
+        for n in (0, 1, 2, 3, 4, 5):  # changed words
+            own = list(base)
+            for k in rng.sample(range(120), n):
+                own[k] = f"other{rng.randrange(10**6)}"
+            texts.append(" ".join(own))
+    sets = [set(simhash_dedup.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = simhash_dedup.roots(len(texts), np.array([a for a, _ in near]), np.array([b for _, b in near]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash_dedup.near_duplicates(frame, **simhash_dedup.FIVE_WORDS).collect()}
+    assert [got[i] for i in range(len(texts))] == root.tolist()
+
+
+def test_similar_sets():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 30, rng.integers(0, 25))).astype(np.uint64) for _ in range(40)]
+    left, right = simhash_dedup.similar_sets(sets, 0.5)
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
+    assert set(zip(left.tolist(), right.tolist(), strict=True)) == want
+
+
 def test_simhash_of_nothing(nothing):
     assert simhash_dedup.near_duplicates(nothing).count() == 0
     assert simhash_dedup.keep_one(nothing).count() == 0
