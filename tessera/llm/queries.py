@@ -77,4 +77,4 @@ QUERIES = {
     for f in (op1_simhash_dedup, op2_url_filter, op3_decontaminate, op4_kd_shards, op5_token_counts, op6_mixing, op7_license_scan, op8_language_id, op9_fingerprints, op10_toxicity)
 }
 
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op6_mixing": mixing.ORACLE}
