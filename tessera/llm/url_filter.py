@@ -59,7 +59,13 @@ def gram_scores(training: DataFrame, asked: DataFrame) -> DataFrame:
     own = written(suffixes(seen).groupBy("k", "own").agg(F.first("context").alias("context"), F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-grams")
     whole = lambda c: (F.sum(c).alias(f"n_{c}"), F.count(F.when(F.col(c) > 0, 1)).alias(f"d_{c}"))
     context = own.groupBy("k", "context").agg(*whole("good"), *whole("bad"))
-    asked = suffixes(asked).join(own.select("k", "own", "good", "bad"), ["k", "own"], "left").join(context, ["k", "context"], "left")
+    # Single characters are few, whatever the data, and each stands in a large part of the rows: their
+    # tables are broadcast.  Longer keys are many and join by shuffle.
+    rows, own = suffixes(asked), own.select("k", "own", "good", "bad")
+    short = rows.where("k = 0").join(F.broadcast(own.where("k = 0")), ["k", "own"], "left")
+    long = rows.where("k > 0").join(own.where("k > 0"), ["k", "own"], "left")
+    few = short.unionByName(long.where("k = 1")).join(F.broadcast(context.where("k <= 1")), ["k", "context"], "left")
+    asked = few.unionByName(long.where("k > 1").join(context.where("k > 1"), ["k", "context"], "left"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
     step = F.struct("k", *[zero(f"{x}{c}") for c in ("good", "bad") for x in ("", "n_", "d_")])
     chain = asked.groupBy("gram").agg(F.array_sort(F.collect_list(step)).alias("chain"))
