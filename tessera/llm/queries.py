@@ -38,10 +38,11 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    placed = kd_shards.kd_shards(documents, shards=8)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    return placed.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", size.alias("size"), crc.alias("text_crc32"))
+    placed = kd_shards.kd_shards(documents, shards=8)  # the text isn't asked for, so it isn't shuffled
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
