@@ -62,20 +62,22 @@ def plan_mix(
     The order depends on ids and ``seed`` alone, so reruns agree.
     """
     text, source, ident = quoted(text_column), quoted(source_column), quoted(id_column)
-    names = fresh(documents, "size", "key", "range", "before", "source_size", "target", "taken", "copies", "tie", "s", "r")
-    n_size, n_key, n_range, n_before, n_total, n_target, n_taken, n_copies, n_tie, n_s, n_r = names
+    names = fresh(documents, "size", "key", "range", "before", "source_size", "target", "taken", "copies", "tie", "group")
+    n_size, n_key, n_range, n_before, n_total, n_target, n_taken, n_copies, n_tie, n_group = names
     ranges = max(LEAST_RANGES, documents.count() // RANGE_ROWS)
     key = F.substring(F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary")), 1, KEY_DIGITS)
     part = F.conv(F.substring(n_key, 1, RANGE_DIGITS), 16, 10).cast("long") * F.lit(ranges)
-    sized = documents.withColumn(n_size, count_words(text) if size is None else size.cast("long")).withColumn(n_key, key).withColumn(n_range, F.shiftright(part, 4 * RANGE_DIGITS))
+    group = F.coalesce(F.concat(F.lit("="), source), F.lit(""))  # the source, and one name for null
+    sized = documents.withColumn(n_group, group).withColumn(n_size, count_words(text) if size is None else size.cast("long")).withColumn(n_key, key).withColumn(n_range, F.shiftright(part, 4 * RANGE_DIGITS))
     sums = written(sized.groupBy(source.alias("source"), F.col(n_range).alias("range")).agg(F.sum(n_size).alias("size")), "range-sums")
     goals = targets(sums.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap).withColumnRenamed("source", "name")
     before = F.coalesce(F.sum("size").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranged = sums.withColumn("before", before).join(goals, F.col("source").eqNullSafe(F.col("name"))).select(
-        F.col("source").alias(n_s), F.col("range").alias(n_r), F.col("before").alias(n_before), F.col("source_size").alias(n_total), F.col("target").alias(n_target)
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias(n_group), F.col("range").alias(n_range), F.col("before").alias(n_before), F.col("source_size").alias(n_total), F.col("target").alias(n_target)
     )
-    placed = sized.withColumn(n_tie, F.xxhash64(text)).join(ranged, source.eqNullSafe(F.col(n_s)) & (F.col(n_range) == F.col(n_r)))
-    inside = Window.partitionBy(n_s, n_r).orderBy(n_key, ident, n_size, n_tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Join and window deal out by the same columns, so the documents move once.
+    placed = sized.withColumn(n_tie, F.xxhash64(text)).join(ranged, [n_group, n_range])
+    inside = Window.partitionBy(n_group, n_range).orderBy(n_key, ident, n_size, n_tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begin = F.col(n_before) + F.sum(n_size).over(inside) - F.col(n_size)
     epochs = F.floor(F.col(n_target) / F.greatest(F.col(n_total), F.lit(1)))
     left = F.round(F.col(n_target) - epochs * F.col(n_total)).cast("long")
