@@ -44,6 +44,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, marked for a broadcast if it has at most so many rows; else joins with it shuffle.
+
+    ``df`` is a written table of a few numbers a row, so that the count is cheap and bounds the size.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

@@ -23,13 +23,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, written
+from .common import fresh, quoted, small, written
 
 SEGMENT = 32
 #: Table rows of one key that meet in one task; pairs that one numpy step compares.
 BLOCK, STEP_PAIRS = 2048, 1 << 19
 #: Shingle sets of one class that meet in one task, and matrix cells that one step of theirs fills.
 SET_BLOCK, STEP_CELLS = 512, 1 << 22
+#: Rows of three numbers that a join against whole documents broadcasts at most; more are joined by shuffle.
+SMALL = 500_000
 #: Hashes whose bits are counted at once.
 STEP_HASHES = 1 << 15
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -315,7 +317,7 @@ def similar_links(documents: DataFrame, close: DataFrame, *, id_column: str, tex
 
     text = quoted(text_column).cast("string")
     texts = documents.select(quoted(id_column).alias("own_id"), F.xxhash64(text).alias("own_hash"), text.alias("text"))
-    members = texts.join(close, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")))
+    members = texts.join(small(close, SMALL), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")))
     members = members.select(F.col("root").alias("key"), "node", shingles(F.col("text")).alias("shingles"), F.lit(False).alias("asks"))
     rows = dealt(members, close.groupBy(F.col("root").alias("key")).count(), SET_BLOCK).drop("asks")
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(set_linker(similarity), "a long, b long").distinct()
@@ -389,11 +391,13 @@ def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: st
     low, hashed, own = fresh(documents, "low", "hashed", "own")
     found = written(near_duplicates(documents, id_column=id_column, text_column=text_column, **(how or FIVE_WORDS)).select("id", "text_hash", "component"), "members")
     best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("best"))
-    keys = best.select(F.col("best.id").alias(low), F.col("best.text_hash").alias(hashed))
-    repeated = found.groupBy("id", "text_hash").count().where(F.col("count") > 1).select(F.col("id").alias(low), F.col("text_hash").alias(hashed))
+    chosen = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    named = lambda df: df.select(F.col("id").alias(low), F.col("text_hash").alias(hashed))
+    gone = written(named(found.join(best, "component").where(~chosen)), "gone")
+    repeated = written(named(found.groupBy("id", "text_hash").count().where(F.col("count") > 1)), "repeated")
     tagged = documents.withColumn(own, F.xxhash64(quoted(text_column).cast("string")))
     same = quoted(id_column).eqNullSafe(F.col(low)) & (F.col(own) == F.col(hashed))
-    kept = tagged.join(keys, same, "left_semi")
+    kept = tagged.join(small(gone, SMALL), same, "left_anti")
     if not repeated.isEmpty():
         kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_column, own]))
     return kept.drop(own)
