@@ -11,10 +11,15 @@ in one task, sorted, and are compared in numpy in steps of bounded size.  A task
 star for each set of linked fingerprints, not their pairs.  Keys with more than ``BLOCK`` table rows
 are dealt out as pairs of blocks over many tasks, so that none is cut or sampled.  Equal fingerprints
 are one node from the start.
+
+Where links are decided by the Jaccard similarity of shingle sets, a second table completes the first:
+every set stands under its rarest shingles, so many that two sets of that similarity share one of them
+(prefix filter).  Only keys that join different components of the first table are compared.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +37,11 @@ BLOCK, STEP_PAIRS = 2048, 1 << 19
 SET_BLOCK, STEP_CELLS = 512, 1 << 22
 #: Rows of three numbers that a join against whole documents broadcasts at most; more are joined by shuffle.
 SMALL = 500_000
+#: Longs of a set's parity bits.
+PARITY = 16
+#: Texts whose shingles are counted to order the prefixes, in expectation at most; counts that matter,
+#: and shingles that are kept.  The order decides the cost, never the result.
+SAMPLE, LEAST_COUNT, COMMON = 4000, 3, 100_000
 #: Hashes whose bits are counted at once.
 STEP_HASHES = 1 << 15
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -76,23 +86,71 @@ def simhash(hashes: np.ndarray, longs: int) -> list[int]:
     return out
 
 
-def fingerprint(text: Column, *, words: int, longs: int = 1, index_words: int | None = None, check_longs: int = 0) -> Column:
+def set_marks(shingles: np.ndarray) -> list[int]:
+    """Of a set: ``PARITY`` signed longs with the parity of its members in each slot, and its size.
+
+    Two sets differ in at least as many members as their parities differ in bits.
+    """
+    odd = np.bincount((shingles % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return [*np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist(), len(shingles)]
+
+
+def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The rarest members of a set, so many that any set of this similarity has one of them in its own prefix.
+
+    Members go by their count (``times`` of the sorted ``common``, else 0), then by hash.  Similar sets
+    share at least ``similarity`` of the larger one, so the first of what they share stands in both.
+    """
+    count = np.zeros(len(shingles), np.int64)
+    if len(common):
+        place = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        count = np.where(common[place] == shingles, times[place], 0)
+    most = len(shingles) - math.ceil(similarity * len(shingles) - 1e-6) + 1
+    return shingles[np.lexsort((shingles, count))[:most]]
+
+
+def common_shingles(documents: DataFrame, text_column: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that stand in several texts of a sample by hash, and in how many."""
+
+    @F.pandas_udf("array<long>")
+    def distinct(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
+
+    grid, text = 1 << 40, quoted(text_column).cast("string")
+    low = F.pmod(F.xxhash64(text, F.lit(7)), F.lit(grid)) < int(grid * min(1.0, SAMPLE / max(1, documents.count())))
+    counts = documents.where(low).select(F.explode(distinct(text)).alias("shingle")).groupBy("shingle").count()
+    rows = counts.where(F.col("count") >= LEAST_COUNT).orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    found = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r["count"] for r in rows], np.int64)[order]
+
+
+def fingerprint(
+    text: Column, *, words: int, longs: int = 1, index_words: int | None = None, check_longs: int = 0, similarity: float | None = None, common: tuple[np.ndarray, np.ndarray] | None = None
+) -> Column:
     """Struct of ``bits`` (``longs`` parts) and ``checks`` (``check_longs`` parts) of a string column.
 
+    With ``similarity`` also ``marks`` and ``prefix`` of the set of shingles of ``words`` words, in the
+    order by ``common``; else they are empty.
+
     ``bits`` is over shingles of ``words`` words with their repeats, or over the distinct shingles of
     ``index_words`` words where that is given; ``checks`` is over shingles of ``words`` words.  Null,
     empty and wordless texts have the fingerprint zero.
     """
 
-    @F.pandas_udf("bits array<long>, checks array<long>")
+    @F.pandas_udf("bits array<long>, checks array<long>, marks array<long>, prefix array<long>")
     def parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for t in batch:
                 own = shingle_hashes(t, words)
                 index = own if index_words is None else np.unique(shingle_hashes(t, index_words))
-                rows.append((simhash(index, longs), simhash(own, check_longs)))
-            yield pd.DataFrame(rows, columns=["bits", "checks"])
+                made = [simhash(index, longs), simhash(own, check_longs), [], []]
+                if similarity is not None:
+                    own = np.unique(own)
+                    made[2:] = set_marks(own), prefix(own, similarity, *common).view(np.int64)
+                rows.append(made)
+            yield pd.DataFrame(rows, columns=["bits", "checks", "marks", "prefix"])
 
     return parts(text.cast("string"))
 
@@ -106,8 +164,28 @@ def unpack(column: pd.Series, width: int) -> np.ndarray:
     return np.array(column.tolist(), np.int64).reshape(len(column), width).view(np.uint64)
 
 
-def compare(bits: np.ndarray, left: np.ndarray, right: np.ndarray, radius: int) -> np.ndarray:
-    return np.bitwise_count(bits[left] ^ bits[right]).sum(1, dtype=np.int64) <= radius
+def within(radius: int):
+    """Compares rows of bits: at most ``radius`` differ."""
+
+    def near(bits: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(bits[left] ^ bits[right]).sum(1, dtype=np.int64) <= radius
+
+    return near
+
+
+def may_reach(similarity: float):
+    """Compares marks of sets: false only where the sets can't have this Jaccard similarity."""
+
+    def near(marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        size = marks[:, PARITY].astype(np.float64)
+        a, b = size[left], size[right]
+        out = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6
+        a, b, some = a[out], b[out], np.flatnonzero(out)
+        apart = np.bitwise_count(marks[left[some], :PARITY] ^ marks[right[some], :PARITY]).sum(1, dtype=np.int64)
+        out[some] = apart <= (1 - similarity) / (1 + similarity) * (a + b) + 1e-6
+        return out
+
+    return near
 
 
 def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -124,10 +202,11 @@ def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return root
 
 
-def stars(table: pd.DataFrame, ball: pd.DataFrame, width: int, radius: int, across: bool) -> Iterator[pd.DataFrame]:
+def stars(table: pd.DataFrame, ball: pd.DataFrame, width: int, near_by, across: bool) -> Iterator[pd.DataFrame]:
     """Verified links of one run of whole keys: each node with the smallest of its set.
 
-    ``across``: table rows are compared only if they are of different ``side``.
+    ``across``: table rows are compared only if they are of different ``side``.  Rows of one ``root``, if
+    they have that column, aren't compared.
     """
     both = pd.concat([table, ball], ignore_index=True)
     order = np.argsort(both["key"].to_numpy(), kind="stable")  # table rows first within a key
@@ -135,6 +214,8 @@ def stars(table: pd.DataFrame, ball: pd.DataFrame, width: int, radius: int, acro
     bits = (unpack(both["bits"], width) if "bits" in both else both["node"].to_numpy().view(np.uint64)[:, None])[order]
     asked = np.concatenate([np.ones(len(table), bool), np.zeros(len(ball), bool)])[order]
     side = both["side"].to_numpy()[order] if across else None
+    known = both["root"].to_numpy()[order] if "root" in both else None
+    step = STEP_PAIRS * 8 // max(8, width)
     last = np.searchsorted(key, key, side="right")
     first = np.flatnonzero(asked)
     partners = last[first] - first - 1
@@ -142,11 +223,14 @@ def stars(table: pd.DataFrame, ball: pd.DataFrame, width: int, radius: int, acro
     total, at = np.cumsum(partners), 0
     kept_left, kept_right = [], []
     while at < len(first):
-        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP_PAIRS, side="right")))
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + step, side="right")))
         count = partners[at:end]
         left = np.repeat(first[at:end], count)
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(count) - count, count)
-        near = compare(bits, left, right, radius)
+        if known is not None:
+            apart = known[left] != known[right]
+            left, right = left[apart], right[apart]
+        near = near_by(bits, left, right)
         if across:
             near &= ~asked[right] | (side[left] != side[right])
         left, right = left[near], right[near]
@@ -163,7 +247,7 @@ def stars(table: pd.DataFrame, ball: pd.DataFrame, width: int, radius: int, acro
         yield out[out["a"] != out["b"]].drop_duplicates()
 
 
-def linker(width: int, radius: int):
+def linker(width: int, near_by):
     """Turns rows sorted by (key, blocks, asks) into links; the rows of a key may run over several batches."""
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,7 +259,7 @@ def linker(width: int, radius: int):
                 own = part[(part["i"] != part["j"]) == across]
                 if len(own):
                     own = own.assign(key=np.unique(own[["key", "i", "j"]].astype("int64").to_numpy(), axis=0, return_inverse=True)[1].reshape(-1) if (own["j"] > 0).any() else own["key"])
-                    yield from stars(own[~own["asks"]], own[own["asks"]], width, radius, across)
+                    yield from stars(own[~own["asks"]], own[own["asks"]], width, near_by, across)
 
         for batch in batches:
             held.append(batch)
@@ -247,10 +331,27 @@ def links(nodes: DataFrame, *, longs: int, radius: int, ball: int = 1, check_lon
     if width > 1:
         rows = rows.join(nodes.select("node", F.col("checks" if check_longs else "bits").alias("bits")), "node")
     rows = dealt(rows, crowded, BLOCK)
-    near = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "asks").mapInPandas(linker(width, radius), "a long, b long")
+    near = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "asks").mapInPandas(linker(width, within(radius)), "a long, b long")
     return near.distinct()
 
 
+def prefix_links(nodes: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b), a < b, that with ``found`` connect all nodes whose sets have this Jaccard similarity.
+
+    ``nodes``: node (unique), marks and prefix; ``found``: a written table (node, root) of what is connected
+    already.  No pair is missed; what the marks can't exclude is linked without being similar.
+    """
+    placed = nodes.join(small(found, SMALL), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "prefix")
+    rows = placed.select(F.explode("prefix").alias("key"), "node", "root")
+    joins = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where(F.col("low") != F.col("high"))
+    joins = written(joins.select("key"), "joining-keys")
+    rows = written(rows.join(small(joins, SMALL), "key", "left_semi"), "joining")
+    counts = written(rows.groupBy("key").count(), "joining-counts")
+    rows = rows.withColumn("asks", F.lit(False)).join(nodes.select("node", F.col("marks").alias("bits")), "node")
+    near = dealt(rows, counts, BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return near.mapInPandas(linker(PARITY + 1, may_reach(similarity)), "a long, b long").distinct()
+
+
 def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (left < right) of sorted distinct hashes with at least this Jaccard similarity.
 
@@ -350,24 +451,32 @@ def near_duplicates(
 
     Documents link at ``radius`` or fewer differing bits of their fingerprints over shingles of ``words``
     words.  With ``check_longs`` those are the checks, and the tables are over the distinct shingles of
-    ``index_words`` words (see :func:`links`).  With ``similarity`` a link must moreover have that Jaccard
-    similarity of the sets of shingles of ``words`` words, which is decided exactly inside each class that
-    the fingerprints connect.
+    ``index_words`` words (see :func:`links`).  With ``similarity`` the links are just the pairs of at least
+    that Jaccard similarity of the sets of shingles of ``words`` words.  It is decided exactly inside each
+    class that the fingerprints connect, then inside each that :func:`prefix_links` adds, which misses none.
 
     Null, empty and wordless texts have fingerprint zero and link like any other.  Rows with a null id
     take part; they get their component's smallest id, null if none has one.  Repeated rows stay.
     """
     text = quoted(text_column).cast("string")
-    made = fingerprint(text, words=words, longs=longs, index_words=index_words, check_longs=check_longs)
+    common = None if similarity is None else common_shingles(documents, text_column, words)
+    made = fingerprint(text, words=words, longs=longs, index_words=index_words, check_longs=check_longs, similarity=similarity, common=common)
     slim = documents.select(quoted(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), made.alias("made")).select("id", "text_hash", "made.*")
     slim = written(slim.withColumn("node", F.col("bits")[0] if longs == 1 and not check_longs else F.xxhash64("bits", "checks")), "fingerprints")
     rank = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("one")
-    nodes = slim.groupBy("node").agg(F.min("id").alias("low_id"), rank, F.first("bits").alias("bits"), F.first("checks").alias("checks"))
+    firsts = [F.first(c).alias(c) for c in ("bits", "checks", *(() if similarity is None else ("marks", "prefix")))]
+    nodes = slim.groupBy("node").agg(F.min("id").alias("low_id"), rank, *firsts)
     nodes = written(nodes, "nodes")
     found = components(links(nodes, longs=longs, radius=radius, ball=ball, check_longs=check_longs))
     if similarity is not None:
-        close = written(found.join(nodes.select("node", "one"), "node").select("node", "root", "one.id", "one.text_hash"), "close")
-        found = components(similar_links(documents, close, id_column=id_column, text_column=text_column, words=words, similarity=similarity))
+
+        def decided(classes: DataFrame) -> DataFrame:
+            close = written(classes.join(nodes.select("node", "one"), "node").select("node", "root", "one.id", "one.text_hash"), "close")
+            return written(similar_links(documents, close, id_column=id_column, text_column=text_column, words=words, similarity=similarity), "similar")
+
+        sure = decided(found)
+        more = decided(components(prefix_links(nodes, written(components(sure), "found"), similarity)))
+        found = components(sure.unionByName(more))
     ids = nodes.select("node", "low_id").join(found, "node", "left").withColumn("component", F.coalesce("root", "node"))
     lowest = ids.groupBy("component").agg(F.min("low_id").alias("component_id"))
     labels = ids.join(lowest, "component").select("node", "component", "component_id")
@@ -375,10 +484,8 @@ def near_duplicates(
 
 
 #: Parameters for shingles of five words and a similarity of 0.8.  Tables: 1,024 bits over the distinct
-#: words in 32 segments, ball of radius 0; texts whose shingles have Jaccard similarity 0.8 differ in
-#: about 6 % of these bits, so all but about 1 % of such pairs share a segment.  Checked over 512 bits
-#: from shingles of five, 78 of which differ on average at that similarity (cosine 8/9), deviation 8;
-#: what passes is compared exactly.
+#: words in 32 segments, ball of radius 0, which finds most near copies at little cost; checked over 512
+#: bits from shingles of five.  The prefixes, a fifth of each set, bring together all other pairs.
 FIVE_WORDS = {"words": 5, "longs": 16, "radius": 104, "ball": 0, "index_words": 1, "check_longs": 8, "similarity": 0.8}
 
 

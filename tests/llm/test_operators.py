@@ -136,6 +136,45 @@ def test_similarity_is_decided_exactly(spark, monkeypatch, block):
     assert [got[i] for i in range(len(texts))] == root.tolist()
 
 
+def test_every_pair_of_the_similarity_meets(spark):
+    rng = random.Random(3)
+    texts, edits = [], ["append", "cut", "both ends", "short", "swap"]
+    for k in range(300):
+        edit = edits[k % 5]
+        n = rng.randrange(5, 30) if edit == "short" else rng.randrange(100, 400)
+        base, new = [f"w{rng.randrange(10**7)}" for _ in range(n)], [f"n{rng.randrange(10**7)}" for _ in range(n)]
+        most = (n - 4) // 4  # new shingles at a similarity of 0.8
+        if edit == "cut":
+            own = base[: n - (n - 4) // 5]
+        elif edit == "both ends":
+            own = new[: most // 2] + base + new[most // 2 : most]
+        elif edit == "swap":
+            own = [new[i] if i % 45 == 40 else w for i, w in enumerate(base)]
+        else:
+            own = base + new[:most]
+        texts += [" ".join(base), " ".join(own)]
+    sets = [set(simhash_dedup.shingle_hashes(t, 5).tolist()) for t in texts]
+    near = [10 * len(sets[i] & sets[i + 1]) >= 8 * len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in simhash_dedup.near_duplicates(frame, **simhash_dedup.FIVE_WORDS).collect()}
+    assert all(near[k] or got[2 * k + 1] == 2 * k + 1 for k in range(300))
+    missed = {e: (sum(near[k] and got[2 * k + 1] != 2 * k for k in range(i, 300, 5)), sum(near[i::5])) for i, e in enumerate(edits)}
+    assert min(pairs for _, pairs in missed.values()) >= 50 and not any(n for n, _ in missed.values()), missed
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        base = np.unique(rng.integers(0, 1 << 62, rng.integers(1, 60)).astype(np.uint64))
+        other = np.unique(np.concatenate([base[rng.random(len(base)) < 0.95], rng.integers(0, 1 << 62, rng.integers(0, 6)).astype(np.uint64)]))
+        common = np.unique(rng.choice(base, len(base) // 2 + 1))
+        times = rng.integers(3, 9, len(common))
+        if 10 * len(np.intersect1d(base, other)) >= 8 * len(np.union1d(base, other)):
+            assert len(np.intersect1d(*(simhash_dedup.prefix(x, 0.8, common, times) for x in (base, other))))
+            marks = np.array([simhash_dedup.set_marks(x) for x in (base, other)], np.int64).view(np.uint64)
+            assert simhash_dedup.may_reach(0.8)(marks, np.array([0]), np.array([1])).all()
+
+
 def test_similar_sets():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 30, rng.integers(0, 25))).astype(np.uint64) for _ in range(40)]
