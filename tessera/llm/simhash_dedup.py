@@ -87,12 +87,12 @@ def simhash(hashes: np.ndarray, longs: int) -> list[int]:
 
 
 def set_marks(shingles: np.ndarray) -> list[int]:
-    """Of a set: ``PARITY`` signed longs with the parity of its members in each slot, and its size.
+    """Of a set: ``PARITY`` signed longs with the parity of its members in each slot, its size, its hash.
 
     Two sets differ in at least as many members as their parities differ in bits.
     """
     odd = np.bincount((shingles % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
-    return [*np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist(), len(shingles)]
+    return [*np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist(), len(shingles), int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))]
 
 
 def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -126,31 +126,30 @@ def common_shingles(documents: DataFrame, text_column: str, words: int) -> tuple
 
 
 def fingerprint(
-    text: Column, *, words: int, longs: int = 1, index_words: int | None = None, check_longs: int = 0, similarity: float | None = None, common: tuple[np.ndarray, np.ndarray] | None = None
+    text: Column, *, words: int, longs: int = 1, index_words: int | None = None, similarity: float | None = None, common: tuple[np.ndarray, np.ndarray] | None = None
 ) -> Column:
-    """Struct of ``bits`` (``longs`` parts) and ``checks`` (``check_longs`` parts) of a string column.
+    """Struct of ``bits`` (``longs`` parts), ``marks`` and ``prefix`` of a string column.
 
-    With ``similarity`` also ``marks`` and ``prefix`` of the set of shingles of ``words`` words, in the
-    order by ``common``; else they are empty.
+    Marks and prefix (in the order by ``common``) are of the set of shingles of ``words`` words; they are
+    empty without ``similarity``.
 
     ``bits`` is over shingles of ``words`` words with their repeats, or over the distinct shingles of
-    ``index_words`` words where that is given; ``checks`` is over shingles of ``words`` words.  Null,
-    empty and wordless texts have the fingerprint zero.
+    ``index_words`` words where that is given.  Null, empty and wordless texts have the bits zero.
     """
 
-    @F.pandas_udf("bits array<long>, checks array<long>, marks array<long>, prefix array<long>")
+    @F.pandas_udf("bits array<long>, marks array<long>, prefix array<long>")
     def parts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for t in batch:
                 own = shingle_hashes(t, words)
                 index = own if index_words is None else np.unique(shingle_hashes(t, index_words))
-                made = [simhash(index, longs), simhash(own, check_longs), [], []]
+                made = [simhash(index, longs), [], []]
                 if similarity is not None:
                     own = np.unique(own)
-                    made[2:] = set_marks(own), prefix(own, similarity, *common).view(np.int64)
+                    made[1:] = set_marks(own), prefix(own, similarity, *common).view(np.int64)
                 rows.append(made)
-            yield pd.DataFrame(rows, columns=["bits", "checks", "marks", "prefix"])
+            yield pd.DataFrame(rows, columns=["bits", "marks", "prefix"])
 
     return parts(text.cast("string"))
 
@@ -304,12 +303,12 @@ def dealt(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
     return rows.join(hot, "key", "left").withColumn("side", side).select("key", *kept, "side", F.inline(place))
 
 
-def links(nodes: DataFrame, *, longs: int, radius: int, ball: int = 1, check_longs: int = 0) -> DataFrame:
+def links(nodes: DataFrame, *, longs: int, radius: int, ball: int = 1, similarity: float | None = None) -> DataFrame:
     """Links (a, b), a < b, that connect just what all pairs of near nodes connect.
 
-    ``nodes``: node long (unique), bits array<long> of ``longs`` parts, checks array<long> of
-    ``check_longs`` parts.  Near: at most ``radius`` differing bits, of the checks if there are any, else
-    of the bits (a node of one part is its bits).  All pairs up to ``2 longs (ball + 1) - 1`` differing
+    ``nodes``: node long (unique), bits array<long> of ``longs`` parts, with ``similarity`` also marks.
+    Near: at most ``radius`` differing bits (a node of one part is its bits); with ``similarity`` instead
+    whatever the marks can't exclude.  All pairs up to ``2 longs (ball + 1) - 1`` differing
     bits meet; farther ones if they come as close in one segment.
     """
     part = lambda k: (F.col("bits")[k].bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(F.col("bits")[k], SEGMENT))
@@ -327,11 +326,11 @@ def links(nodes: DataFrame, *, longs: int, radius: int, ball: int = 1, check_lon
     rows = table.join(met, "key", "left_semi").withColumn("asks", F.lit(False))
     if asking is not None:
         rows = rows.unionByName(asking.withColumn("asks", F.lit(True)))
-    width = check_longs or longs
+    width, near_by, column = (longs, within(radius), "bits") if similarity is None else (PARITY + 2, may_reach(similarity), "marks")
     if width > 1:
-        rows = rows.join(nodes.select("node", F.col("checks" if check_longs else "bits").alias("bits")), "node")
+        rows = rows.join(nodes.select("node", F.col(column).alias("bits")), "node")
     rows = dealt(rows, crowded, BLOCK)
-    near = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "asks").mapInPandas(linker(width, within(radius)), "a long, b long")
+    near = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "asks").mapInPandas(linker(width, near_by), "a long, b long")
     return near.distinct()
 
 
@@ -349,7 +348,7 @@ def prefix_links(nodes: DataFrame, found: DataFrame, similarity: float) -> DataF
     counts = written(rows.groupBy("key").count(), "joining-counts")
     rows = rows.withColumn("asks", F.lit(False)).join(nodes.select("node", F.col("marks").alias("bits")), "node")
     near = dealt(rows, counts, BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return near.mapInPandas(linker(PARITY + 1, may_reach(similarity)), "a long, b long").distinct()
+    return near.mapInPandas(linker(PARITY + 2, may_reach(similarity)), "a long, b long").distinct()
 
 
 def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -445,13 +444,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, longs: int = 1, radius: int = 3, ball: int = 1, index_words: int | None = None, check_longs: int = 0, similarity: float | None = None
+    documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, longs: int = 1, radius: int = 3, ball: int = 1, index_words: int | None = None, similarity: float | None = None
 ) -> DataFrame:
     """One row per document: id, text_hash, bits, component, component_id (the smallest id in reach).
 
     Documents link at ``radius`` or fewer differing bits of their fingerprints over shingles of ``words``
-    words.  With ``check_longs`` those are the checks, and the tables are over the distinct shingles of
-    ``index_words`` words (see :func:`links`).  With ``similarity`` the links are just the pairs of at least
+    words.  With ``similarity`` the tables are over the distinct shingles of ``index_words`` words (see
+    :func:`links`), equal sets of shingles are one node, and the links are just the pairs of at least
     that Jaccard similarity of the sets of shingles of ``words`` words.  It is decided exactly inside each
     class that the fingerprints connect, then inside each that :func:`prefix_links` adds, which misses none.
 
@@ -460,14 +459,14 @@ def near_duplicates(
     """
     text = quoted(text_column).cast("string")
     common = None if similarity is None else common_shingles(documents, text_column, words)
-    made = fingerprint(text, words=words, longs=longs, index_words=index_words, check_longs=check_longs, similarity=similarity, common=common)
+    made = fingerprint(text, words=words, longs=longs, index_words=index_words, similarity=similarity, common=common)
     slim = documents.select(quoted(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), made.alias("made")).select("id", "text_hash", "made.*")
-    slim = written(slim.withColumn("node", F.col("bits")[0] if longs == 1 and not check_longs else F.xxhash64("bits", "checks")), "fingerprints")
+    slim = written(slim.withColumn("node", F.xxhash64("marks") if similarity is not None else F.col("bits")[0] if longs == 1 else F.xxhash64("bits")), "fingerprints")
     rank = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("one")
-    firsts = [F.first(c).alias(c) for c in ("bits", "checks", *(() if similarity is None else ("marks", "prefix")))]
+    firsts = [F.first(c).alias(c) for c in ("bits", *(() if similarity is None else ("marks", "prefix")))]
     nodes = slim.groupBy("node").agg(F.min("id").alias("low_id"), rank, *firsts)
     nodes = written(nodes, "nodes")
-    found = components(links(nodes, longs=longs, radius=radius, ball=ball, check_longs=check_longs))
+    found = components(links(nodes, longs=longs, radius=radius, ball=ball, similarity=similarity))
     if similarity is not None:
 
         def decided(classes: DataFrame) -> DataFrame:
@@ -484,9 +483,9 @@ def near_duplicates(
 
 
 #: Parameters for shingles of five words and a similarity of 0.8.  Tables: 1,024 bits over the distinct
-#: words in 32 segments, ball of radius 0, which finds most near copies at little cost; checked over 512
-#: bits from shingles of five.  The prefixes, a fifth of each set, bring together all other pairs.
-FIVE_WORDS = {"words": 5, "longs": 16, "radius": 104, "ball": 0, "index_words": 1, "check_longs": 8, "similarity": 0.8}
+#: words in 32 segments, ball of radius 0, which finds most near copies at little cost.  The prefixes, a
+#: fifth of each set, bring together all other pairs.
+FIVE_WORDS = {"words": 5, "longs": 16, "ball": 0, "index_words": 1, "similarity": 0.8}
 
 
 def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:

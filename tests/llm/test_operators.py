@@ -162,6 +162,18 @@ def test_every_pair_of_the_similarity_meets(spark):
     assert min(pairs for _, pairs in missed.values()) >= 50 and not any(n for n, _ in missed.values()), missed
 
 
+def test_repeats_do_not_part_equal_sets(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(10):
+        base, line = [f"w{rng.randrange(10**7)}" for _ in range(300)], [f"l{rng.randrange(10**7)}" for _ in range(15)]
+        texts += [" ".join(base + line * n) for n in (2, 10, 40)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = frame.select(F.col("doc_id").alias("node"), simhash_dedup.fingerprint(F.col("text"), words=5, longs=16, index_words=1, similarity=0.8, common=(np.zeros(0, np.uint64), np.zeros(0, np.int64))).alias("made")).select("node", "made.*")
+    assert made.select("bits", "marks").distinct().count() == 10
+    assert [r[0] for r in simhash_dedup.keep_one(frame).select("doc_id").orderBy("doc_id").collect()] == list(range(0, 30, 3))
+
+
 def test_prefixes_of_similar_sets_meet():
     rng = np.random.default_rng(4)
     for _ in range(300):
