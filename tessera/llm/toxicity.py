@@ -3,8 +3,9 @@
 A linear classifier over hashed words and word beginnings is trained in numpy on confirmed toxic texts
 and unlabelled texts.  The risk is the class-prior-corrected one whose negative part may not fall below
 zero: ``prior E_p[l(f)] + max(0, E_u[l(-f)] - prior E_p[l(-f)])``.  Only features that are surely more
-frequent in the confirmed texts than in the unlabelled ones get a weight.  The samples that train it
-are bounded; scoring covers every whole text in the executors.
+frequent in the confirmed texts than in the unlabelled ones get a weight; for that, all unlabelled
+texts are counted.  The samples that train it are bounded; scoring covers every whole text in the
+executors.
 """
 
 from __future__ import annotations
@@ -88,10 +89,11 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, counted: tuple[np.ndarray, int] | None = None) -> Model:
     """Minimises the non-negative risk of the logistic loss by Adam over all rows.
 
-    Without positives every score is near zero.
+    ``counted``: in how many unlabelled texts each slot stands, and how many these are; without it the
+    ``unlabelled`` rows are counted.  Without positives every score is near zero.
     """
     weights, bias = np.zeros(SLOTS), -2.0
     if not positive or not unlabelled:
@@ -101,8 +103,8 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     index = np.concatenate([*every, np.zeros(0, np.int32)])
     row = np.repeat(np.arange(len(every)), [len(r) for r in every])
     of_p = np.bincount(index[row < n_p], minlength=SLOTS)
-    of_u = np.bincount(index[row >= n_p], minlength=SLOTS)
-    lift = np.log((of_p + 0.5) / (n_p + 1)) - np.log((of_u + 0.5) / (n_u + 1)) - SURE * np.sqrt(1 / (of_p + 0.5) + 1 / (of_u + 0.5))
+    of_u, texts = counted or (np.bincount(index[row >= n_p], minlength=SLOTS), n_u)
+    lift = np.log((of_p + 0.5) / (n_p + 1)) - np.log((of_u + 0.5) / (texts + 1)) - SURE * np.sqrt(1 / (of_p + 0.5) + 1 / (of_u + 0.5))
     chosen = (of_p >= LEAST_TEXTS) & (lift > np.log(LEAST_LIFT))
     row, index = row[chosen[index]], index[chosen[index]]
     used, index = np.unique(index, return_inverse=True)
@@ -140,19 +142,42 @@ def sample(rows: DataFrame, n: int, most: int) -> list[np.ndarray]:
     return [np.frombuffer(bytes(r[0]), np.int32) for r in rows.where(low).select(packed(F.col("text"))).collect()]
 
 
+def count_texts(rows: DataFrame, only: np.ndarray) -> np.ndarray:
+    """In how many of all rows (``text``) each slot stands, for the slots ``only`` (a mask)."""
+    used = np.flatnonzero(only).astype(np.int32)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted, times = np.zeros(SLOTS, bool), np.zeros(SLOTS, np.int64)
+        wanted[used] = True
+        slots = Slots(wanted)
+        for batch in batches:
+            for t in batch["text"]:
+                times[slots.text(t)] += 1
+        some = np.flatnonzero(times)
+        yield pd.DataFrame({"slot": some, "times": times[some]})
+
+    out = np.zeros(SLOTS, np.int64)
+    for slot, times in rows.select("text").mapInPandas(count, "slot long, times long").groupBy("slot").agg(F.sum("times")).collect():
+        out[slot] = times
+    return out
+
+
 def fit(documents: DataFrame, labels: DataFrame, trains: Column, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
     """The classifier from the documents for which ``trains`` (over ``doc_id``) holds.
 
     Confirmed toxic: label 1, about ``POSITIVES`` rows at most; unlabelled: any document, about
-    ``UNLABELLED`` rows at most; both chosen by hash of the id.  The class prior is the share of label 1 among those labels.  Null
-    ids and labels are left out of training.
+    ``UNLABELLED`` rows at most; both chosen by hash of the id.  Features are chosen by their counts in all
+    unlabelled rows.  The class prior is the share of label 1 among those labels.  Null ids and labels are
+    left out of training.
     """
     own = documents.select(quoted(id_column).alias("doc_id"), quoted(text_column).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & trains)
     known = labels.select(quoted(id_column).alias("doc_id"), quoted(label_column).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & trains)
     counts = known.agg(F.count("*"), F.count(F.when(F.col("label") == 1, 1))).first()
     prior = counts[1] / counts[0] if counts[0] else 0.0
     toxic = own.join(known.where(F.col("label") == 1).select("doc_id"), "doc_id", "left_semi")
-    return train(sample(toxic, counts[1], POSITIVES), sample(own, own.select("doc_id").count(), UNLABELLED), prior)
+    positive, n = sample(toxic, counts[1], POSITIVES), own.select("doc_id").count()
+    often = np.bincount(np.concatenate([*positive, np.zeros(0, np.int32)]), minlength=SLOTS) >= LEAST_TEXTS
+    return train(positive, sample(own, n, UNLABELLED), prior, (count_texts(own, often), n) if often.any() else None)
 
 
 def learns(ident: Column) -> Column:

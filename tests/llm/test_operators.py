@@ -556,3 +556,15 @@ def test_toxicity_learns_only_what_it_may(spark):
     labels = spark.createDataFrame([(i, 1 if t == "vile" else 0) for i, t in rows], "doc_id long, toxic int")
     assert all(r[0] < 0.5 for r in documents.select(toxicity.score_documents(documents, labels)).collect())
     assert toxicity.remove_toxic(documents.limit(0), labels.limit(0)).count() == 0
+
+
+def test_toxicity_counts_all_unlabelled_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "UNLABELLED", 12)
+    rows = [(i, "vile plain" if i % 10 == 0 else "plain kind" if i % 2 else "kind") for i in range(600)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.fit(documents, labels, F.lit(True))
+    weight = lambda word: model.weights[toxicity.word_slots(word)[0]]
+    assert weight(b"vile") > 0 and weight(b"plain") == weight(b"kind") == 0
+    counts = toxicity.count_texts(documents, np.ones(toxicity.SLOTS, bool))
+    assert [counts[toxicity.word_slots(w)[0]] for w in (b"vile", b"plain", b"kind")] == [60, 360, 540]
