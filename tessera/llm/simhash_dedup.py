@@ -14,7 +14,10 @@ are one node from the start.
 
 Where links are decided by the Jaccard similarity of shingle sets, a second table completes the first:
 every set stands under its rarest shingles, so many that two sets of that similarity share one of them
-(prefix filter).  Only keys that join different components of the first table are compared.
+(prefix filter).  Only keys that join different classes of the first table are compared.  Both tables
+compare parities of the sets, and the sets themselves decide inside each class so connected.
+
+Rows and nodes are told apart by 64-bit hashes: among 10^10 rows about two pairs share one by chance.
 """
 
 from __future__ import annotations
@@ -33,15 +36,18 @@ from .common import fresh, quoted, small, written
 SEGMENT = 32
 #: Table rows of one key that meet in one task; pairs that one numpy step compares.
 BLOCK, STEP_PAIRS = 2048, 1 << 19
-#: Shingle sets of one class that meet in one task, and matrix cells that one step of theirs fills.
-SET_BLOCK, STEP_CELLS = 512, 1 << 22
-#: Rows of three numbers that a join against whole documents broadcasts at most; more are joined by shuffle.
-SMALL = 500_000
-#: Longs of a set's parity bits.
-PARITY = 16
-#: Texts whose shingles are counted to order the prefixes, in expectation at most; counts that matter,
-#: and shingles that are kept.  The order decides the cost, never the result.
-SAMPLE, LEAST_COUNT, COMMON = 4000, 3, 100_000
+#: Shingle sets of one class that meet in one task, and bytes of theirs, in expectation at most.
+SET_BLOCK, SET_BYTES = 512, 32 << 20
+#: Rows of one or two longs that a join broadcasts at most (some 160 MB in memory); more are joined by shuffle.
+SMALL = 4_000_000
+#: Links of a node from which its rows are joined apart, by broadcast, so that no task gets a whole hub.
+HUB = 1024
+#: Longs of a set's parity bits in one level; members of a level at most, in expectation; slack, in standard deviations.
+PARITY, LEVEL, SLACK = 4, 128, 6.0
+MARKS = 1 + 2 * PARITY
+#: One in so many texts is counted to order the prefixes; counts that matter, and shingles that are kept.
+#: The order decides the cost, never the result.
+SAMPLE, LEAST_COUNT, COMMON = 16, 3, 100_000
 #: Hashes whose bits are counted at once.
 STEP_HASHES = 1 << 15
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -86,13 +92,29 @@ def simhash(hashes: np.ndarray, longs: int) -> list[int]:
     return out
 
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """XXH64 of each distinct word of the lower-cased (A-Z) text."""
+    words = set(() if text is None else text.encode("utf-8", "surrogatepass").translate(SPACES).split())
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+
+
+def level_of(size: np.ndarray) -> np.ndarray:
+    """The level at which about ``LEVEL`` members are left at most: level k keeps one hash in 2^k."""
+    return np.ceil(np.log2(np.maximum(1, size / LEVEL))).astype(np.int64)
+
+
 def set_marks(shingles: np.ndarray) -> list[int]:
-    """Of a set: ``PARITY`` signed longs with the parity of its members in each slot, its size, its hash.
+    """Of a set: its size, ``PARITY`` signed longs of parities at its level, as many one level up, its hash.
 
-    Two sets differ in at least as many members as their parities differ in bits.
+    A level's parities tell of each slot whether it holds an odd number of the level's members, so two
+    sets differ in at least as many of those as their parities differ in bits.
     """
-    odd = np.bincount((shingles % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
-    return [*np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist(), len(shingles), int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))]
+    level, out = int(level_of(np.array([len(shingles)]))[0]), [len(shingles)]
+    for k in (level, level + 1):
+        own = shingles[(shingles >> np.uint64(64 - k)) == 0] if k else shingles
+        odd = np.bincount((own % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+        out += np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+    return [*out, int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))]
 
 
 def prefix(shingles: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -116,9 +138,8 @@ def common_shingles(documents: DataFrame, text_column: str, words: int) -> tuple
     def distinct(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
 
-    grid, text = 1 << 40, quoted(text_column).cast("string")
-    low = F.pmod(F.xxhash64(text, F.lit(7)), F.lit(grid)) < int(grid * min(1.0, SAMPLE / max(1, documents.count())))
-    counts = documents.where(low).select(F.explode(distinct(text)).alias("shingle")).groupBy("shingle").count()
+    text = quoted(text_column).cast("string")
+    counts = documents.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(SAMPLE)) == 0).select(F.explode(distinct(text)).alias("shingle")).groupBy("shingle").count()
     rows = counts.where(F.col("count") >= LEAST_COUNT).orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
     found = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
     order = np.argsort(found)
@@ -126,15 +147,15 @@ def common_shingles(documents: DataFrame, text_column: str, words: int) -> tuple
 
 
 def fingerprint(
-    text: Column, *, words: int, longs: int = 1, index_words: int | None = None, similarity: float | None = None, common: tuple[np.ndarray, np.ndarray] | None = None
+    text: Column, *, words: int, longs: int = 1, distinct_words: bool = False, similarity: float | None = None, common: tuple[np.ndarray, np.ndarray] | None = None
 ) -> Column:
     """Struct of ``bits`` (``longs`` parts), ``marks`` and ``prefix`` of a string column.
 
     Marks and prefix (in the order by ``common``) are of the set of shingles of ``words`` words; they are
     empty without ``similarity``.
 
-    ``bits`` is over shingles of ``words`` words with their repeats, or over the distinct shingles of
-    ``index_words`` words where that is given.  Null, empty and wordless texts have the bits zero.
+    ``bits`` is over shingles of ``words`` words with their repeats, or with ``distinct_words`` over those.
+    Null, empty and wordless texts have the bits zero.
     """
 
     @F.pandas_udf("bits array<long>, marks array<long>, prefix array<long>")
@@ -143,7 +164,7 @@ def fingerprint(
             rows = []
             for t in batch:
                 own = shingle_hashes(t, words)
-                index = own if index_words is None else np.unique(shingle_hashes(t, index_words))
+                index = word_hashes(t) if distinct_words else own
                 made = [simhash(index, longs), [], []]
                 if similarity is not None:
                     own = np.unique(own)
@@ -173,15 +194,25 @@ def within(radius: int):
 
 
 def may_reach(similarity: float):
-    """Compares marks of sets: false only where the sets can't have this Jaccard similarity."""
+    """Compares marks of sets: false only where the sets can't have this Jaccard similarity.
+
+    Up to ``LEVEL`` members that is certain.  Of larger sets a level is a random part, and the bound lies
+    ``SLACK`` standard deviations above what similar sets may differ in: some 10^-9 of them fail it.
+    """
 
     def near(marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        size = marks[:, PARITY].astype(np.float64)
+        size = marks[:, 0].astype(np.float64)
+        level = level_of(size)
         a, b = size[left], size[right]
         out = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6
-        a, b, some = a[out], b[out], np.flatnonzero(out)
-        apart = np.bitwise_count(marks[left[some], :PARITY] ^ marks[right[some], :PARITY]).sum(1, dtype=np.int64)
-        out[some] = apart <= (1 - similarity) / (1 + similarity) * (a + b) + 1e-6
+        left, right, some = left[out], right[out], np.flatnonzero(out)
+        at = np.maximum(level[left], level[right])
+        parity = marks[:, 1 : 1 + 2 * PARITY].reshape(-1, 2, PARITY)
+        up = lambda side: np.minimum(at - level[side], 1)
+        apart = np.bitwise_count(parity[left, up(left)] ^ parity[right, up(right)]).sum(1, dtype=np.int64)
+        most = (1 - similarity) / (1 + similarity) * (a[out] + b[out]) / 2.0**at
+        # Sets of one level share it; where the sizes are further apart they can't be similar at all.
+        out[some] = apart <= most + (at > 0) * SLACK * (np.sqrt(most) + 1) + 1e-6
         return out
 
     return near
@@ -290,7 +321,7 @@ def dealt(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
     A key of over ``most`` table rows (``counts``: key, count) is cut into blocks by hash, and every pair
     of blocks is a meeting of its own, as is each block with all the balls.
     """
-    hot = counts.where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
+    hot = written(counts.where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("blocks")), "hot-keys")
     zero = F.lit(0)
     if hot.isEmpty():
         return rows.select("*", zero.alias("side"), zero.alias("i"), zero.alias("j"))
@@ -300,7 +331,7 @@ def dealt(rows: DataFrame, counts: DataFrame, most: int) -> DataFrame:
         F.transform(every, lambda x: F.struct(F.least(x, F.col("side")).alias("i"), F.greatest(x, F.col("side")).alias("j")))
     )
     kept = [c for c in rows.columns if c != "key"]
-    return rows.join(hot, "key", "left").withColumn("side", side).select("key", *kept, "side", F.inline(place))
+    return rows.join(small(hot, SMALL), "key", "left").withColumn("side", side).select("key", *kept, "side", F.inline(place))
 
 
 def links(nodes: DataFrame, *, longs: int, radius: int, ball: int = 1, similarity: float | None = None) -> DataFrame:
@@ -326,9 +357,9 @@ def links(nodes: DataFrame, *, longs: int, radius: int, ball: int = 1, similarit
     rows = table.join(met, "key", "left_semi").withColumn("asks", F.lit(False))
     if asking is not None:
         rows = rows.unionByName(asking.withColumn("asks", F.lit(True)))
-    width, near_by, column = (longs, within(radius), "bits") if similarity is None else (PARITY + 2, may_reach(similarity), "marks")
+    width, near_by, column = (longs, within(radius), "bits") if similarity is None else (MARKS, may_reach(similarity), "marks")
     if width > 1:
-        rows = rows.join(nodes.select("node", F.col(column).alias("bits")), "node")
+        rows = rows.join(nodes.select("node", F.slice(column, 1, width).alias("bits")), "node")
     rows = dealt(rows, crowded, BLOCK)
     near = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "asks").mapInPandas(linker(width, near_by), "a long, b long")
     return near.distinct()
@@ -346,46 +377,49 @@ def prefix_links(nodes: DataFrame, found: DataFrame, similarity: float) -> DataF
     joins = written(joins.select("key"), "joining-keys")
     rows = written(rows.join(small(joins, SMALL), "key", "left_semi"), "joining")
     counts = written(rows.groupBy("key").count(), "joining-counts")
-    rows = rows.withColumn("asks", F.lit(False)).join(nodes.select("node", F.col("marks").alias("bits")), "node")
+    rows = rows.withColumn("asks", F.lit(False)).join(nodes.select("node", F.slice("marks", 1, MARKS).alias("bits")), "node")
     near = dealt(rows, counts, BLOCK).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return near.mapInPandas(linker(PARITY + 2, may_reach(similarity)), "a long, b long").distinct()
+    return near.mapInPandas(linker(MARKS, may_reach(similarity)), "a long, b long").distinct()
 
 
-def similar_sets(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left < right) of sorted distinct hashes with at least this Jaccard similarity.
+def connect(sets: list[np.ndarray], label: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of sets (sorted distinct hashes) that, with equal ``label``, connect what all pairs of this Jaccard similarity connect.
 
-    Intersections are products of 0/1 matrices over the hashes that two sets or more have.
+    One set after another, the first one first, is compared with all of other labels, and whom it links
+    it joins.  Once only members of the largest label are left, each other pair of labels was compared.
     """
     n, size = len(sets), np.array([len(s) for s in sets], np.int64)
-    values, column, times = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
-    shared = times > 1
-    row, kept = np.repeat(np.arange(n), size), shared[column]
-    row, column = row[kept], (np.cumsum(shared) - 1)[column[kept]]
-    common, width = np.zeros((n, n), np.float64), max(1, STEP_CELLS // n)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    for at in range(0, int(shared.sum()), width):
-        low, high = np.searchsorted(column, (at, at + width))
-        part = np.zeros((n, min(width, int(shared.sum()) - at)), np.float32)
-        part[row[low:high], column[low:high] - at] = 1
-        common += part @ part.T
-    left, right = np.nonzero(np.triu(common >= similarity * (size[:, None] + size[None, :] - common) - 1e-6, 1))
-    return left, right
+    values, row = np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(n), size)
+    order = np.argsort(values, kind="stable")
+    values, row = values[order], row[order]
+    label = np.unique(label, return_inverse=True)[1].reshape(-1)
+    waits, left, right, x = np.ones(n, bool), [], [], 0 if n else -1
+    while x >= 0:
+        waits[x] = False
+        low, high = np.searchsorted(values, sets[x], "left"), np.searchsorted(values, sets[x], "right")
+        count = high - low
+        found = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        common = np.bincount(row[found], minlength=n)
+        near = np.flatnonzero((label != label[x]) & (common >= similarity * (size + size[x] - common) - 1e-6))
+        if len(near):
+            left.append(np.full(len(near), x))
+            right.append(near)
+            label[np.isin(label, label[near])] = label[x]
+        rest = np.flatnonzero(waits & (label != np.bincount(label).argmax()))
+        x = int(rest[0]) if len(rest) else -1
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
 def set_linker(similarity: float):
-    """Turns rows (key, node, shingles, side, i, j) sorted by (key, i, j) into links, one meeting at a time."""
+    """Turns rows (key, i, j, later, node, label, shingles) sorted by (key, i, j, later) into links, one meeting at a time."""
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(bytes(s), np.uint64) for s in rows["shingles"]]
-        left, right = similar_sets(sets, similarity)
-        if rows["i"].iloc[0] != rows["j"].iloc[0]:
-            side = rows["side"].to_numpy()
-            apart = side[left] != side[right]
-            left, right = left[apart], right[apart]
-        root, node = roots(len(sets), left, right), rows["node"].to_numpy()
-        a, b = node[root], node
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})[a != b]
+        rows = rows.drop_duplicates("node")
+        left, right = connect([np.frombuffer(bytes(s), np.uint64) for s in rows["shingles"]], rows["label"].to_numpy(), similarity)
+        node = rows["node"].to_numpy()
+        a, b = node[left], node[right]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -405,9 +439,11 @@ def set_linker(similarity: float):
 
 
 def similar_links(documents: DataFrame, close: DataFrame, *, id_column: str, text_column: str, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of the nodes whose texts' shingle sets have at least this Jaccard similarity, decided exactly.
+    """A written table of links (a, b) that connect what the pairs of at least this Jaccard similarity inside the classes connect.
 
-    ``close``: (node, root, id, text_hash), one text for each node; nodes of one root are compared.
+    ``documents`` has no (id, text) twice.  ``close``: a written table (node, root, doc, size), one document
+    for each node; nodes of one root are a class.  First each class meets in blocks, the root in all of them.  What that leaves apart in a class
+    of several blocks are few as a rule: those outside the class's largest part meet all its blocks.
     """
 
     @F.pandas_udf("binary")
@@ -416,11 +452,51 @@ def similar_links(documents: DataFrame, close: DataFrame, *, id_column: str, tex
             yield pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in batch])
 
     text = quoted(text_column).cast("string")
-    texts = documents.select(quoted(id_column).alias("own_id"), F.xxhash64(text).alias("own_hash"), text.alias("text"))
-    members = texts.join(small(close, SMALL), F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_hash") == F.col("text_hash")))
-    members = members.select(F.col("root").alias("key"), "node", shingles(F.col("text")).alias("shingles"), F.lit(False).alias("asks"))
-    rows = dealt(members, close.groupBy(F.col("root").alias("key")).count(), SET_BLOCK).drop("asks")
-    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(set_linker(similarity), "a long, b long").distinct()
+    texts = documents.select(F.xxhash64(quoted(id_column), text).alias("doc"), text.alias("text"))
+
+    def met(rows: DataFrame) -> DataFrame:
+        """``rows``: (key, i, j, later, node, label, doc)."""
+        own = texts.join(small(written(rows, "meetings"), SMALL // 4), "doc").withColumn("shingles", shingles("text")).drop("doc", "text")
+        return own.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "later").mapInPandas(set_linker(similarity), "a long, b long").distinct()
+
+    parts = lambda n, size: F.greatest(F.ceil(n / SET_BLOCK), F.ceil(8 * size / SET_BYTES), F.lit(1)).cast("int")
+    classes = written(close.groupBy(F.col("root").alias("key")).agg(parts(F.count("*"), F.sum("size")).alias("blocks")), "classes")
+    rows = close.withColumnRenamed("root", "key").join(small(classes.where("blocks > 1"), SMALL), "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    first, block = F.col("node") == F.col("key"), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    inside = rows.select("key", F.explode(F.when(first, every(F.col("blocks"))).otherwise(F.array(block))).alias("i"), F.lit(0).alias("j"), (~first).alias("later"), "node", F.col("node").alias("label"), "doc")
+    links = written(met(inside), "similar")
+    large = rows.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    part = components(links).withColumnRenamed("root", "label")
+    large = written(large.withColumn("i", block).join(part, "node", "left").withColumn("label", F.coalesce("label", "node")), "large-classes")
+    sizes = large.groupBy("key", "label").agg(F.count("*").alias("n"))
+    most = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1")
+    apart = written(large.join(small(written(most, "largest-parts"), SMALL), "key"), "apart")
+    if apart.isEmpty():
+        return links
+    other = F.col("label") != F.col("most")
+    counts = written(apart.groupBy("key").agg(parts(F.count_if(other), F.sum(F.when(other, F.col("size")).otherwise(0))).alias("others")), "others")
+    apart = apart.join(small(counts, SMALL), "key").withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), F.col("others")).cast("int"))
+    column = ["key", "i", "j", F.lit(True).alias("later"), "node", "label", "doc"]
+    across = apart.drop("j").withColumn("j", F.explode(every(F.col("others")))).select(*column)
+    asking = apart.where(other).drop("i").withColumn("i", F.explode(every(F.col("blocks")))).select(*column)
+    return links.unionByName(written(met(across.unionByName(asking)), "similar"))
+
+
+def with_low(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (a, b) with low: the smallest of the other column and ``key`` among the rows of one ``key``.
+
+    Hubs, at most one in ``HUB`` rows, are joined by broadcast, so that their rows stay where they are.
+    """
+    other = "b" if key == "a" else "a"
+    low = written(rows.groupBy(key).agg(F.least(F.min(other), F.col(key)).alias("low"), F.count("*").alias("n")), "lows")
+    hubs = low.where(F.col("n") > HUB).drop("n")
+    if hubs.isEmpty():
+        return rows.join(low.drop("n"), key)
+    hubs = small(hubs, SMALL)
+    return rows.join(hubs, key).unionByName(rows.join(hubs.select(key), key, "left_anti").join(low.drop("n"), key))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -432,78 +508,85 @@ def components(edges: DataFrame) -> DataFrame:
     edges, before = written(edges.select("a", "b"), "links"), None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").where((F.col("b") > F.col("a")) & (F.col("low") != F.col("b"))).select(F.col("low").alias("a"), "b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("low"))
-        small = large.join(low, "b").select(F.col("low").alias("a"), F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"))
-        edges = written(small.distinct(), "links")
+        large = with_low(both, "a").where((F.col("b") > F.col("a")) & (F.col("low") != F.col("b"))).select(F.col("low").alias("a"), "b").distinct()
+        large = written(large, "links")
+        star = with_low(large, "b").select(F.col("low").alias("a"), F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"))
+        edges = written(star.distinct(), "links")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         before = now
 
 
+def once(documents: DataFrame, doc: Column, repeated: DataFrame) -> DataFrame:
+    """``documents`` with one row of each value of ``doc``; ``repeated``: a written table of those that have several."""
+    if repeated.isEmpty():
+        return documents
+    (own,) = fresh(documents, "own")
+    repeated, tagged = small(repeated.toDF(own), SMALL), documents.withColumn(own, doc)
+    kept = tagged.join(repeated, own, "left_anti").unionByName(tagged.join(repeated, own, "left_semi").dropDuplicates([own]))
+    return kept.select(*map(quoted, documents.columns))
+
+
 def near_duplicates(
-    documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, longs: int = 1, radius: int = 3, ball: int = 1, index_words: int | None = None, similarity: float | None = None
+    documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", words: int = 3, longs: int = 1, radius: int = 3, ball: int = 1, distinct_words: bool = False, similarity: float | None = None
 ) -> DataFrame:
-    """One row per document: id, text_hash, bits, component, component_id (the smallest id in reach).
+    """One row per document: id, doc (a hash of id and text), bits, component, component_id (the smallest id in reach).
 
     Documents link at ``radius`` or fewer differing bits of their fingerprints over shingles of ``words``
-    words.  With ``similarity`` the tables are over the distinct shingles of ``index_words`` words (see
-    :func:`links`), equal sets of shingles are one node, and the links are just the pairs of at least
-    that Jaccard similarity of the sets of shingles of ``words`` words.  It is decided exactly inside each
-    class that the fingerprints connect, then inside each that :func:`prefix_links` adds, which misses none.
+    words.  With ``similarity`` equal sets of shingles are one node, and the links are just the pairs of at
+    least that Jaccard similarity of the sets of shingles of ``words`` words: the fingerprints (with
+    ``distinct_words`` over those) propose what meets in their tables, :func:`prefix_links` adds the pairs
+    that don't, and inside each class so connected the sets decide.
 
     Null, empty and wordless texts have fingerprint zero and link like any other.  Rows with a null id
-    take part; they get their component's smallest id, null if none has one.  Repeated rows stay.
+    take part; they get their component's smallest id, null if none has one.  Repeated rows stay, an
+    empty table gives none.  Other columns aren't read, whatever their names.
     """
     text = quoted(text_column).cast("string")
     common = None if similarity is None else common_shingles(documents, text_column, words)
-    made = fingerprint(text, words=words, longs=longs, index_words=index_words, similarity=similarity, common=common)
-    slim = documents.select(quoted(id_column).alias("id"), F.xxhash64(text).alias("text_hash"), made.alias("made")).select("id", "text_hash", "made.*")
-    slim = written(slim.withColumn("node", F.xxhash64("marks") if similarity is not None else F.col("bits")[0] if longs == 1 else F.xxhash64("bits")), "fingerprints")
-    rank = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("one")
+    made = fingerprint(text, words=words, longs=longs, distinct_words=distinct_words, similarity=similarity, common=common)
+    slim = documents.select(quoted(id_column).alias("id"), F.xxhash64(quoted(id_column), text).alias("doc"), made.alias("made")).select("id", "doc", "made.*")
+    slim = slim.withColumn("node", F.xxhash64("marks") if similarity is not None else F.col("bits")[0] if longs == 1 else F.xxhash64("bits"))
+    slim = written(slim, "fingerprints")
+    rank = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "doc")).alias("one")
     firsts = [F.first(c).alias(c) for c in ("bits", *(() if similarity is None else ("marks", "prefix")))]
     nodes = slim.groupBy("node").agg(F.min("id").alias("low_id"), rank, *firsts)
     nodes = written(nodes, "nodes")
     found = components(links(nodes, longs=longs, radius=radius, ball=ball, similarity=similarity))
     if similarity is not None:
-
-        def decided(classes: DataFrame) -> DataFrame:
-            close = written(classes.join(nodes.select("node", "one"), "node").select("node", "root", "one.id", "one.text_hash"), "close")
-            return written(similar_links(documents, close, id_column=id_column, text_column=text_column, words=words, similarity=similarity), "similar")
-
-        sure = decided(found)
-        more = decided(components(prefix_links(nodes, written(components(sure), "found"), similarity)))
-        found = components(sure.unionByName(more))
+        found = written(found, "found")
+        stars = found.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        classes = components(stars.unionByName(prefix_links(nodes, found, similarity)))
+        close = written(classes.join(nodes.select("node", "one", "marks"), "node").select("node", "root", "one.doc", F.col("marks")[0].alias("size")), "close")
+        repeated = written(slim.groupBy("doc").count().where("count > 1").select("doc"), "repeated")
+        slender = documents.select(quoted(id_column), quoted(text_column))
+        slender = once(slender, F.xxhash64(quoted(id_column), text), repeated)
+        found = components(similar_links(slender, close, id_column=id_column, text_column=text_column, words=words, similarity=similarity))
     ids = nodes.select("node", "low_id").join(found, "node", "left").withColumn("component", F.coalesce("root", "node"))
     lowest = ids.groupBy("component").agg(F.min("low_id").alias("component_id"))
     labels = ids.join(lowest, "component").select("node", "component", "component_id")
-    return slim.join(labels, "node").select("id", "text_hash", "bits", "component", "component_id")
+    return slim.join(labels, "node").select("id", "doc", "bits", "component", "component_id")
 
 
-#: Parameters for shingles of five words and a similarity of 0.8.  Tables: 1,024 bits over the distinct
-#: words in 32 segments, ball of radius 0, which finds most near copies at little cost.  The prefixes, a
+#: Parameters for shingles of five words and a similarity of 0.8.  Tables: 128 bits over the distinct
+#: words in 4 segments, balls of radius 1, which join most near copies at little cost.  The prefixes, a
 #: fifth of each set, bring together all other pairs.
-FIVE_WORDS = {"words": 5, "longs": 16, "ball": 0, "index_words": 1, "similarity": 0.8}
+FIVE_WORDS = {"words": 5, "longs": 2, "ball": 1, "distinct_words": True, "similarity": 0.8}
 
 
 def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **how) -> DataFrame:
     """``documents`` with one row of each component: the one with the smallest id, columns as they were.
 
-    Without parameters those of ``FIVE_WORDS`` hold.  Null ids come last, ties go by the text's hash, and
-    of rows that repeat an (id, text) one stays.
+    Without parameters those of ``FIVE_WORDS`` hold.  Null ids come last, ties go by a hash of id and
+    text, and of rows that repeat an (id, text) one stays.  An empty table stays empty; extra columns stay,
+    whatever their names.
     """
-    low, hashed, own = fresh(documents, "low", "hashed", "own")
-    found = written(near_duplicates(documents, id_column=id_column, text_column=text_column, **(how or FIVE_WORDS)).select("id", "text_hash", "component"), "members")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("best"))
-    chosen = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    named = lambda df: df.select(F.col("id").alias(low), F.col("text_hash").alias(hashed))
-    gone = written(named(found.join(best, "component").where(~chosen)), "gone")
-    repeated = written(named(found.groupBy("id", "text_hash").count().where(F.col("count") > 1)), "repeated")
-    tagged = documents.withColumn(own, F.xxhash64(quoted(text_column).cast("string")))
-    same = quoted(id_column).eqNullSafe(F.col(low)) & (F.col(own) == F.col(hashed))
-    kept = tagged.join(small(gone, SMALL), same, "left_anti")
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([id_column, own]))
-    return kept.drop(own)
+    found = written(near_duplicates(documents, id_column=id_column, text_column=text_column, **(how or FIVE_WORDS)).select("id", "doc", "component"), "members")
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc"))["doc"].alias("best"))
+    (own,) = fresh(documents, "own")
+    doc = F.xxhash64(quoted(id_column), quoted(text_column).cast("string"))
+    gone = written(found.join(best, "component").where("doc != best").select(F.col("doc").alias(own)).distinct(), "gone")
+    repeated = written(found.groupBy("doc").count().where("count > 1").select("doc"), "repeated")
+    kept = documents.withColumn(own, doc).join(small(gone, SMALL), own, "left_anti")
+    return once(kept.select(*map(quoted, documents.columns)), doc, repeated)

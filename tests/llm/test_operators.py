@@ -169,7 +169,7 @@ def test_repeats_do_not_part_equal_sets(spark):
         base, line = [f"w{rng.randrange(10**7)}" for _ in range(300)], [f"l{rng.randrange(10**7)}" for _ in range(15)]
         texts += [" ".join(base + line * n) for n in (2, 10, 40)]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    made = frame.select(F.col("doc_id").alias("node"), simhash_dedup.fingerprint(F.col("text"), words=5, longs=16, index_words=1, similarity=0.8, common=(np.zeros(0, np.uint64), np.zeros(0, np.int64))).alias("made")).select("node", "made.*")
+    made = frame.select(F.col("doc_id").alias("node"), simhash_dedup.fingerprint(F.col("text"), words=5, longs=2, distinct_words=True, similarity=0.8, common=(np.zeros(0, np.uint64), np.zeros(0, np.int64))).alias("made")).select("node", "made.*")
     assert made.select("bits", "marks").distinct().count() == 10
     assert [r[0] for r in simhash_dedup.keep_one(frame).select("doc_id").orderBy("doc_id").collect()] == list(range(0, 30, 3))
 
@@ -187,12 +187,34 @@ def test_prefixes_of_similar_sets_meet():
             assert simhash_dedup.may_reach(0.8)(marks, np.array([0]), np.array([1])).all()
 
 
-def test_similar_sets():
+@pytest.mark.parametrize("known", [False, True])
+def test_connected_sets(known):
     rng = np.random.default_rng(1)
-    sets = [np.unique(rng.integers(0, 30, rng.integers(0, 25))).astype(np.uint64) for _ in range(40)]
-    left, right = simhash_dedup.similar_sets(sets, 0.5)
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))}
-    assert set(zip(left.tolist(), right.tolist(), strict=True)) == want
+    for n in (0, 1, 40):
+        sets = [np.unique(rng.integers(0, 30, rng.integers(0, 25))).astype(np.uint64) for _ in range(n)]
+        want = [(i, j) for i in range(n) for j in range(i + 1, n) if len(np.intersect1d(sets[i], sets[j])) >= 0.5 * len(np.union1d(sets[i], sets[j]))]
+        label = rng.integers(0, 12, n) if known else np.arange(n)
+        left, right = simhash_dedup.connect(sets, label, 0.5)
+        assert {(min(p), max(p)) for p in zip(left.tolist(), right.tolist(), strict=True)} <= set(want)
+        same = [(i, j) for i in range(n) for j in range(i) if label[i] == label[j]]
+        root = lambda links: simhash_dedup.roots(n, np.array([a for a, _ in links], int), np.array([b for _, b in links], int)).tolist()
+        assert root([*zip(left, right, strict=True), *same]) == root([*want, *same])
+
+
+def test_marks_of_large_sets():
+    rng = np.random.default_rng(2)
+    apart = 0
+    for n in (100, 128, 129, 300, 900, 20_000):
+        for _ in range(40):
+            every = np.unique(rng.integers(0, 1 << 64, 2 * n, dtype=np.uint64))
+            rng.shuffle(every)
+            base, most = every[:n], int(n * 0.2)  # without a fifth the similarity is 0.8
+            sets = [base, base[: n - most], np.concatenate([base[: n - most // 2], every[n : n + most // 2]]), every[n : 2 * n]]
+            marks = np.array([simhash_dedup.set_marks(np.sort(x)) for x in sets], np.int64).view(np.uint64)
+            near = simhash_dedup.may_reach(0.8)(marks, np.zeros(3, int), np.array([1, 2, 3]))
+            assert near[:2].all()
+            apart += not near[2]
+    assert apart > 235  # of 240 unrelated pairs
 
 
 def test_simhash_of_nothing(nothing):
