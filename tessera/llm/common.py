@@ -52,15 +52,34 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: Rows of one key from which a join takes them apart from the rest.
+HUB = 1024
+
+
+def join_hubs(rows: DataFrame, table: DataFrame, key: str, most: int = 4_000_000) -> DataFrame:
+    """``rows`` joined with the written ``table`` (key, n, ...): one row for each key, n the rows it has in ``rows``.
+
+    Keys of over ``HUB`` rows, so at most one in ``HUB`` rows, are joined by broadcast (up to ``most`` of
+    them), and their rows stay where they are; no task gets a whole hub.  The other keys join by shuffle.
+    """
+    hubs = table.where(F.col("n") > HUB).drop("n")
+    if hubs.isEmpty():
+        return rows.join(table.drop("n"), key)
+    hubs = small(hubs, most)
+    return rows.join(hubs, key).unionByName(rows.join(hubs.select(key), key, "left_anti").join(table.drop("n"), key))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Where that is unset, as in a local test, it is a
-    temporary folder of this process, which local executors see.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset in local mode, as in a test, it is a
+    temporary folder of this process; on a cluster, whose machines don't share one, it has to be set.
     """
     global _ours
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
+    if not spark.conf.get("spark.master", "local").startswith("local") or spark.conf.get("spark.master", "").startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _ours is None:
         _ours = tempfile.mkdtemp(prefix="tessera-")
     return f"file://{_ours}"

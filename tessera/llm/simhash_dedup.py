@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, small, written
+from .common import fresh, join_hubs, quoted, small, written
 
 SEGMENT = 32
 #: Table rows of one key that meet in one task; pairs that one numpy step compares.
@@ -40,8 +40,6 @@ BLOCK, STEP_PAIRS = 2048, 1 << 19
 SET_BLOCK, SET_BYTES = 512, 32 << 20
 #: Rows of one or two longs that a join broadcasts at most (some 160 MB in memory); more are joined by shuffle.
 SMALL = 4_000_000
-#: Links of a node from which its rows are joined apart, by broadcast, so that no task gets a whole hub.
-HUB = 1024
 #: Longs of a set's parity bits in one level; members of a level at most, in expectation; slack, in standard deviations.
 PARITY, LEVEL, SLACK = 4, 128, 6.0
 MARKS = 1 + 2 * PARITY
@@ -486,17 +484,10 @@ def similar_links(documents: DataFrame, close: DataFrame, *, id_column: str, tex
 
 
 def with_low(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` (a, b) with low: the smallest of the other column and ``key`` among the rows of one ``key``.
-
-    Hubs, at most one in ``HUB`` rows, are joined by broadcast, so that their rows stay where they are.
-    """
+    """``rows`` (a, b) with low: the smallest of the other column and ``key`` among the rows of one ``key``."""
     other = "b" if key == "a" else "a"
-    low = written(rows.groupBy(key).agg(F.least(F.min(other), F.col(key)).alias("low"), F.count("*").alias("n")), "lows")
-    hubs = low.where(F.col("n") > HUB).drop("n")
-    if hubs.isEmpty():
-        return rows.join(low.drop("n"), key)
-    hubs = small(hubs, SMALL)
-    return rows.join(hubs, key).unionByName(rows.join(hubs.select(key), key, "left_anti").join(low.drop("n"), key))
+    low = rows.groupBy(key).agg(F.least(F.min(other), F.col(key)).alias("low"), F.count("*").alias("n"))
+    return join_hubs(rows, written(low, "lows"), key, SMALL)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -564,8 +555,9 @@ def near_duplicates(
         slender = once(slender, F.xxhash64(quoted(id_column), text), repeated)
         found = components(similar_links(slender, close, id_column=id_column, text_column=text_column, words=words, similarity=similarity))
     ids = nodes.select("node", "low_id").join(found, "node", "left").withColumn("component", F.coalesce("root", "node"))
-    lowest = ids.groupBy("component").agg(F.min("low_id").alias("component_id"))
-    labels = ids.join(lowest, "component").select("node", "component", "component_id")
+    ids = written(ids.select("node", "low_id", "component"), "components")
+    lowest = written(ids.groupBy("component").agg(F.min("low_id").alias("component_id"), F.count("*").alias("n")), "lowest")
+    labels = join_hubs(ids, lowest, "component", SMALL).select("node", "component", "component_id")
     return slim.join(labels, "node").select("id", "doc", "bits", "component", "component_id")
 
 
@@ -583,10 +575,11 @@ def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: st
     whatever their names.
     """
     found = written(near_duplicates(documents, id_column=id_column, text_column=text_column, **(how or FIVE_WORDS)).select("id", "doc", "component"), "members")
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc"))["doc"].alias("best"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "doc"))["doc"].alias("best"), F.count("*").alias("n"))
+    best = written(best, "best")
     (own,) = fresh(documents, "own")
     doc = F.xxhash64(quoted(id_column), quoted(text_column).cast("string"))
-    gone = written(found.join(best, "component").where("doc != best").select(F.col("doc").alias(own)).distinct(), "gone")
+    gone = written(join_hubs(found, best, "component", SMALL).where("doc != best").select(F.col("doc").alias(own)).distinct(), "gone")
     repeated = written(found.groupBy("doc").count().where("count > 1").select("doc"), "repeated")
     kept = documents.withColumn(own, doc).join(small(gone, SMALL), own, "left_anti")
     return once(kept.select(*map(quoted, documents.columns)), doc, repeated)
