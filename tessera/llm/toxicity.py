@@ -16,23 +16,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, quoted
+from .common import STEP_BYTES, quoted, written
 from .decontaminate import WORD_BYTES
 
 #: Slots for hashed features: whole words, and beginnings of so many bytes.
 SLOTS = 1 << 20
 BEGINNINGS = range(3, 9)
-#: Rows that train, in expectation at most: confirmed toxic ones, and unlabelled ones.
-POSITIVES, UNLABELLED = 3000, 8000
+#: Rows that train, in expectation at most: confirmed toxic ones, and unlabelled ones; bytes of their features at most.
+POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 8000, 64 << 20
 ROUNDS, RATE, DECAY = 150, 0.1, 5e-4
 #: Confirmed texts in which a feature must stand, the least factor by which it must be more frequent in
 #: them, and how many standard errors below the estimate that factor is read.
 LEAST_TEXTS, LEAST_LIFT, SURE = 3, 2.0, 2.5
 #: Words that a worker remembers; when full, it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 def word_slots(word: bytes) -> list[int]:
@@ -104,8 +104,7 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     row = np.repeat(np.arange(len(every)), [len(r) for r in every])
     of_p = np.bincount(index[row < n_p], minlength=SLOTS)
     of_u, texts = counted or (np.bincount(index[row >= n_p], minlength=SLOTS), n_u)
-    lift = np.log((of_p + 0.5) / (n_p + 1)) - np.log((of_u + 0.5) / (texts + 1)) - SURE * np.sqrt(1 / (of_p + 0.5) + 1 / (of_u + 0.5))
-    chosen = (of_p >= LEAST_TEXTS) & (lift > np.log(LEAST_LIFT))
+    chosen = frequent(of_p, n_p, of_u, texts, SURE)
     row, index = row[chosen[index]], index[chosen[index]]
     used, index = np.unique(index, return_inverse=True)
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
@@ -129,21 +128,36 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return Model(weights, float(w[-1]))
 
 
-def sample(rows: DataFrame, n: int, most: int) -> list[np.ndarray]:
-    """Slots of the rows (``doc_id``, ``text``; n of them) whose id's hash is low: about ``most``, or all."""
+GRID = 1 << 40
+
+
+def low(name: Column, share: float) -> Column:
+    """True for about this share of names, by their hash."""
+    return F.pmod(F.xxhash64(name, F.lit(7)), F.lit(GRID)) < int(GRID * min(1.0, share))
+
+
+def sample(rows: DataFrame, most_bytes: int = SAMPLE_BYTES) -> list[np.ndarray]:
+    """Slots of the rows (``doc_id``, ``text``), each (doc_id, text) once, in the order of a hash.
+
+    Rows are taken while their slots fit ``most_bytes``; the rows behind them are left out, so that a few
+    very long texts can't fill the driver.
+    """
 
     @F.pandas_udf("binary")
     def packed(texts: pd.Series) -> pd.Series:
         slots = Slots()
         return pd.Series([slots.text(t).tobytes() for t in texts])
 
-    grid = 1 << 40
-    low = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(grid)) < int(grid * min(1.0, most / max(1, n)))
-    return [np.frombuffer(bytes(r[0]), np.int32) for r in rows.where(low).select(packed(F.col("text"))).collect()]
+    name = F.xxhash64("doc_id", "text")
+    each = written(rows.groupBy(name.alias("name")).agg(F.first("text").alias("text")).select("name", packed(F.col("text")).alias("slots")), "sampled")
+    sizes = each.select("name", F.octet_length("slots").alias("bytes"))
+    order = Window.orderBy(F.xxhash64("name"), "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    kept = sizes.withColumn("upto", F.sum("bytes").over(order)).where(F.col("upto") <= most_bytes)  # at most some thousand rows
+    return [np.frombuffer(bytes(r[0]), np.int32) for r in each.join(F.broadcast(kept.select("name")), "name").select("slots").collect()]
 
 
-def count_texts(rows: DataFrame, only: np.ndarray) -> np.ndarray:
-    """In how many of all rows (``text``) each slot stands, for the slots ``only`` (a mask)."""
+def count_texts(rows: DataFrame, only: np.ndarray, n: int = 0) -> np.ndarray:
+    """In how many of all n rows (``text``) each slot stands, for the slots ``only`` (a mask); for others n."""
     used = np.flatnonzero(only).astype(np.int32)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,33 +170,52 @@ def count_texts(rows: DataFrame, only: np.ndarray) -> np.ndarray:
         some = np.flatnonzero(times)
         yield pd.DataFrame({"slot": some, "times": times[some]})
 
-    out = np.zeros(SLOTS, np.int64)
+    out = np.where(only, 0, n)
     for slot, times in rows.select("text").mapInPandas(count, "slot long, times long").groupBy("slot").agg(F.sum("times")).collect():
         out[slot] = times
     return out
 
 
-def fit(documents: DataFrame, labels: DataFrame, trains: Column, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
+def frequent(of_p: np.ndarray, n_p: int, of_u: np.ndarray, n_u: int, sure: float) -> np.ndarray:
+    """Slots that are ``LEAST_LIFT`` times as frequent in the confirmed texts, ``sure`` standard errors below the estimate."""
+    lift = np.log((of_p + 0.5) / (n_p + 1)) - np.log((of_u + 0.5) / (n_u + 1)) - sure * np.sqrt(1 / (of_p + 0.5) + 1 / (of_u + 0.5))
+    return (of_p >= LEAST_TEXTS) & (lift > np.log(LEAST_LIFT))
+
+
+def slot_counts(rows: list[np.ndarray]) -> np.ndarray:
+    return np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=SLOTS)
+
+
+def fit(
+    documents: DataFrame, labels: DataFrame, trains: Column, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", positives: int | None = None, unlabelled: int | None = None
+) -> Model:
     """The classifier from the documents for which ``trains`` (over ``doc_id``) holds.
 
-    Confirmed toxic: label 1, about ``POSITIVES`` rows at most; unlabelled: any document, about
-    ``UNLABELLED`` rows at most; both chosen by hash of the id.  Features are chosen by their counts in all
-    unlabelled rows.  The class prior is the share of label 1 among those labels.  Null ids and labels are
-    left out of training.
+    Confirmed toxic: label 1, about ``positives`` rows at most (else ``POSITIVES``); unlabelled: any document,
+    about ``unlabelled`` rows at most (else ``UNLABELLED``); both chosen by hash, and no more than their features fill
+    ``SAMPLE_BYTES``.  Features are chosen by their counts in all unlabelled rows, but for those that the
+    sample excludes by ``2 SURE`` standard errors.  The class prior is the share of label 1 among the
+    labelled documents.  A document with several labels is toxic if one of them is 1; an (id, text)
+    that repeats is sampled once.  Null ids and labels are left out of training, null texts are
+    empty.  Only the chosen documents' texts are shuffled.
     """
+    positives, unlabelled = positives or POSITIVES, unlabelled or UNLABELLED
     own = documents.select(quoted(id_column).alias("doc_id"), quoted(text_column).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & trains)
     known = labels.select(quoted(id_column).alias("doc_id"), quoted(label_column).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & trains)
+    known = written(known.groupBy("doc_id").agg(F.max("label").alias("label")), "known-labels")
     counts = known.agg(F.count("*"), F.count(F.when(F.col("label") == 1, 1))).first()
     prior = counts[1] / counts[0] if counts[0] else 0.0
-    toxic = own.join(known.where(F.col("label") == 1).select("doc_id"), "doc_id", "left_semi")
-    positive, n = sample(toxic, counts[1], POSITIVES), own.select("doc_id").count()
-    often = np.bincount(np.concatenate([*positive, np.zeros(0, np.int32)]), minlength=SLOTS) >= LEAST_TEXTS
-    return train(positive, sample(own, n, UNLABELLED), prior, (count_texts(own, often), n) if often.any() else None)
+    toxic = known.where((F.col("label") == 1) & low(F.col("doc_id"), positives / max(1, counts[1]))).select("doc_id")
+    positive, n = sample(own.join(F.broadcast(toxic), "doc_id", "left_semi")), own.count()  # about `positives` ids
+    some = sample(own.where(low(F.xxhash64("doc_id", "text"), unlabelled / max(1, n))))
+    of_p, of_s = slot_counts(positive), slot_counts(some)
+    may = frequent(of_p, len(positive), of_s, len(some), -2 * SURE)
+    return train(positive, some, prior, (count_texts(own, may, n), n) if may.any() else None)
 
 
 def learns(ident: Column) -> Column:
-    """Rows whose labels may be learnt: crc32 of the id as text, modulo 3, is not 1."""
-    return F.crc32(ident.cast("string").cast("binary")) % 3 != 1
+    """Rows whose labels may be learnt: crc32 of the id as text, modulo 3, is not 1; a null id has no such remainder."""
+    return F.coalesce(F.crc32(ident.cast("string").cast("binary")) % 3 != 1, F.lit(True))
 
 
 def toxicity(text: Column, model: Model) -> Column:
@@ -201,11 +234,11 @@ def toxicity(text: Column, model: Model) -> Column:
     return score(text.cast("string"))
 
 
-def score_documents(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> Column:
+def score_documents(documents: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **how) -> Column:
     """The score as a column for ``documents``, its model learnt from the rows that :func:`learns` allows."""
-    return toxicity(quoted(text_column), fit(documents, labels, learns(F.col("doc_id")), id_column=id_column, text_column=text_column))
+    return toxicity(quoted(text_column), fit(documents, labels, learns(F.col("doc_id")), id_column=id_column, text_column=text_column, **how))
 
 
-def remove_toxic(documents: DataFrame, labels: DataFrame, *, least: float = 0.7, **columns: str) -> DataFrame:
+def remove_toxic(documents: DataFrame, labels: DataFrame, *, least: float = 0.7, **how) -> DataFrame:
     """``documents`` without those that score ``least`` or more, columns and other rows as they were."""
-    return documents.where(score_documents(documents, labels, **columns) < least)
+    return documents.where(score_documents(documents, labels, **how) < least)
