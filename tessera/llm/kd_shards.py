@@ -2,25 +2,28 @@
 
 A node is split at the weighted median of its widest dimension, all nodes of a level at once.  The
 median is found by histograms: sums of the weights over at most ``BINS`` equal parts of the interval
-that holds it, again and again until one part is light enough.  Only those sums, at most ``BINS`` per
-node, come to the driver.  Where one value weighs too much the next key decides: dimension, then text
-hash, then row hash, so that equal texts stay together unless that would unbalance the halves.
+that holds it, again and again until one part is light enough.  Nodes, intervals and cuts are tables,
+and a window per node picks the part: the driver sees only whether nodes are left.  Where one value
+weighs too much the next key decides: dimension, then text hash, then row hash, so that equal texts stay
+together unless that would unbalance the halves.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, written
+from .common import fresh, quoted, small, written
 
 BINS = 1024
 #: Share of a node's weight that a cut may be off; the same where keeping equal texts together costs it.
 SLACK, GROUP_SLACK = 0.0005, 0.005
 #: Rows of a shard that one window orders; parts of a shard at least.
 PART_ROWS, LEAST_PARTS = 100_000, 64
+#: Nodes of a level, a few numbers each, that are broadcast at most; more are joined by shuffle.
+MOST_NODES = 200_000
 
 
 def log_size(size: Column) -> Column:
@@ -33,90 +36,77 @@ def letters(name: Column) -> Column:
     return F.conv(hexed, 16, 10).cast("long")
 
 
-@dataclass
-class Node:
-    """A box of the tree; ``parts`` leaves will lie in it, ``first`` is the first one's number."""
-
-    name: int
-    first: int
-    parts: int
-    dimension: int = 0
-    weight: int = 0
-    wanted: float = 0
-    keys: list[tuple[int, int]] = field(default_factory=list)  # the interval of each key decided so far
-    step: int = 0
-    cut: list[int] = field(default_factory=list)  # rows with a key tuple from here on go right
-
-
-def rows_of(spark: SparkSession, kind: str, rows: list[tuple]) -> DataFrame:
-    """A literal table; numbers, null for None."""
-    one = lambda v: "NULL" if v is None else f"CAST({v} AS BIGINT)"
-    values = ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
-    return spark.sql(f"SELECT * FROM VALUES {values} AS t({kind})")
-
-
-def split_level(placed: DataFrame, nodes: list[Node], dimensions: list[str], spread: list[int]) -> None:
-    """Chooses dimension and cut of each node; ``placed`` has node, dimensions, text_hash, row_hash, size."""
-    spark, by = placed.sparkSession, {n.name: n for n in nodes}
-    ends = [f(d).alias(f"{x}{i}") for i, d in enumerate(dimensions) for x, f in (("min", F.min), ("max", F.max))]
-    live = []
-    for r in placed.groupBy("node").agg(F.sum("size").alias("weight"), *ends, F.min("text_hash").alias("min_t"), F.max("text_hash").alias("max_t"), F.min("row_hash").alias("min_r"), F.max("row_hash").alias("max_r")).collect():
-        if r["node"] not in by:
-            continue
-        n = by[r["node"]]
-        widths = [(r[f"max{i}"] - r[f"min{i}"]) / max(1, spread[i]) for i in range(len(dimensions))]
-        n.dimension = max(range(len(widths)), key=lambda i: (widths[i], -i))
-        n.weight, n.wanted = r["weight"], r["weight"] * (n.parts // 2) / n.parts
-        n.keys = [(r[f"min{n.dimension}"], r[f"max{n.dimension}"]), (r["min_t"], r["max_t"]), (r["min_r"], r["max_r"])]
-        live.append(n)
-    while live:
-        state = []
-        for n in live:
-            low, high = n.keys[n.step]
-            fixed = [n.keys[i][0] if i < n.step else None for i in range(2)]
-            state.append((n.name, n.dimension, n.step, low, high, (high - low) // BINS + 1, *fixed))
-        table = F.broadcast(rows_of(spark, "node, dimension, step, low, high, width, first_key, second_key", state))
-        at = placed.join(table, "node")
-        value = F.coalesce(*[F.when(F.col("dimension") == i, F.col(d)) for i, d in enumerate(dimensions)])
-        key = F.when(F.col("step") == 0, value).when(F.col("step") == 1, F.col("text_hash")).otherwise(F.col("row_hash"))
-        same = (F.col("first_key").isNull() | (value == F.col("first_key"))) & (F.col("second_key").isNull() | (F.col("text_hash") == F.col("second_key")))
-        counted = at.where(same).select("node", key.alias("key"), "low", "high", "width", "size").where(F.col("key").between(F.col("low"), F.col("high")))
-        sums = counted.groupBy("node", F.floor((F.col("key") - F.col("low")) / F.col("width")).cast("long").alias("bin")).agg(F.sum("size").alias("size"), F.min("key").alias("from"), F.max("key").alias("to"))
-        found: dict[int, list] = {n.name: [] for n in live}
-        for r in sums.collect():
-            found[r["node"]].append((r["from"], r["to"], r["size"]))
-        still = []
-        for n in live:
-            for low, high, size in sorted(found[n.name]):
-                if size < n.wanted:
-                    n.wanted -= size
-                    continue
-                single = low == high
-                slack = n.weight * (GROUP_SLACK if single and n.step == 1 else SLACK)
-                if size <= slack or single and n.step == 2:
-                    right = n.wanted >= size / 2  # the part stays left
-                    n.cut = [*(k[0] for k in n.keys[: n.step]), (high + 1) if right else low]
-                elif single:
-                    n.keys[n.step] = (low, low)
-                    n.step += 1
-                    still.append(n)
-                else:
-                    n.keys[n.step] = (low, high)
-                    still.append(n)
-                break
-            else:
-                n.cut = [*(k[0] for k in n.keys[: n.step]), n.keys[n.step][1] + 1]
-        live = still
-
-
-def place(placed: DataFrame, nodes: list[Node], dimensions: list[str]) -> DataFrame:
-    """The rows one level down: node 2 n left of the cut, 2 n + 1 right of it."""
-    state = [(n.name, n.dimension, *(n.cut + [None, None])[:3]) for n in nodes if n.cut]
-    if not state:
-        return placed
-    table = F.broadcast(rows_of(placed.sparkSession, "node, dimension, cut0, cut1, cut2", state))
-    at = placed.join(table, "node", "left")
-    value = F.coalesce(*[F.when(F.col("dimension") == i, F.col(d)) for i, d in enumerate(dimensions)])
+def chosen(names: list[str], which: str = "dimension") -> Column:
+    """The column of that number."""
+    return F.coalesce(*[F.when(F.col(which) == i, F.col(c)) for i, c in enumerate(names)])
+
+
+def first_state(placed: DataFrame, nodes: DataFrame, dimensions: list[str], spread: list[int]) -> DataFrame:
+    """One row for each of ``nodes`` (node, first, parts) with rows: its dimension and the interval of each key.
+
+    wanted: the weight that goes left; step: the key that decides now, 0 the dimension, 1 the text hash, 2
+    the row hash; low and high: that key's interval; key0 and key1: the values of the keys before it.
+    """
+    ends = [f(d).alias(f"{x}{i}") for i, d in enumerate([*dimensions, "text_hash", "row_hash"]) for x, f in (("min", F.min), ("max", F.max))]
+    own = placed.join(small(nodes, MOST_NODES), "node").groupBy("node", "parts").agg(F.sum("size").alias("weight"), *ends)
+    n = len(dimensions)
+    widths = F.array(*[F.struct(((F.col(f"max{i}") - F.col(f"min{i}")) / max(1, spread[i])).alias("width"), F.lit(-i).alias("order")) for i in range(n)])
+    own = own.withColumn("dimension", -F.array_max(widths)["order"])
+    wanted = F.col("weight") * F.floor(F.col("parts") / 2) / F.col("parts")
+    none, bound = F.lit(None).cast("long"), lambda x: chosen([f"{x}{i}" for i in range(n)])
+    return own.select(
+        "node", "dimension", "weight", wanted.alias("wanted"), F.lit(0).alias("step"), bound("min").alias("low"), bound("max").alias("high"), none.alias("key0"), none.alias("key1"),
+        F.struct(F.col(f"min{n}").alias("low"), F.col(f"max{n}").alias("high")).alias("texts"), F.struct(F.col(f"min{n + 1}").alias("low"), F.col(f"max{n + 1}").alias("high")).alias("rows"),
+        *[none.alias(f"cut{i}") for i in range(3)], F.lit(False).alias("done"),
+    )
+
+
+def next_state(placed: DataFrame, state: DataFrame, dimensions: list[str]) -> DataFrame:
+    """``state`` one histogram on: nodes whose part is light enough or a single row hash are done and have cuts."""
+    at = placed.join(small(state.select("node", "dimension", "step", "low", "high", "key0", "key1"), MOST_NODES), "node")
+    value = chosen(dimensions)
+    key = F.when(F.col("step") == 0, value).when(F.col("step") == 1, F.col("text_hash")).otherwise(F.col("row_hash"))
+    same = (F.col("key0").isNull() | (value == F.col("key0"))) & (F.col("key1").isNull() | (F.col("text_hash") == F.col("key1")))
+    width = F.floor((F.col("high") - F.col("low")) / BINS) + 1
+    counted = at.where(same).select("node", key.alias("key"), "low", "high", width.alias("width"), "size").where(F.col("key").between(F.col("low"), F.col("high")))
+    bins = counted.groupBy("node", F.floor((F.col("key") - F.col("low")) / F.col("width")).cast("long").alias("bin")).agg(F.sum("size").alias("size"), F.min("key").alias("from"), F.max("key").alias("to"))
+    upto = F.sum("size").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    reached = bins.withColumn("upto", upto).join(small(state.select("node", "wanted"), MOST_NODES), "node").where(F.col("upto") >= F.col("wanted"))
+    part = reached.groupBy("node").agg(F.min_by(F.struct("from", "to", "size", (F.col("upto") - F.col("size")).alias("before")), "bin").alias("part"))
+    now, step = state.join(small(written(part, "median-parts"), MOST_NODES), "node", "left"), F.col("step")
+    low, high, size = F.col("part.from"), F.col("part.to"), F.col("part.size")
+    rest = F.col("wanted") - F.col("part.before")
+    single, last = low == high, step == 2
+    light = size <= F.col("weight") * F.when(single & (step == 1), GROUP_SLACK).otherwise(SLACK)
+    cut = F.when(F.col("part").isNull(), F.col("high") + 1).when(light | single & last, F.when(rest >= size / 2, high + 1).otherwise(low))
+    after = F.when(step == 0, F.col("texts")).otherwise(F.col("rows"))
+    deeper = single & cut.isNull()
+    return now.select(
+        "node", "dimension", "weight", F.coalesce(rest, F.col("wanted")).alias("wanted"), F.when(deeper, step + 1).otherwise(step).alias("step"),
+        F.when(deeper, after["low"]).otherwise(F.coalesce(low, F.col("low"))).alias("low"), F.when(deeper, after["high"]).otherwise(F.coalesce(high, F.col("high"))).alias("high"),
+        *[F.when(deeper & (step == i), low).otherwise(F.col(f"key{i}")).alias(f"key{i}") for i in range(2)], "texts", "rows",
+        *[F.when(cut.isNotNull() & (step == i), cut).when(cut.isNotNull() & (step > i), F.col(f"key{i}") if i < 2 else F.lit(None)).cast("long").alias(f"cut{i}") for i in range(3)],
+        cut.isNotNull().alias("done"),
+    )
+
+
+def split_level(placed: DataFrame, nodes: DataFrame, dimensions: list[str], spread: list[int]) -> DataFrame:
+    """(node, dimension, cut0, cut1, cut2) of the nodes that have rows: rows whose keys come from there on go right.
+
+    ``placed`` has node, dimensions, text_hash, row_hash, size.
+    """
+    ready, state = [], written(first_state(placed, nodes, dimensions, spread), "intervals")
+    while not state.isEmpty():
+        now = written(next_state(placed, state, dimensions), "intervals")
+        ready.append(now.where("done").select("node", "dimension", "cut0", "cut1", "cut2"))
+        state = now.where("not done")
+    return written(reduce(DataFrame.unionByName, ready), "cuts") if ready else state.select("node", "dimension", "cut0", "cut1", "cut2")
+
+
+def place(placed: DataFrame, cuts: DataFrame, dimensions: list[str]) -> DataFrame:
+    """The rows one level down: node 2 n left of the cut, 2 n + 1 right of it; nodes without a cut stay."""
+    at = placed.join(small(cuts, MOST_NODES), "node", "left")
+    value = chosen(dimensions)
     right = (value > F.col("cut0")) | (value == F.col("cut0")) & (
         F.col("cut1").isNull() | (F.col("text_hash") > F.col("cut1")) | (F.col("text_hash") == F.col("cut1")) & (F.col("cut2").isNull() | (F.col("row_hash") >= F.col("cut2")))
     )
@@ -135,7 +125,10 @@ def kd_shards(
     they are the logarithm of the size and, if there is one, the ``lang`` column's name.
 
     Shards differ by at most a percent or so of their weight, or by a document where tables are small;
-    with fewer rows than shards some stay empty.  Null ids and repeated rows are rows like any other.
+    with fewer rows than shards some stay empty, and an empty table gives no rows.  Null ids and texts and
+    repeated rows are rows like any other; rows that repeat id and text go to one shard.  Equal texts
+    share a shard unless that costs over ``GROUP_SLACK`` of a node.  Dimensions lie between -2^61 and 2^61.
+    Other columns stay, whatever their names, but for ``shard_column`` and ``slot_column``, which must be new.
     """
     names = fresh(documents, "size", "node", "text_hash", "row_hash", "part", "before", "s", "p")
     n_size, n_node, n_text, n_row, n_part, n_before, n_s, n_p = names
@@ -148,19 +141,25 @@ def kd_shards(
     points = written(documents.select(*[F.coalesce(d.cast("long"), F.lit(0)).alias(a) for d, a in zip(dims, d_names, strict=True)], text_hash.alias("text_hash"), row_hash.alias("row_hash"), size.alias("size")), "points")
     whole = points.agg(F.sum("size").alias("size"), F.count("*").alias("rows"), *[(F.max(d) - F.min(d)).alias(d) for d in d_names]).first()
     leaves = shards or max(1, -(-(whole["size"] or 0) // target_bytes))
-    nodes, done, levels = [Node(1, 0, leaves)], [], []
+    spread, levels = [whole[d] or 0 for d in d_names], []
+    nodes = written(documents.sparkSession.sql(f"SELECT 1L AS node, 0L AS first, {leaves}L AS parts"), "nodes")
     placed = points.withColumn("node", F.lit(1).cast("long"))
-    while open_nodes := [n for n in nodes if n.parts > 1]:
-        split_level(placed, open_nodes, d_names, [whole[d] or 0 for d in d_names])
-        placed = place(placed, open_nodes, d_names)
-        levels.append(open_nodes)
-        done += [n for n in nodes if n.parts == 1 or not n.cut]
-        nodes = [c for n in open_nodes if n.cut for c in (Node(2 * n.name, n.first, n.parts // 2), Node(2 * n.name + 1, n.first + n.parts // 2, n.parts - n.parts // 2))]
-    done += nodes
-    shard_of = F.broadcast(rows_of(documents.sparkSession, "node, shard", [(n.name, n.first) for n in done]))
+    while not (open_nodes := nodes.where("parts > 1")).isEmpty():
+        cuts = split_level(placed, open_nodes.select("node", "parts"), d_names, spread)
+        if cuts.isEmpty():
+            break
+        placed = written(place(placed, cuts, d_names), "placed")
+        levels.append(cuts)
+        both = nodes.join(small(cuts.select("node", F.lit(True).alias("cut")), MOST_NODES), "node", "left")
+        half = F.floor(F.col("parts") / 2)
+        left = F.struct((2 * F.col("node")).alias("node"), "first", half.alias("parts"))
+        right = F.struct((2 * F.col("node") + 1).alias("node"), (F.col("first") + half).alias("first"), (F.col("parts") - half).alias("parts"))
+        # A node without rows is a leaf, whatever it was meant to hold.
+        nodes = written(both.select(F.inline(F.when(F.col("cut"), F.array(left, right)).otherwise(F.array(F.struct("node", "first", F.lit(1).cast("long").alias("parts")))))), "nodes")
+    shard_of = small(nodes.select("node", F.col("first").cast("int").alias("shard")), MOST_NODES)
     parts = max(LEAST_PARTS, whole["rows"] // (leaves * PART_ROWS))
     part = F.pmod(F.xxhash64("row_hash"), F.lit(parts)).alias("part")
-    counts = placed.join(shard_of, "node").groupBy(F.col("shard").cast("int").alias("shard"), part).count()
+    counts = placed.join(shard_of, "node").groupBy("shard", part).count()
     order = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("shard").alias(n_s), F.col("part").alias(n_p), F.coalesce(F.sum("count").over(order), F.lit(0)).alias(n_before))
     if fixed := [c for c in (shard_column, slot_column) if c.lower() in {x.lower() for x in documents.columns}]:
@@ -170,12 +169,8 @@ def kd_shards(
     own = documents.select("*", *[F.coalesce(d.cast("long"), F.lit(0)).alias(renamed[a]) for d, a in zip(dims, d_names, strict=True)], text_hash.alias(n_text), row_hash.alias(n_row), F.lit(1).cast("long").alias(n_node))
     for level in levels:
         own = place_named(own, level, renamed, d_names)
-    leaf = F.coalesce(*[F.when(F.col(n_node) == n.name, F.lit(n.first)) for n in done]) if len(done) <= 64 else None
-    if leaf is None:
-        wide = shard_of.select(F.col("node").alias(n_node), F.col("shard").cast("int").alias(shard_column))
-        own = own.join(F.broadcast(wide), n_node)
-    else:
-        own = own.withColumn(shard_column, leaf.cast("int"))
+    wide = nodes.select(F.col("node").alias(n_node), F.col("first").cast("int").alias(shard_column))
+    own = own.join(small(wide, MOST_NODES), n_node)
     own = own.withColumn(n_part, F.pmod(F.xxhash64(n_row), F.lit(parts)))
     own = own.join(offsets, (F.col(shard_column) == F.col(n_s)) & (F.col(n_part) == F.col(n_p)))
     inside = Window.partitionBy(n_s, n_p).orderBy(n_row, n_text)
@@ -183,7 +178,7 @@ def kd_shards(
     return own.select(*map(quoted, documents.columns), shard_column, slot)
 
 
-def place_named(own: DataFrame, level: list[Node], names: dict[str, str], dimensions: list[str]) -> DataFrame:
+def place_named(own: DataFrame, level: DataFrame, names: dict[str, str], dimensions: list[str]) -> DataFrame:
     """:func:`place` under the helper names of a frame that may have columns of any name."""
     short = own.select(F.struct(*map(quoted, own.columns)).alias("all"), *[F.col(names[c]).alias(c) for c in ("node", "text_hash", "row_hash", *dimensions)])
     moved = place(short, level, dimensions)
