@@ -15,8 +15,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import lower_ascii, quoted, written
+from .common import join_hubs, lower_ascii, quoted, small, written
 
 LONGS = 2
 BITS = 64 * LONGS
@@ -25,8 +26,9 @@ LANES = 0x0001000100010001
 STRETCH, HEAVIEST = 2048, 15
 #: Rows of an order range, ranges at least and at most.
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 2000, 64, 65536
-#: Bits of a block, and rows of one block value from which the next block is joined to the key.
-BLOCK_BITS, CROWD = 32, 1024
+#: Bits of a block; fingerprints of one block value from which another block is joined to the key, and such values
+#: that are broadcast at most.
+BLOCK_BITS, CROWD, MOST_CROWDED = 32, 1024, 1_000_000
 
 
 def terms(text: Column) -> Column:
@@ -72,84 +74,109 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def near_fingerprints(prints: DataFrame, radius: int = 3) -> DataFrame:
-    """Pairs (a, b, distance) of distinct fingerprints (array<long> columns, a < b) within ``radius`` bits.
+    """(a, b, distance): each distinct fingerprint with each other one within ``radius`` bits, both ways, once.
 
-    ``prints`` has distinct ``bits``.  Its blocks of ``BLOCK_BITS`` must be more than ``radius``.  A block
-    value that over ``CROWD`` fingerprints share is a key only together with one of the blocks of 16 bits
-    of the rest, for which the same holds; so no key stays crowded just because one block is common.
+    ``prints`` has distinct ``bits``; its other columns are taken along, of b.  Its blocks of ``BLOCK_BITS``
+    must be more than ``radius``.  A block value that over ``CROWD`` fingerprints share is a key only
+    together with one of the blocks of 16 bits of the rest, for which the same holds; so no key stays
+    crowded just because one block is common.  A pair counts where it agrees first, in the first block
+    and, if that is crowded, the first of the rest.
     """
     blocks = BITS // BLOCK_BITS
     if radius >= blocks:
         raise ValueError(f"{blocks} tables find at most {blocks - 1} differing bits")
-    half = lambda i: F.shiftrightunsigned(F.col("bits")[i // 2], 32 * (i % 2)).bitwiseAND(0xFFFFFFFF)
-    quarter = lambda i: F.shiftrightunsigned(F.col("bits")[i // 4], 16 * (i % 4)).bitwiseAND(0xFFFF)
-    rest = F.array(*[F.array(*[F.named_struct(F.lit("more"), F.lit(j), F.lit("also"), quarter(j)) for j in range(2 * blocks) if j // 2 != i]) for i in range(blocks)])
-    tables = prints.select("bits", rest.alias("rest"), F.posexplode(F.array(*[half(i) for i in range(blocks)])).alias("block", "value"))
+    half = lambda bits, i: F.shiftrightunsigned(bits[i // 2], 32 * (i % 2)).bitwiseAND(0xFFFFFFFF)
+    quarter = lambda bits, i: F.shiftrightunsigned(bits[i // 4], 16 * (i % 4)).bitwiseAND(0xFFFF)
+    own, more = F.col("bits"), [c for c in prints.columns if c != "bits"]
+    rest = F.array(*[F.array(*[F.named_struct(F.lit("more"), F.lit(j), F.lit("also"), quarter(own, j)) for j in range(2 * blocks) if j // 2 != i]) for i in range(blocks)])
+    tables = prints.select("bits", *more, rest.alias("rest"), F.posexplode(F.array(*[half(own, i) for i in range(blocks)])).alias("block", "value"))
     counts = written(tables.groupBy("block", "value").count().where(F.col("count") > 1), "block-values")
-    shared = tables.join(counts, ["block", "value"])
+    crowded = small(counts.where(F.col("count") > CROWD).select("block", "value", F.lit(True).alias("crowded")), MOST_CROWDED)
+    shared = tables.join(counts.drop("count"), ["block", "value"], "left_semi").join(crowded, ["block", "value"], "left")
     nothing = F.array(F.named_struct(F.lit("more"), F.lit(-1), F.lit("also"), F.lit(0).cast("long")))
-    keyed = shared.select("bits", "block", "value", F.inline(F.when(F.col("count") > CROWD, F.col("rest")[F.col("block")]).otherwise(nothing)))
-    left = keyed.withColumnRenamed("bits", "a")
+    keyed = shared.select("bits", *more, "block", "value", F.inline(F.when(F.col("crowded"), F.col("rest")[F.col("block")]).otherwise(nothing)))
+    left = keyed.select(F.col("bits").alias("a"), "block", "value", "more", "also")
     right = keyed.withColumnRenamed("bits", "b")
-    apart = distance(F.col("a"), F.col("b"))
-    pairs = left.join(right, ["block", "value", "more", "also"]).where((F.col("a") < F.col("b")) & (apart <= radius))
-    return pairs.select("a", "b", apart.alias("distance")).distinct()
+    a, b = F.col("a"), F.col("b")
+    apart = distance(a, b)
+    at = F.coalesce(*[F.when(half(a, i) == half(b, i), F.lit(i)) for i in range(blocks)])
+    then = F.coalesce(*[F.when((quarter(a, j) == quarter(b, j)) & (F.col("block") != j // 2), F.lit(j)) for j in range(2 * blocks)])
+    first = (F.col("block") == at) & ((F.col("more") == -1) | (F.col("more") == then))
+    return left.join(right, ["block", "value", "more", "also"]).where((a != b) & (apart <= radius) & first).select("a", "b", *more, apart.alias("distance"))
 
 
 def with_near(prints: DataFrame, radius: int = 3) -> DataFrame:
     """``prints`` (with a column bits) and n_near: how many other rows have a fingerprint within ``radius`` bits.
 
-    Equal fingerprints are counted once and weighed by their rows, so copies make no pairs.
+    Equal fingerprints are counted once and weighed by their rows, so copies make no pairs; pairs of
+    different ones are summed where they are found and never written.
     """
     counts = written(prints.groupBy("bits").agg(F.count("*").alias("rows")), "distinct-fingerprints")
-    pairs = near_fingerprints(counts.select("bits"), radius)
-    both = pairs.select(F.col("a").alias("bits"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("bits"), F.col("a").alias("other")))
-    others = both.join(counts.select(F.col("bits").alias("other"), "rows"), "other").groupBy("bits").agg(F.sum("rows").alias("near"))
-    around = counts.join(others, "bits", "left").select("bits", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"))
-    return prints.join(around, "bits")
+    others = near_fingerprints(counts, radius).groupBy(F.col("a").alias("bits")).agg(F.sum("rows").alias("near"))
+    around = counts.join(others, "bits", "left").select("bits", (F.col("rows") - 1 + F.coalesce("near", F.lit(0))).alias("n_near"), F.col("rows").alias("n"))
+    return join_hubs(prints, written(around, "near-counts"), "bits")
 
 
-def order_ranges(documents: DataFrame, id_column: str) -> tuple[Column, list[int]]:
-    """A number of a row's range of ids (long; null ids lie below all) and the ranges' lower ends.
+def order_number(ident: Column, kind: T.DataType) -> Column:
+    """A long that never falls where ids of this type rise; null for null."""
+    if isinstance(kind, T.NumericType | T.BooleanType):
+        value = ident.cast("double")
+        return F.when(F.isnan(value), (1 << 63) - 1).otherwise(F.floor(value)) if isinstance(kind, T.FractionalType) else ident.cast("long")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(ident).cast("long")
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        return F.unix_seconds(ident.cast("timestamp"))
+    beginning = F.rpad(F.substring(F.hex(F.encode(ident.cast("string"), "utf-8")), 1, 14), 14, "0")
+    return F.conv(beginning, 16, 10).cast("long")
 
-    The ends are quantiles, about one per ``RANGE_ROWS`` rows.
+
+def order_ranges(documents: DataFrame, number: Column) -> Column:
+    """The range of ids (int) in which a row's ``number`` lies; null is -1 and lies below all.
+
+    The ranges' ends are quantiles, about one per ``RANGE_ROWS`` rows.
     """
-    ident = quoted(id_column).cast("long")
     rows = documents.count()
     n = min(MOST_RANGES, max(LEAST_RANGES, rows // RANGE_ROWS))
-    found = documents.agg(F.percentile_approx(ident, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
+    found = documents.agg(F.percentile_approx(number, [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     ends = sorted(set(found))
     step = max(1, int(len(ends) ** 0.5))
     groups = [ends[i : i + step] for i in range(0, len(ends), step)]
     if not groups:
-        return F.when(ident.isNull(), -1).otherwise(0), []
-    below = lambda values: F.size(F.filter(values, lambda x: x <= ident))
+        return F.when(number.isNull(), -1).otherwise(0)
+    below = lambda values: F.size(F.filter(values, lambda x: x <= number))
     longs = lambda v: F.array(*[F.lit(x).cast("long") for x in v])
     group = below(longs([g[0] for g in groups]))
     inside = below(F.element_at(F.array(*[longs(g) for g in groups]), F.greatest(group, F.lit(1))))
-    return F.when(ident.isNull(), -1).when(group == 0, 0).otherwise((group - 1) * step + inside), ends
+    return F.when(number.isNull(), -1).when(group == 0, 0).otherwise((group - 1) * step + inside)
 
 
 def with_next(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(range, place, ghost, id, text, next_text): each document with the next one's text, ids descending.
 
-    After the last comes the first; a lone document follows itself.  Null ids come last, rows of one id
-    are ordered by text hash.  The first rows of a range stand again as ghosts at the end of the range
-    before it; so each range is a window of its own and no task sorts all.  Null texts are empty.
+    After the last comes the first; a lone document follows itself.  Ids may be numbers, dates, times or
+    strings (by bytes).  Null ids come last, rows of one id are ordered by a hash of the text.  A range
+    that holds one id only is cut by that hash, if its rows are many.  The first row of a range stands
+    again as a ghost at the end of the range before it; so each range is a window of its own and no task
+    sorts all.  Null texts are empty.
     """
-    number, _ = order_ranges(documents, id_column)
-    text = F.coalesce(quoted(text_column).cast("string"), F.lit(""))
-    slim = documents.select(quoted(id_column).cast("long").alias("id"), text.alias("text"), number.alias("range"))
-    tops = {r["range"]: r["top"] for r in documents.select(number.alias("range"), quoted(id_column).cast("long").alias("id")).groupBy("range").agg(F.max("id").alias("top")).collect()}
-    order = sorted(tops, reverse=True)
-    before = {r: order[i - 1] for i, r in enumerate(order)}  # of the first range: the last
-    home = F.create_map(*[F.lit(x) for r in order for x in (r, before[r])]) if order else F.create_map(F.lit(0), F.lit(0))
-    top = F.create_map(*[F.lit(x).cast("long") for r in order if tops[r] is not None for x in (r, tops[r])]) if any(v is not None for v in tops.values()) else F.create_map(F.lit(0).cast("long"), F.lit(0).cast("long"))
-    leads = slim.where(F.col("id").eqNullSafe(F.element_at(top, F.col("range").cast("long")))).withColumn("range", F.element_at(home, F.col("range")))
+    ident, kind = quoted(id_column), documents.select(quoted(id_column)).schema[0].dataType
+    number = order_number(ident, kind)
+    text, hashed = F.coalesce(quoted(text_column).cast("string"), F.lit("")), F.xxhash64(quoted(text_column).cast("string"))
+    slim = documents.select(ident.alias("id"), text.alias("text"), hashed.alias("hashed"), order_ranges(documents, number).cast("long").alias("ids"))
+    crowds = slim.groupBy("ids").agg(F.count("*").alias("n"), F.min("id").eqNullSafe(F.max("id")).alias("one")).where(F.col("one") & (F.col("n") > 4 * RANGE_ROWS)).collect()
+    cuts = [F.lit(x).cast("long") for r in crowds for x in (r["ids"], min(MOST_RANGES, r["n"] // RANGE_ROWS))]  # few: of MOST_RANGES + 2 ranges
+    tie = F.shiftrightunsigned("hashed", 33)
+    part = F.shiftright(tie * F.coalesce(F.element_at(F.create_map(*cuts), F.col("ids")), F.lit(1)), 31) if cuts else F.lit(0)
+    slim = slim.withColumn("tie", tie).withColumn("range", F.shiftleft(-F.col("ids"), 20) + part).drop("ids")  # rises as ids fall
+    firsts = written(slim.groupBy("range").agg(F.max(F.struct("id", -F.col("tie"), "hashed")).alias("first")), "range-firsts")
+    last = Window.orderBy("range")  # over at most some MOST_RANGES rows
+    before = F.coalesce(F.lag("range").over(last), F.max("range").over(last.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    firsts = firsts.select("range", F.col("first.id").alias("first_id"), F.col("first.hashed").alias("first_hashed"), before.alias("before"))
+    leads = slim.join(F.broadcast(firsts), "range").where(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("hashed") == F.col("first_hashed"))).dropDuplicates(["range"])
+    leads = leads.withColumn("range", F.col("before")).drop("first_id", "first_hashed", "before")
     both = slim.withColumn("ghost", F.lit(False)).unionByName(leads.withColumn("ghost", F.lit(True)))
-    row = Window.partitionBy("range").orderBy("ghost", F.col("id").desc_nulls_last(), F.xxhash64("text"))
-    placed = both.withColumn("place", F.row_number().over(row)).withColumn("next_text", F.lead("text").over(row))
-    return placed
+    row = Window.partitionBy("range").orderBy("ghost", F.col("id").desc_nulls_last(), "tie", F.col("hashed").desc())
+    return both.withColumn("place", F.row_number().over(row)).withColumn("next_text", F.lead("text").over(row)).drop("tie", "hashed")
 
 
 def edited_fingerprints(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
