@@ -6,22 +6,25 @@ integers of the benchmark's vocabulary, and a sorted array of the suffixes that
 ``window`` words is looked up by binary search; the range found holds all its places.  Hits on
 neighbouring places join into the longest verbatim matches.
 
-The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES``; more blocks mean more passes
-over a document while it is in hand, never a larger broadcast.  No row is shuffled, so hot sources and
-groups of copies change nothing.
+A benchmark goes to the executors in blocks of about ``BLOCK_BYTES``, one after another: the driver and a
+worker hold one block at a time, and each block is a pass over the documents.  With one block no row is
+shuffled; with several, what the passes find is joined to the documents by their texts' hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import string
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, fresh, quoted
+from .common import STEP_BYTES, fresh, quoted, small, written
 
 #: Words: runs of ASCII letters, digits and anything beyond ASCII, after A-Z became a-z.
 WORD_BYTES = bytes(
@@ -29,7 +32,12 @@ WORD_BYTES = bytes(
     for b in range(256)
 )
 BLOCK_BYTES = 4 << 20
+#: Words of texts that one suffix array holds, and hits that one step of a search gathers.
+STEP_WORDS, STEP_HITS = 1 << 19, 1 << 20
+#: Texts with hits, of several blocks, whose matches are broadcast at most; more are joined by shuffle.
+MOST_HITS = 100_000
 HIGH = np.iinfo(np.int32).max
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RESULT = "n_words long, n_hit long, item_ids array<string>, matches array<struct<item:string,start:long,item_start:long,words:long>>"
 
 
@@ -104,42 +112,69 @@ class Patterns:
             low = np.where(less, middle + 1, low)
         return low
 
-    def scan(self, texts: list[str | None]) -> list[dict]:
-        """Per text: number of words, covered word intervals, and the longest matches."""
-        gap = np.zeros(self.window, np.int32)
-        numbers = [self.number(t) for t in texts]
-        lengths = np.array([len(x) for x in numbers], np.int64)
-        begins = np.concatenate([[0], np.cumsum(lengths + self.window)])[:-1]
-        found = [{"n_words": int(n), "cover": np.zeros((0, 2), np.int64), "matches": []} for n in lengths]
-        if not len(self.length):
-            return found
-        tokens = np.concatenate([x for n in numbers for x in (n, gap)])
+    def places(self, pieces: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+        """Runs of hits in pieces of texts (text, offset, word numbers): rows of text, item, diagonal, first place, last place, end."""
+        gap, none = np.zeros(self.window, np.int32), np.zeros((0, 6), np.int64)
+        tokens = np.concatenate([x for _, _, n in pieces for x in (n, gap)])
+        begins = np.cumsum([0, *[len(n) + self.window for _, _, n in pieces]])[:-1]
         suffixes = self.suffix_array(tokens)
         if not len(suffixes):
-            return found
+            return none
         lows, highs = self.search(self.rows(tokens, suffixes))
-        counts = highs - lows
-        pattern = np.repeat(np.arange(len(lows)), counts)
-        if not len(pattern):
+        counts, out, at = highs - lows, [none], 0
+        total = np.cumsum(counts)
+        while at < len(counts):  # some patterns at a time
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP_HITS, side="right")))
+            n = counts[at:end]
+            pattern = np.repeat(np.arange(at, end), n)
+            place = suffixes[np.repeat(lows[at:end] - (np.cumsum(n) - n), n) + np.arange(len(pattern))]
+            piece = np.searchsorted(begins, place, side="right") - 1
+            place = place - begins[piece] + np.array([o for _, o, _ in pieces], np.int64)[piece]
+            text = np.array([t for t, _, _ in pieces], np.int64)[piece]
+            out.append(runs(np.stack([text, self.owner[pattern], place - self.offset[pattern], place, place, place + self.length[pattern]], axis=1)))
+            at = end
+        return runs(np.concatenate(out))
+
+    def scan(self, texts: list[str | None]) -> list[dict]:
+        """Per text: number of words, covered word intervals, and the longest matches.
+
+        Texts go in pieces of ``STEP_WORDS`` words at most, each with the next ``window`` - 1 words, so that
+        memory doesn't grow with a text's length but for its word numbers.
+        """
+        numbers = [self.number(t) for t in texts]
+        found = [{"n_words": len(x), "cover": np.zeros((0, 2), np.int64), "matches": []} for x in numbers]
+        if not len(self.length):
             return found
-        place = suffixes[np.repeat(lows - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(len(pattern))]
-        text = np.searchsorted(begins, place, side="right") - 1
-        place = place - begins[text]
-        # Neighbouring places on one diagonal are one longer match.
-        item, inside, size = self.owner[pattern], self.offset[pattern], self.length[pattern]
-        order = np.lexsort((place, place - inside, item, text))
-        text, item, inside, place, size = (x[order] for x in (text, item, inside, place, size))
-        new = np.ones(len(text), bool)
-        new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | ((place - inside)[1:] != (place - inside)[:-1]) | (place[1:] != place[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(new)]]) - 1
-        for t, i, at, of, end in zip(text[first], item[first], place[first], inside[first], place[last] + size[last], strict=True):
-            found[t]["matches"].append((self.items[i], int(at), int(of), int(end - at)))
-        for t in np.unique(text):
-            found[t]["cover"] = np.array([(a, a + n) for _, a, _, n in found[t]["matches"]], np.int64)
+        every, some, size = [np.zeros((0, 6), np.int64)], [], 0
+        for t, own in enumerate(numbers):
+            for at in range(0, len(own), STEP_WORDS):
+                piece = own[at : at + STEP_WORDS + self.window - 1]
+                if some and size + len(piece) > STEP_WORDS:
+                    every.append(self.places(some))
+                    some, size = [], 0
+                some.append((t, at, piece))
+                size += len(piece)
+        if some:
+            every.append(self.places(some))
+        for t, item, diagonal, first, _, end in runs(np.concatenate(every)).tolist():
+            found[t]["matches"].append((self.items[item], first, first - diagonal, end - first))
+        for f in found:
+            if f["matches"]:
+                f["cover"] = np.array([(a, a + n) for _, a, _, n in f["matches"]], np.int64)
         return found
 
 
+def runs(rows: np.ndarray) -> np.ndarray:
+    """Rows of text, item, diagonal, first, last, end: those of one diagonal that touch or repeat become one."""
+    if not len(rows):
+        return rows
+    rows = rows[np.lexsort((rows[:, 3], rows[:, 2], rows[:, 1], rows[:, 0]))]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1) | (rows[1:, 3] > rows[:-1, 4] + 1)
+    first = np.flatnonzero(new)
+    return np.column_stack([rows[first, :4], np.maximum.reduceat(rows[:, 4:], first)])
+
+
 def covered(parts: np.ndarray) -> int:
     """Number of words in a union of intervals."""
     if not len(parts):
@@ -163,16 +198,17 @@ def shards(texts: pd.Series) -> Iterator[list[str | None]]:
         yield some
 
 
-def blocks(benchmark: DataFrame, item_column: str, text_column: str) -> list[list[tuple[str, str | None]]]:
-    """The items in blocks of about ``BLOCK_BYTES``, each fetched by itself."""
-    item, text = fresh(benchmark.select(), "item", "text")
-    slim = benchmark.select(quoted(item_column).cast("string").alias(item), quoted(text_column).alias(text)).where(F.col(text).isNotNull())
-    size = slim.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    n = 1 + size // BLOCK_BYTES
-    if n == 1:
-        return [[(r[0], r[1]) for r in slim.collect()]]
-    block = F.pmod(F.xxhash64(item, text), F.lit(n))
-    return [[(r[0], r[1]) for r in slim.where(block == i).collect()] for i in range(n)]
+#: What this worker holds of the last block it met: its name and its patterns.
+_held: tuple[str, Patterns] | None = None
+
+
+def patterns_of(name: str, block, window: int) -> Patterns:
+    """The patterns of a broadcast block, built once in a worker however many tasks it runs."""
+    global _held
+    if _held is None or _held[0] != name:
+        _held = None  # the old ones go before the new ones come
+        _held = (name, Patterns(block.value, window))
+    return _held[1]
 
 
 def match_benchmark(
@@ -184,27 +220,61 @@ def match_benchmark(
     words (a shorter item is one window); ``item_ids``, sorted distinct items that occur; ``matches``, the
     longest verbatim matches with their first word in the document and in the item.
 
-    Null and empty texts have no words and no match.  Null or wordless items never match; a null
-    ``item_id`` counts as the name ``""``.  Equal items each count.  Every row stays, repeated ones too.
+    Null and empty texts have no words and no match; texts of any length are taken whole.  Null or wordless
+    items never match; a null ``item_id`` counts as the name ``""``.  Equal items each count.  Every row
+    stays, repeated ones too, and so does every other column; an empty benchmark matches nothing.
     """
     if into.lower() in {c.lower() for c in documents.columns}:
         raise ValueError(f"{into} is a column already")
-    context = documents.sparkSession.sparkContext
-    held = [context.broadcast([(name or "", text) for name, text in b]) for b in blocks(benchmark, item_column, item_text_column)]
-
-    @F.pandas_udf(RESULT)
-    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        one = Patterns(held[0].value, window) if len(held) == 1 else None
-        for batch in batches:
-            rows = []
-            for some in shards(batch):
-                passes = [(one or Patterns(b.value, window)).scan(some) for b in held]
-                for same in zip(*passes, strict=True):
-                    matches = sorted(m for x in same for m in x["matches"])
-                    rows.append((same[0]["n_words"], covered(np.concatenate([x["cover"] for x in same])), sorted({m[0] for m in matches}), [dict(zip(("item", "start", "item_start", "words"), m, strict=True)) for m in matches]))
-            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "matches"])
-
-    return documents.withColumn(into, scan(quoted(text_column).cast("string")))
+    spark, text = documents.sparkSession, quoted(text_column).cast("string")
+    item = benchmark.select(F.coalesce(quoted(item_column).cast("string"), F.lit("")).alias("item"), quoted(item_text_column).cast("string").alias("text")).where(F.col("text").isNotNull())
+    n = 1 + (item.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES
+
+    def broadcast(i: int):
+        return spark.sparkContext.broadcast([(r[0], r[1]) for r in item.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == i).collect()])
+
+    def scanner(block):
+        name = uuid.uuid4().hex
+
+        @F.pandas_udf(RESULT)
+        def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            patterns = patterns_of(name, block, window)
+            for batch in batches:
+                rows = []
+                for some in shards(batch):
+                    for x in patterns.scan(some):
+                        matches = sorted(x["matches"])
+                        rows.append((x["n_words"], covered(x["cover"]), sorted({m[0] for m in matches}), [dict(zip(("item", "start", "item_start", "words"), m, strict=True)) for m in matches]))
+                yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "matches"])
+
+        return scan
+
+    if n == 1:
+        return documents.withColumn(into, scanner(broadcast(0))(text))
+    passes = []
+    for i in range(n):
+        block = broadcast(i)
+        hits = documents.select(F.xxhash64(text).alias("text_hash"), scanner(block)(text)["matches"].alias("matches")).where(F.size("matches") > 0)
+        passes.append(written(hits.groupBy("text_hash").agg(F.first("matches").alias("matches")), "matches"))
+        block.destroy()
+
+    @F.pandas_udf("long")
+    def hit_words(starts: pd.Series, lengths: pd.Series) -> pd.Series:
+        return pd.Series([covered(np.column_stack([a, np.add(a, b)])) for a, b in zip(starts, lengths, strict=True)])
+
+    names = fresh(documents, "hash", "matches", "hit")
+    n_hash, n_matches, n_hit = names
+    every = reduce(DataFrame.unionByName, passes).groupBy(F.col("text_hash").alias(n_hash)).agg(F.array_sort(F.flatten(F.collect_list("matches"))).alias(n_matches))
+    part = lambda c: F.transform(F.col(n_matches), lambda m: m[c])
+    every = written(every.withColumn(n_hit, hit_words(part("start"), part("words"))), "all-matches")
+    words = F.coalesce(F.regexp_count(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), F.lit(WORD)), F.lit(0)).cast("long")
+    none = F.array().cast("array<struct<item:string,start:long,item_start:long,words:long>>")
+    found = F.struct(
+        words.alias("n_words"), F.coalesce(F.col(n_hit), F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce(F.array_sort(F.array_distinct(part("item"))), F.array().cast("array<string>")).alias("item_ids"), F.coalesce(F.col(n_matches), none).alias("matches"),
+    )
+    joined = documents.withColumn(n_hash, F.xxhash64(text)).join(small(every, MOST_HITS), n_hash, "left")
+    return joined.select(*map(quoted, documents.columns), found.alias(into))
 
 
 def contaminated(n_hit, n_words, share: int = 20):
