@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, quoted, written
+from .common import join_hubs, lower_ascii, quoted, small, written
 
 #: Longest context; symbols that the lowest order spreads over; what pads a URL's start and ends it.
 ORDER, ALPHABET, START, END = 4, 256, "\u0002", "\u0003"
 #: One in FOLDS of the rules' URLs calibrates; width of a score's bin and the bins' outer ends.
 FOLDS, STEP, OUTER = 5, 0.01, 20
+#: Rows of a table of short contexts that are broadcast at most; more are joined by shuffle.
+MOST_SHORT = 500_000
 #: The rules (host, then path), and their verdicts.
 RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 
@@ -58,14 +60,14 @@ def gram_scores(training: DataFrame, asked: DataFrame) -> DataFrame:
     seen = grams(training, "good", "times").groupBy("gram").agg(*[F.sum(F.when(F.col("good") == g, F.col("times")).otherwise(0)).alias(n) for n, g in (("good", True), ("bad", False))])
     own = written(suffixes(seen).groupBy("k", "own").agg(F.first("context").alias("context"), F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-grams")
     whole = lambda c: (F.sum(c).alias(f"n_{c}"), F.count(F.when(F.col(c) > 0, 1)).alias(f"d_{c}"))
-    context = own.groupBy("k", "context").agg(*whole("good"), *whole("bad"))
-    # Single characters are few, whatever the data, and each stands in a large part of the rows: their
-    # tables are broadcast.  Longer keys are many and join by shuffle.
+    context = written(own.groupBy("k", "context").agg(*whole("good"), *whole("bad")), "url-contexts")
+    # Of one and two characters there are few, whatever the data, and each stands in a large part of the
+    # rows: their tables are broadcast.  Longer keys are many, each in few rows, and join by shuffle.
     rows, own = suffixes(asked), own.select("k", "own", "good", "bad")
-    short = rows.where("k = 0").join(F.broadcast(own.where("k = 0")), ["k", "own"], "left")
-    long = rows.where("k > 0").join(own.where("k > 0"), ["k", "own"], "left")
-    few = short.unionByName(long.where("k = 1")).join(F.broadcast(context.where("k <= 1")), ["k", "context"], "left")
-    asked = few.unionByName(long.where("k > 1").join(context.where("k > 1"), ["k", "context"], "left"))
+    short = rows.where("k <= 1").join(small(own.where("k <= 1"), MOST_SHORT), ["k", "own"], "left")
+    long = rows.where("k > 1").join(own.where("k > 1"), ["k", "own"], "left")
+    few = short.unionByName(long.where("k = 2")).join(small(context.where("k <= 2"), MOST_SHORT), ["k", "context"], "left")
+    asked = few.unionByName(long.where("k > 2").join(context.where("k > 2"), ["k", "context"], "left"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
     step = F.struct("k", *[zero(f"{x}{c}") for c in ("good", "bad") for x in ("", "n_", "d_")])
     chain = asked.groupBy("gram").agg(F.array_sort(F.collect_list(step)).alias("chain"))
@@ -85,8 +87,9 @@ def scored_addresses(labelled: DataFrame) -> DataFrame:
     each = written(labelled.groupBy("address", "good").agg(F.count("*").alias("times")).withColumn("held_out", F.pmod(F.xxhash64("address"), F.lit(FOLDS)) == 0), "addresses")
     training = each.where(F.col("good").isNotNull() & ~F.col("held_out"))
     places = grams(each.select("address").distinct(), "address")
-    scores = gram_scores(training, places.select("gram").distinct())
-    mean = places.join(scores, "gram").groupBy("address").agg(F.avg("score").alias("score"))
+    asked = written(places.groupBy("gram").agg(F.count("*").alias("n")), "asked-grams")
+    scores = written(gram_scores(training, asked.select("gram")).join(asked, "gram"), "gram-scores")
+    mean = join_hubs(places, scores, "gram").groupBy("address").agg(F.avg("score").alias("score"))  # every address begins alike
     return each.join(mean, "address")
 
 
@@ -114,8 +117,9 @@ def filter_urls(pages: DataFrame, *, id_column: str = "page_id", url_column: str
 
     The verdict is the longest fitting rule's; without one it is ``allow`` if the score of host and path
     lies above the calibrated cut.  If the rules accept or reject no URL at all, pages without a rule
-    are allowed.  Null URLs and those without ``://`` have empty host and path and are scored as such.
-    Repeated rows stay.
+    are allowed.  Null URLs and those without ``://`` have empty host and path and are scored as such; a
+    score equal to the cut is rejected.  URLs of any length are taken whole, one row per character.
+    Repeated rows and null ids stay, an empty table gives no rows, and other columns aren't read.
     """
     rules = RULES if rules is None else rules
     host, path = host_and_path(quoted(url_column))
@@ -126,6 +130,6 @@ def filter_urls(pages: DataFrame, *, id_column: str = "page_id", url_column: str
     scored = written(scored_addresses(parts.select("address", (F.col("ruled") == "allow").alias("good"))), "scored-urls")
     kinds = {r[0] for r in scored.where(F.col("good").isNotNull() & ~F.col("held_out")).select("good").distinct().collect()}
     cut = best_cut(scored) if len(kinds) == 2 else float("-inf")
-    one = scored.groupBy("address").agg(F.first("score").alias("score"))
-    judged = parts.join(one, "address").withColumn("verdict", F.coalesce("ruled", F.when(F.col("score") > cut, "allow").otherwise("block")))
+    one = written(scored.groupBy("address").agg(F.max("score").alias("score"), F.sum("times").alias("n")), "address-scores")
+    judged = join_hubs(parts, one, "address").withColumn("verdict", F.coalesce("ruled", F.when(F.col("score") > cut, "allow").otherwise("block")))
     return judged.select("id", "host", "path", "rule", "score", "verdict")
