@@ -19,24 +19,47 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, written
+from .common import join_hubs, quoted, small, written
 from .url_filter import host_and_path
 
-#: Slots of hashed byte trigrams; languages at most, which bounds the model by their product.
-SLOTS, MOST_LANGUAGES = 1 << 16, 64
+#: Slots of hashed byte trigrams; languages whose models a worker holds at once.  More take further passes over a page.
+SLOTS, GROUP = 1 << 16, 64
+#: Rows of a table of declarations or suffixes that are broadcast at most; more are joined by shuffle.
+MOST_SAID = 200_000
 #: A text's log-likelihood counts as so many independent trigrams at most: neighbours depend on each other.
 EFFECTIVE = 40
 #: Weight of the level above in a host's prior, in pages; added to each count of a declaration or suffix.
 STRENGTH, PSEUDO = 5.0, 0.5
-HIDDEN = regex.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->")
-TAG = regex.compile(r"(?s)<[^>]*>")
+#: What opens a hidden part, and what closes it.
+HIDDEN = regex.compile(r"(?i)<(script|style)\b|<(!)--")
+CLOSES = {"script": regex.compile(r"(?i)</script\s*>"), "style": regex.compile(r"(?i)</style\s*>"), "!": regex.compile("-->")}
+TAG = regex.compile(r"(?s)<[^<>]*>")
 #: Letters count, everything else is a space; A-Z become a-z.
 LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
+def shown(markup: str) -> str:
+    """A page without scripts, styles and comments; one that nothing closes stays.
+
+    Every character is passed a few times at most: what was looked for in vain isn't looked for again.
+    """
+    out, at, open_ended = [], 0, set()
+    for m in HIDDEN.finditer(markup):
+        kind = (m[1] or m[2]).lower()
+        if m.start() < at or kind in open_ended:
+            continue
+        end = CLOSES[kind].search(markup, m.end())
+        if end is None:
+            open_ended.add(kind)
+            continue
+        out += [markup[at : m.start()], " "]
+        at = end.end()
+    return "".join([*out, markup[at:]])
+
+
 def visible(markup: str | None) -> str:
     """The text of a page: scripts, styles, comments and tags go, entities become characters."""
-    return html.unescape(TAG.sub(" ", HIDDEN.sub(" ", markup or "")))
+    return html.unescape(TAG.sub(" ", shown(markup or "")))
 
 
 def trigrams(text: str | None) -> np.ndarray:
@@ -55,7 +78,7 @@ def count_trigrams(documents: DataFrame, text_column: str, language_column: str)
         held: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, language in zip(batch["text"], batch["language"], strict=True):
-                if language not in held and len(held) == MOST_LANGUAGES:  # hand on what there is
+                if language not in held and len(held) == GROUP:  # hand on what there is
                     yield from out(held)
                     held = {}
                 counts = held.setdefault(language, np.zeros(SLOTS, np.int64))
@@ -71,38 +94,41 @@ def count_trigrams(documents: DataFrame, text_column: str, language_column: str)
     return slim.mapInPandas(count, "language string, slot int, n long").groupBy("language", "slot").agg(F.sum("n").alias("n"))
 
 
-def models(documents: DataFrame, text_column: str = "text", language_column: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their log-probabilities of each slot."""
+def models(documents: DataFrame, text_column: str = "text", language_column: str = "lang") -> tuple[list[str], list]:
+    """Languages, sorted, and their log-probabilities of each slot, ``GROUP`` languages in one broadcast array."""
     counts = written(count_trigrams(documents, text_column, language_column), "trigrams")
-    languages = sorted(r[0] for r in counts.select("language").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    table = np.full((len(languages), SLOTS), 0.5)
-    for i, language in enumerate(languages):
-        own = counts.where(F.col("language") == language).agg(F.collect_list(F.struct("slot", "n")).alias("all")).first()["all"]
-        for r in own:
-            table[i, r["slot"]] += r["n"]
-    return languages, np.log(table / table.sum(1, keepdims=True))
-
-
-def text_evidence(markup: Column, log_p: np.ndarray) -> Column:
+    languages = sorted(r[0] for r in counts.select("language").distinct().collect())  # the result names them all
+    groups = []
+    for at in range(0, len(languages), GROUP):
+        own = languages[at : at + GROUP]
+        table = np.full((len(own), SLOTS), 0.5)
+        for r in counts.where(F.col("language").isin(own)).groupBy("language").agg(F.collect_list("slot").alias("slots"), F.collect_list("n").alias("times")).toLocalIterator():
+            table[own.index(r["language"]), r["slots"]] += r["times"]
+        groups.append(documents.sparkSession.sparkContext.broadcast(np.log(table / table.sum(1, keepdims=True)).astype(np.float32)))
+    return languages, groups
+
+
+def text_evidence(markup: Column, groups: list) -> Column:
     """Array of log-likelihoods of a page's visible text, one per language, the best one 0."""
-    small = log_p.astype(np.float32)
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            rows = []
-            for m in batch:
-                t = trigrams(visible(m))
-                if not len(t):
-                    rows.append([0.0] * len(small))
-                    continue
-                mean = small @ np.bincount(t, minlength=SLOTS).astype(np.float32) / len(t)
-                rows.append(((mean - mean.max()) * min(len(t), EFFECTIVE)).tolist())
-            yield pd.Series(rows)
+    def scorer(group) -> Column:
+        @F.pandas_udf("array<double>")
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            log_p = group.value
+            for batch in batches:
+                rows = []
+                for m in batch:
+                    t = trigrams(visible(m))
+                    if not len(t):
+                        rows.append([0.0] * len(log_p))
+                        continue
+                    mean = log_p @ np.bincount(t, minlength=SLOTS).astype(np.float32) / len(t)
+                    rows.append((mean * min(len(t), EFFECTIVE)).tolist())
+                yield pd.Series(rows)
+
+        return score(markup.cast("string"))
 
-    return score(markup.cast("string"))
+    return F.concat(*map(scorer, groups))
 
 
 def softmax(logs: Column) -> Column:
@@ -134,9 +160,10 @@ def identify(pages: DataFrame, documents: DataFrame, *, id_column: str = "page_i
     ``documents`` teach the character models.  A page without text, declaration or host has no evidence
     of that kind; without any it gets the pages' overall prior's language.  Null ids and repeated pages
     are pages like any other.  Ties go to the language that sorts first.  Without labelled documents the
-    language is null.
+    language is null; without pages there is no row.  Pages and texts of any length are taken whole; other
+    columns aren't read, whatever their names.
     """
-    languages, log_p = models(documents, text_column, language_column)
+    languages, groups = models(documents, text_column, language_column)
     host, _ = host_and_path(quoted(url_column))
     declared = F.lower(F.regexp_extract(quoted(html_column), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]+)""", 1))
     base = pages.select(quoted(id_column).alias("id"), host.alias("host"), F.coalesce(declared, F.lit("")).alias("declared"), quoted(html_column).alias("html"))
@@ -144,7 +171,8 @@ def identify(pages: DataFrame, documents: DataFrame, *, id_column: str = "page_i
     if not languages:
         return base.select("id", F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("probability"), "declared", "suffix", "host")
     n = len(languages)
-    base = base.withColumn("text", text_evidence(F.col("html"), log_p)).drop("html").withColumn("p", softmax(F.col("text")))
+    base = base.withColumn("text", text_evidence(F.col("html"), groups)).drop("html")
+    base = base.withColumn("text", F.transform("text", lambda x: x - F.array_max("text"))).withColumn("p", softmax(F.col("text")))
     base = written(base, "page-evidence")
 
     def smooth(level: DataFrame, above: Column | None) -> Column:
@@ -152,7 +180,7 @@ def identify(pages: DataFrame, documents: DataFrame, *, id_column: str = "page_i
         over = (lambda i: F.lit(1.0 / n)) if above is None else (lambda i: above[i])
         return F.array(*[(F.col(f"s{i}") + STRENGTH * over(i)) / (total + STRENGTH) for i in range(n)])
 
-    sums = base.groupBy("suffix", "site", "host").agg(*summed(n))
+    sums = written(base.groupBy("suffix", "site", "host").agg(*summed(n), F.count("*").alias("pages")), "host-sums")
     every = sums.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)])
     every = every.select(smooth(every, None).alias("over"))
     up = lambda *keys: sums.groupBy(*keys).agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)])
@@ -161,10 +189,11 @@ def identify(pages: DataFrame, documents: DataFrame, *, id_column: str = "page_i
     by_site = up("suffix", "site").join(by_suffix, "suffix")
     by_site = by_site.select("site", "suffix", smooth(by_site, F.col("over")).alias("over"))
     by_host = sums.join(by_site, ["suffix", "site"])
-    by_host = written(by_host.select(F.col("host").alias("host_"), smooth(by_host, F.col("over")).alias("prior")), "host-priors")
+    by_host = written(by_host.select("host", smooth(by_host, F.col("over")).alias("prior"), F.col("pages").alias("n")), "host-priors")
     saying = written(likelihood(base, "declared", n, "says"), "declared-odds")
     ending = written(likelihood(base, "suffix", n, "ends"), "suffix-odds")
-    joined = base.join(by_host, base["host"] == F.col("host_")).join(saying, base["declared"] == F.col("declared_")).join(ending, base["suffix"] == F.col("suffix_"))
+    said = base.join(small(saying, MOST_SAID), F.col("declared") == F.col("declared_")).join(small(ending, MOST_SAID), F.col("suffix") == F.col("suffix_"))
+    joined = join_hubs(said, by_host, "host")
     part = lambda c, key, i: F.when(F.col(key) == "", 0.0).otherwise(F.col(c)[i])
     fused = F.array(*[F.col("text")[i] + F.log(F.col("prior")[i]) + part("says", "declared", i) + part("ends", "suffix", i) for i in range(n)])
     judged = joined.withColumn("p", softmax(fused))
