@@ -1,8 +1,11 @@
 """Each corpus operator against brute force on small tables with nulls, ties, repeats and clashing names."""
 
+import datetime
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -302,6 +305,34 @@ def test_url_models_tell_kinds_apart(spark):
     assert sum(got[i] == "allow" for i in range(600, 650)) >= 45 and sum(got[i] == "block" for i in range(650, 700)) >= 45
 
 
+def test_url_cut_is_the_plain_one(spark):
+    rng = random.Random(6)
+    for k in range(4):
+        rows = [(rng.gauss(0.4 if g else -0.3, 0.5), g, rng.random() < 0.7, rng.randrange(1, 4)) for g in (True, False, None) for _ in range(60)]
+        held = [(round(x / 0.01), g, n) for x, g, h, n in rows if h and g is not None]
+        good, bad = sum(n for _, g, n in held if g), sum(n for _, g, n in held if not g)
+        spots = sorted({x for x, _, _ in held})
+        cost = {}
+        for i, x in enumerate(spots):  # everything up to this spot is rejected
+            wrong = sum(n for y, g, n in held if g and y <= x) / good + sum(n for y, g, n in held if not g and y > x) / bad
+            cost[(x + (spots[i + 1] if i + 1 < len(spots) else x + 1)) / 2] = wrong
+        least = [c for c in sorted(cost) if cost[c] <= min(cost.values()) + 1e-12]
+        frame = spark.createDataFrame(rows, "score double, good boolean, held_out boolean, times long")
+        assert url_filter.best_cut(frame) == pytest.approx(least[len(least) // 2] * 0.01)
+        assert url_filter.best_cut(frame.where("good")) == 0.0
+
+
+def test_urls_of_all_kinds(spark):
+    rng = random.Random(4)
+    urls = [None, "", "x", "http://", "HTTP://A.Com", "http://é.com/ü", "http://h.org/" + "long/" * 4000, "http://same.org/1"]
+    urls += [f"http://{rng.choice('abc')}{i}.com/" for i in range(40)] + [f"http://{i}{rng.choice('xyz')}.net/es/" for i in range(40)] + ["http://same.org/1"] * 3
+    pages = spark.createDataFrame([(i if i != 3 else None, u, "x", 0.5) for i, u in enumerate(urls)], "page_id long, url string, rule string, score double")
+    got = url_filter.filter_urls(pages).collect()
+    assert len(got) == len(urls) and all(r["verdict"] in ("allow", "block") and r["score"] is not None for r in got)
+    assert len({(r["score"], r["verdict"]) for r in got if r["host"] == "same.org"}) == 1
+    assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
 # ---- 3
 
 
@@ -346,6 +377,21 @@ def test_decontamination_finds_all_windows(spark, monkeypatch, block):
     assert sorted((r["doc_id"] or -1, r["text"] or "") for r in kept.collect()) == sorted((d[0] or -1, d[1] or "") for d in want)
 
 
+@pytest.mark.parametrize("step", [7, 40])
+def test_decontamination_in_steps(monkeypatch, step):
+    monkeypatch.setattr(decontaminate, "STEP_HITS", 5)
+    rng = random.Random(step)
+    few = lambda n: " ".join(rng.choice(["a", "b", "c"]) for _ in range(n))
+    items = [(str(i), few(rng.choice([3, 13, 30]))) for i in range(12)]
+    texts = [few(rng.randrange(0, 150)) + " " + items[rng.randrange(12)][1] + " " + few(20) for _ in range(25)] + [None, ""]
+    whole = decontaminate.Patterns(items, 13).scan(texts)
+    monkeypatch.setattr(decontaminate, "STEP_WORDS", step)
+    parts = decontaminate.Patterns(items, 13).scan(texts)
+    for t, a, b in zip(texts, whole, parts, strict=True):
+        assert sorted(a["matches"]) == sorted(b["matches"]) and a["n_words"] == b["n_words"]
+        assert (b["n_words"], decontaminate.covered(b["cover"]), sorted({m[0] for m in b["matches"]})) == brute_hits(t, items)
+
+
 def test_decontamination_of_and_with_nothing(spark, documents, nothing):
     empty = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.remove_contaminated(documents, empty).count() == documents.count()
@@ -375,6 +421,51 @@ def test_shards_of_many_documents(spark):
     assert {r["shard"] for r in kd_shards.kd_shards(spark.createDataFrame(rows, "doc_id long, text string, lang string"), target_bytes=sum(sizes) // 5 + 1).collect()} == set(range(5))
 
 
+@pytest.mark.parametrize("leaves", [1, 3, 8, 13])
+def test_shards_are_the_plain_trees(spark, leaves):
+    rng = random.Random(leaves)
+    rows = [(i, "x" * rng.randrange(400, 600) + str(i), rng.choice(["en", "de", "fr", None])) for i in range(130)]
+    rows += [(200 + i, rows[0][1], "en") for i in range(12)] + [rows[5]] * 3 + [(None, "z" * 500, "en"), (None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    hashed = lambda *c: F.shiftrightunsigned(F.xxhash64(*c), 2)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
+    points = [tuple(r) for r in frame.select(kd_shards.log_size(size), kd_shards.letters(F.col("lang")), hashed("text"), hashed(F.col("doc_id").cast("string"), "text"), size).collect()]
+    spread = [max(p[i] for p in points) - min(p[i] for p in points) for i in range(2)]
+    shards = []
+
+    def split(own, parts):
+        if parts == 1 or not own:
+            shards.extend([own] + [[]] * (parts - 1))
+            return
+        wide = [(max(p[i] for p in own) - min(p[i] for p in own)) / max(1, spread[i]) for i in range(2)]
+        d = wide.index(max(wide))
+        key, weight = (lambda p: (p[d], p[2], p[3])), sum(p[4] for p in own)
+        wanted = weight * (parts // 2) / parts
+        for k in sorted({key(p) for p in own}):
+            n = sum(p[4] for p in own if key(p) == k)
+            if n < wanted:
+                wanted -= n
+                continue
+            left = [p for p in own if key(p) < k or key(p) == k and wanted >= n / 2]
+            break
+        split(left, parts // 2)
+        split([p for p in own if p not in left], parts - parts // 2)
+
+    split(points, leaves)
+    got = kd_shards.kd_shards(frame, shards=leaves).select(hashed(F.col("doc_id").cast("string"), "text").alias("row"), "shard").collect()
+    assert sorted((r["row"], r["shard"]) for r in got) == sorted((p[3], i) for i, own in enumerate(shards) for p in own)
+
+
+def test_many_shards(spark):
+    documents = spark.range(4000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab"), (F.col("id") % 37 + 5).cast("int")).alias("text"), F.lit("x").alias("node"), F.lit(1).alias("step"))
+    got = kd_shards.kd_shards(documents, shards=500)
+    assert got.columns == [*documents.columns, "shard", "slot"]
+    rows = got.groupBy("shard").agg(F.sum(F.octet_length("text") + 1).alias("bytes"), F.count("*").alias("n"), F.max("slot").alias("top"), F.countDistinct("slot").alias("slots")).collect()
+    assert {r["shard"] for r in rows} == set(range(500)) and all(r["n"] == r["slots"] == r["top"] + 1 for r in rows)
+    mean = sum(r["bytes"] for r in rows) / 500
+    assert all(abs(r["bytes"] - mean) < 3 * 85 for r in rows)  # a document is cut off at each of nine levels, half of it on average
+
+
 def test_shards_of_nothing(nothing):
     assert kd_shards.kd_shards(nothing, shards=8).count() == 0
 
@@ -456,6 +547,66 @@ def test_licenses_and_phrases(spark, documents, rows):
     assert license_scan.scan_licenses(frame.limit(0)).count() == 0
 
 
+def plain_spans(text, templates):
+    """(label, first word, words, share) of the verified spans, and the best share, one place after the other."""
+    w, spans = words(text), []
+    for phrase, label, exact in templates:
+        own = phrase.split()
+        k = 2 if len(own) < 24 else 4
+        grams = [own[i : i + k] for i in range(len(own) - k + 1)]
+        places, hits = {}, {}
+        for i, g in enumerate(grams):
+            places.setdefault(" ".join(g), []).append(i)
+        for at in range(len(w) - k + 1):
+            for i in places.get(" ".join(w[at : at + k]), []):
+                hits.setdefault(at - i, []).append((i, at))
+        runs, last = [], None
+        for d in sorted(hits):
+            if 50 * len(hits[d]) < len(grams) and not any(at == 0 for _, at in hits[d]):
+                continue
+            kept = hits[d] if 50 * len(hits[d]) >= len(grams) else [h for h in hits[d] if h[1] == 0]
+            if last is None or d - last > (0 if exact else 2):
+                runs.append([])
+            runs[-1] += kept
+            last = d
+        for r in runs:
+            found, start, end = {i for i, _ in r}, min(at for _, at in r), max(at for _, at in r) + k
+            share = len(found) / len(grams)
+            if share == 1 if exact else len(grams) - 1 in found and share >= 0.7 and end - start <= 2 * len(own):
+                spans.append((label, start, end - start, share))
+    return sorted(spans)
+
+
+def test_license_spans_are_the_plain_ones(spark):
+    rng = random.Random(7)
+    mit = next(p for p, v in license_scan.LICENSES.items() if v == "mit-text")
+    long = " ".join(rng.choice(WORDS) + str(rng.randrange(300)) for _ in range(1500))
+    notices = license_scan.NOTICES | license_scan.LICENSES | {long: "long-text"} | {f"notice number {i} of this kind": f"n{i}" for i in range(70)}
+    assert len(mit.split()) > 150 and len(notices) > 80
+    templates = [(p, v, True) for p, v in license_scan.PHRASES.items()] + [(p, v, False) for p, v in notices.items()]
+
+    def edited(t, n):
+        w = t.split()
+        for _ in range(n):
+            at, how = rng.randrange(len(w)), rng.choice("pcx")
+            w[at : at + 1] = [] if how == "x" else ["new", w[at]] if how == "p" else ["other"]
+        return " ".join(w)
+
+    texts = [None, "", "cc", long, "x " + mit + " y"]
+    for _ in range(25):
+        parts = [rng.choice([text_of(rng, 30), edited(mit, rng.randrange(30)), edited(long, rng.choice([0, 20, 200])), edited(rng.choice(list(notices)), rng.randrange(3)), rng.choice(list(license_scan.PHRASES))]) for _ in range(3)]
+        texts.append(" . ".join(parts))
+    rows = [(i if i != 7 else None, t, "x", 1) for i, t in enumerate(texts)] * 2 + [(3, long, "y", 2)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, row string, times int"), notices=notices).collect()
+    want = []
+    for i, t, *_ in rows:
+        spans = plain_spans(t, templates)
+        want.append((i, ",".join(sorted({x[0] for x in spans})), round(max((x[3] for x in spans), default=0.0), 9), [(a, b, c, round(d, 9)) for a, b, c, d in spans]))
+    have = [(r["id"], r["labels"], round(r["score"], 9), [(*tuple(x)[:3], round(x["share"], 9)) for x in r["spans"]]) for r in got]
+    assert sorted(have, key=repr) == sorted(want, key=repr)
+    assert any("long-text" in x[1] for x in want) and any("mit-text" in x[1] for x in want)
+
+
 # ---- 8
 
 
@@ -473,6 +624,68 @@ def test_language_follows_the_evidence(spark):
     assert got[102]["language"] in letters
 
 
+@pytest.mark.parametrize("group", [64, 1])
+def test_language_evidence_is_fused_as_by_hand(spark, monkeypatch, group):
+    monkeypatch.setattr(language_id, "GROUP", group)
+    rng = random.Random(12)
+    letters = {"aa": "abcdefgh", "bb": "efghuvwx", "cc": "uvwxabyz"}
+    text = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(n))
+    teachers = [(text(k, 30), k) for k in letters for _ in range(10)]
+    pages = []
+    for i in range(90):
+        k = rng.choice(list(letters))
+        said = rng.choice(["", f' lang="{k}"', " lang=aa"])
+        pages.append((i, f"http://h{rng.randrange(3)}.s{rng.randrange(3)}.{rng.choice([k, 'org'])}/p", f"<html{said}>{text(k, rng.choice([0, 1, 2, 9]))}</html>"))
+    pages += [(90, None, None), (91, "", ""), (92, "http://h0.s0.aa/p", "<html>"), (93, "http://h0.s0.aa:80/p", "<html>"), pages[0], (None, "http://x", "abc")]
+    names = sorted(letters)
+    logs = []
+    for k in names:
+        n = np.full(language_id.SLOTS, 0.5)
+        for t, own in teachers:
+            if own == k:
+                n += np.bincount(language_id.trigrams(t), minlength=language_id.SLOTS)
+        logs.append(np.log(n / n.sum()))
+    soft = lambda x: np.exp(np.array(x) - max(x)) / np.exp(np.array(x) - max(x)).sum()
+    rows = []
+    for i, url, page in pages:
+        slots = language_id.trigrams(language_id.visible(page))
+        ev = np.array([x[slots].mean() for x in logs]) * min(len(slots), 40) if len(slots) else np.zeros(3)
+        ev -= ev.max()
+        host = m[1] if (m := re.match(r"(?s).*?://([^/?#]*)", url or "")) else ""
+        suffix, site = (m[1] if (m := re.search(r"([^.:]+)(?::\d+)?$", host)) else ""), (m[1] if (m := re.search(r"([^.]+\.[^.]+)$", host)) else "")
+        declared = m[1].lower() if (m := re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]+)", page or "")) else ""
+        rows.append((i, ev, soft(ev), host, site, suffix, declared))
+    total = lambda own: sum((r[2] for r in own), np.zeros(3))
+    smooth = lambda own, over: (total(own) + 5.0 * over) / (total(own).sum() + 5.0)
+
+    def odds(at, value):
+        return np.log((total(r for r in rows if r[at] == value) + 0.5) / (total(rows) + 0.5 * (len({r[at] for r in rows}) + 1)))
+
+    want = []
+    for i, ev, _, host, site, suffix, declared in rows:
+        over = smooth(rows, np.full(3, 1 / 3))
+        over = smooth([r for r in rows if r[5] == suffix], over)
+        over = smooth([r for r in rows if r[5] == suffix and r[4] == site], over)
+        prior = smooth([r for r in rows if r[5] == suffix and r[4] == site and r[3] == host], over)
+        p = soft(ev + np.log(prior) + (odds(6, declared) if declared else 0) + (odds(5, suffix) if suffix else 0))
+        want.append((i, names[int(p.argmax())], float(p.max()), declared, suffix, host))
+    frame = spark.createDataFrame([(*p, "x", 1.0) for p in pages], "page_id long, url string, html string, language string, p double")
+    got = language_id.identify(frame, spark.createDataFrame(teachers, "text string, lang string")).collect()
+    order = lambda r: (r[0] is None, r[0] or 0)
+    for r, w in zip(sorted(map(tuple, got), key=order), sorted(want, key=order), strict=True):
+        assert r[3:] == w[3:] and r[2] == pytest.approx(w[2], abs=2e-4)
+        assert r[1] == w[1] or w[2] < 0.51
+
+
+def test_hidden_parts_of_pages():
+    page = "a<script x>b</SCRIPT >c<!-- d -->e<style>f</style>g<script>h<b>i</b>"
+    assert language_id.visible(page).split() == ["a", "c", "e", "g", "h", "i"]
+    assert language_id.visible("<!-- <script> --> x </script> y").split() == ["x", "y"]
+    began = time.perf_counter()
+    assert len(language_id.visible("<script <!-- < <style " * 200_000)) > 1000
+    assert time.perf_counter() - began < 20
+
+
 def test_language_without_teachers_or_pages(spark):
     documents = spark.createDataFrame([], "text string, lang string")
     pages = spark.createDataFrame([(1, "http://a.b/", "x")], "page_id long, url string, html string")
@@ -534,15 +747,39 @@ def test_permuted_tables_find_all_near_fingerprints(spark, monkeypatch, crowd):
     parts = {p: [signed(p & ((1 << 64) - 1)), signed(p >> 64)] for p in prints}
     frame = spark.createDataFrame([(v,) for v in parts.values()], "bits array<long>")
     got = {(tuple(r["a"]), tuple(r["b"])): r["distance"] for r in fingerprints.near_fingerprints(frame).collect()}
-    want = {tuple(sorted((tuple(parts[p]), tuple(parts[q])))): (p ^ q).bit_count() for p in prints for q in prints if p < q and (p ^ q).bit_count() <= 3}
-    assert got == want
+    want = {(tuple(parts[p]), tuple(parts[q])): (p ^ q).bit_count() for p in prints for q in prints if p != q and (p ^ q).bit_count() <= 3}
+    assert got == want and fingerprints.near_fingerprints(frame).count() == len(want)
     twice = frame.unionByName(frame.limit(30))
     times = {}
     for r in twice.collect():
         times[tuple(r["bits"])] = times.get(tuple(r["bits"]), 0) + 1
     near = {tuple(r["bits"]): r["n_near"] for r in fingerprints.with_near(twice).collect()}
     for v, n in near.items():
-        assert n == times[v] - 1 + sum(times[b if a == v else a] for a, b in want if v in (a, b))
+        assert n == times[v] - 1 + sum(times[b] for a, b in want if a == v)
+
+
+@pytest.mark.parametrize("kind", ["string", "double", "date", "hot", "null"])
+def test_fingerprints_in_the_order_of_any_ids(spark, monkeypatch, kind):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    monkeypatch.setattr(fingerprints, "LEAST_RANGES", 5)
+    rng = random.Random(kind)
+    texts = [f"text {i} {rng.random()}" for i in range(80)]
+    if kind in ("hot", "null"):
+        ids = [7 if kind == "hot" else None if i % 3 else i for i in range(80)]
+        frame = spark.createDataFrame([*zip(ids, texts, strict=True)], "doc_id long, text string")
+    else:
+        ids = [f"doc-{'x' * rng.randrange(9)}{i}" if kind == "string" else i / 7 if kind == "double" else datetime.date(2000, 1, 1) + datetime.timedelta(i) for i in range(80)]
+        frame = spark.createDataFrame([*zip(ids, texts, strict=True)], f"doc_id {kind}, text string")
+    got = fingerprints.with_next(frame).where("not ghost").select("id", "text", "next_text").collect()
+    assert sorted((r["id"], r["text"]) for r in got if r["id"] is not None) == sorted((i, t) for i, t in zip(ids, texts, strict=True) if i is not None)
+    follows, at, seen = {r["text"]: r["next_text"] for r in got}, got[0]["text"], []
+    of = dict(zip(texts, ids, strict=True))
+    for _ in texts:  # one ring through all of them, ids falling but for one place
+        seen.append(of[at])
+        at = follows[at]
+    assert at == got[0]["text"] and len({*follows.values()}) == 80
+    key = lambda i: (i is not None, i if i is not None else 0)
+    assert sum(key(a) < key(b) for a, b in zip(seen, [*seen[1:], seen[0]], strict=True)) <= 1
 
 
 # ---- 10
@@ -590,3 +827,57 @@ def test_toxicity_counts_all_unlabelled_texts(spark, monkeypatch):
     assert weight(b"vile") > 0 and weight(b"plain") == weight(b"kind") == 0
     counts = toxicity.count_texts(documents, np.ones(toxicity.SLOTS, bool))
     assert [counts[toxicity.word_slots(w)[0]] for w in (b"vile", b"plain", b"kind")] == [60, 360, 540]
+
+
+@pytest.mark.parametrize("prior", [0.02, 0.4, 0.95])
+def test_toxicity_minimises_the_non_negative_risk(monkeypatch, prior):
+    monkeypatch.setattr(toxicity, "ROUNDS", 25)
+    rng = random.Random(int(100 * prior))
+    positive = [sorted({*[1] * (k < 55), *[2] * (k % 2), *(rng.randrange(3, 12) for _ in range(3))}) for k in range(60)] + [[]]
+    unlabelled = [sorted({*[1] * (k < 10), *[2] * (k % 15 == 0), *(rng.randrange(3, 12) for _ in range(3))}) for k in range(300)]
+    arrays = lambda rows: [np.array(r, np.int32) for r in rows]
+    model = toxicity.train(arrays(positive), arrays(unlabelled), prior)
+    often = lambda rows, f: sum(f in r for r in rows)
+    used = []
+    for f in range(12):
+        p, u = often(positive, f), often(unlabelled, f)
+        lift = math.log((p + 0.5) / 62) - math.log((u + 0.5) / 301) - 2.5 * math.sqrt(1 / (p + 0.5) + 1 / (u + 0.5))
+        if p >= 3 and lift > math.log(2):
+            used.append(f)
+    assert used == [1, 2] and np.flatnonzero(model.weights).tolist() == used
+
+    def risk(w, b):
+        f = lambda r: sum(w.get(x, 0) for x in r) + b
+        mean = lambda rows, loss: sum(loss(f(r)) for r in rows) / len(rows)
+        says_toxic, says_clean = (lambda x: math.log1p(math.exp(-x))), (lambda x: math.log1p(math.exp(x)))
+        negative = mean(unlabelled, says_clean) - prior * mean(positive, says_clean)
+        own = 0.5 * 5e-4 * sum(x * x for x in w.values())
+        return own + (prior * mean(positive, says_toxic) + negative if negative >= 0 else -negative)  # below zero: back out of it
+
+    w, b, m, v = dict.fromkeys(used, 0.0), -2.0, [0.0] * (len(used) + 1), [0.0] * (len(used) + 1)
+    for t in range(1, 26):
+        g, e = [], 1e-5
+        for k in [*used, None]:
+            up, down = ({**w, k: w[k] + e}, {**w, k: w[k] - e}) if k is not None else (w, w)
+            g.append((risk(up, b + e * (k is None)) - risk(down, b - e * (k is None))) / (2 * e))
+        for i, k in enumerate([*used, None]):
+            m[i], v[i] = 0.9 * m[i] + 0.1 * g[i], 0.999 * v[i] + 0.001 * g[i] ** 2
+            step = 0.1 * (m[i] / (1 - 0.9**t)) / (math.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+            if k is None:
+                b -= step
+            else:
+                w[k] -= step
+    assert model.bias == pytest.approx(b, abs=1e-3) and [model.weights[f] for f in used] == pytest.approx([w[f] for f in used], abs=1e-3)
+
+
+def test_toxicity_bounds_the_sample(spark):
+    texts = ["alpha beta gamma " + " ".join(f"w{i}x{k}" for k in range(200)) for i in range(20)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 5 + [(None, None)], "doc_id long, text string")
+    every = toxicity.sample(rows)
+    assert len(every) == 21 and {len(x) for x in every} > {0}
+    few = toxicity.sample(rows, 4 * max(map(len, every)) * 3)
+    assert 2 <= len(few) <= 4
+    repeated = spark.createDataFrame([(i, 1) for i in range(20)] * 2 + [(i, 0) for i in range(20)], "doc_id long, toxic int")
+    wide = rows.withColumn("toxic", F.lit("x")).withColumn("_name", F.lit(1))
+    kept = toxicity.remove_toxic(wide, repeated)
+    assert kept.columns == wide.columns
