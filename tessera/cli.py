@@ -96,7 +96,7 @@ class Tool:
         if faults:
             self.faults(faults)
             return 1
-        if self.ws.within(a.out) is not None:
+        if self.ws.inside(a.out) is not None:
             raise Refused("split writes outside the workspace; clean and translate with parts and text")
         Path(a.out).mkdir(parents=True, exist_ok=True)
         for old in Path(a.out).glob("part_*.srt"):
@@ -116,20 +116,19 @@ class Tool:
             self.faults(faults, "SRC ")
             return 1
         source = Path(a.textfile)
-        place = self.ws.work_place(a.src, source, source.is_dir()) if self.ws.within(source) is not None else None
-        goal = self.ws.merge_fault(a.src, source, a.out)
+        place = self.ws.misplaced(a.src, source, source.is_dir()) if self.ws.inside(source) is not None else None
+        goal = self.ws.wrong_goal(a.src, source, a.out)
         if place or goal:
             raise Refused("; ".join(x for x in (place and f"{source.as_posix()} is out of place, must be {place}", goal and f"{a.out} must be {goal.as_posix()}") if x))
         if not (sorted(source.glob("part_*.txt")) if source.is_dir() else source.is_file()):
             raise Refused(f"no edits at {source.as_posix()}")
         edits, problems = self.edits_of(source)
-        found = M.merge_problems(blocks, edits, problems).orderBy("step", "name", "detail").collect()
-        for r in found:
-            self.say(f"error {r['name']} {r['code']} {r['detail']}".replace("  ", " "))
-        if found:
-            for code in ("missing", "extra"):
-                if n := sum(r["code"] == code for r in found):
-                    self.say(f"{code}: {n} IDs")
+        found = M.merge_problems(blocks, edits, problems).cache()
+        for r in found.where("step <= 2").orderBy("step", "name", "place", "code").collect():
+            self.say(f"error {r['name']} {r['code']} {r['detail']}".rstrip())
+        for r in M.listed(found).orderBy("step").collect():
+            self.say(f"error {r['code']} {r['n']} IDs: {r['ids']}" + " ..." * (r["n"] > M.SHOWN_IDS))
+        if not found.isEmpty():
             return 1
         result = M.merged(blocks, M.combined(edits)).cache()
         kept, n = result.where("kept").count(), result.count()
@@ -180,7 +179,7 @@ class Tool:
         for r in found.orderBy("pos", "rule_no").collect():
             self.say(f"ID {r['id']}: {r['hit']!r} wants {r['wanted']!r} | {r['src']} | {r['dst']}")
         self.say(f"{len(rules)} terms on {both.where(B.in_range(a.start, a.end)).count()} blocks: {found.count()} violations")
-        for r in R.violation_counts(found).orderBy(F.desc("n"), "first").collect():
+        for r in R.violation_counts(found).orderBy("rank").collect():
             self.say(f"  {r['cell']}: {r['n']}")
 
     def check_glossary(self, a) -> int:
@@ -217,7 +216,7 @@ class Tool:
         texts = both.select("pair", "pos", joined(F.col("s.lines")).alias("src"), joined(F.col("d.lines")).alias("dst"))
         for r in found.join(texts, ["pair", "pos"]).orderBy("pos", "step", "detail").collect():
             self.say(f"ID {r['id']} | {r['kind']} | {r['detail']} | {r['src']} | {r['dst']}")
-        kinds = ", ".join(f"{r['kind']} {r['n']}" for r in L.lint_counts(found).orderBy("first").collect())
+        kinds = ", ".join(f"{r['kind']} {r['n']}" for r in L.lint_counts(found).orderBy("rank").collect())
         self.say(f"lint: {found.count()} issues" + (f" ({kinds})" if kinds else ""))
 
     def lint(self, a) -> int:
@@ -243,25 +242,32 @@ class Tool:
             self.say(f"{PROGRAM} pair {shell_quoted(a.src)} {shell_quoted(a.dst)} --from {at} --to {min(at + a.size - 1, last)}")
         return 0
 
-    def scan(self, patterns: list[str]):
+    def scan(self, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
+        """The blocks of all files in one scan, and the files (n, path, name) in the order given, repeated ones too."""
         paths, none = S.expand(patterns)
         for p in none:
             self.say(f"warning nothing matches {p!r}")
         for p in paths:
-            yield p, self.read(p)[0]
+            if not Path(p).is_file():
+                raise Refused(f"cannot read {p}")
+        named = [(n, str(Path(p).resolve()), Path(p).name) for n, p in enumerate(paths)]
+        order = self.spark.createDataFrame(named, "n int, path string, name string")
+        if not paths:
+            return self.spark.createDataFrame([], "path string, pos int, idx string, timing string, lines array<string>"), order
+        blocks, errors = S.read_srt(self.spark, sorted({p for _, p, _ in named}))
+        if broken := errors.where("code = 'not_utf8'").select("path").orderBy("path").first():
+            raise Refused(f"not UTF-8: {broken['path']}")
+        return blocks, order
 
     def find(self, a) -> int:
-        total = n = 0
-        for path, blocks in self.scan(a.files):
-            n += 1
-            try:
-                rows = B.find(blocks, a.pattern, regex=a.regex).orderBy("pos").collect()
-            except PySparkException as e:
-                raise Refused(f"bad pattern: {a.pattern}") from e
-            total += len(rows)
-            for r in rows:
-                self.say(f"{Path(path).name} | {r['idx']} | {r['text']}")
-        self.say(f"{total} blocks in {n} files")
+        blocks, order = self.scan(a.files)
+        try:
+            rows = B.find(blocks, a.pattern, "path", regex=a.regex).join(order, "path").orderBy("n", "pos").collect()
+        except PySparkException as e:
+            raise Refused(f"bad pattern: {a.pattern}") from e
+        for r in rows:
+            self.say(f"{r['name']} | {r['idx']} | {r['text']}")
+        self.say(f"{len(rows)} blocks in {order.count()} files")
         return 0
 
     def check_asr(self, a) -> int:
@@ -269,13 +275,11 @@ class Tool:
         if not rules:
             self.say(f"no approved rows in {a.glossary}")
             return 0
-        total = n = 0
-        for path, blocks in self.scan(a.files):
-            n += 1
-            for r in R.asr_hits(blocks, rules).orderBy("pos", "rule_no").collect():
-                total += 1
-                self.say(f"{Path(path).name} | {r['idx']} | {r['hit']!r} should be {r['wanted']!r} | {r['text']}")
-        self.say(f"{len(rules)} rules on {n} files: {total} left")
+        blocks, order = self.scan(a.files)
+        rows = R.asr_hits(blocks, rules, "path").join(order, "path").orderBy("n", "pos", "rule_no").collect()
+        for r in rows:
+            self.say(f"{r['name']} | {r['idx']} | {r['hit']!r} should be {r['wanted']!r} | {r['text']}")
+        self.say(f"{len(rules)} rules on {order.count()} files: {len(rows)} left")
         return 0
 
     def archive(self, a) -> int:
@@ -293,7 +297,7 @@ class Tool:
             self.faults(faults, "SRC ")
             return 1
         folder = Path(a.dir)
-        if place := self.ws.work_place(a.src, folder, True):
+        if place := self.ws.misplaced(a.src, folder, True):
             raise Refused(f"{folder.as_posix()} is out of place, must be {place}")
         there = sorted(p.name for p in folder.glob("part_*.txt"))
         present = self.spark.createDataFrame([(p,) for p in there], "name string")
@@ -303,8 +307,8 @@ class Tool:
             edits, problems = (self.spark.createDataFrame([], f"name string, line_no int, {c}") for c in ("idx string, text string", "code string, detail string"))
         rows = M.part_states(blocks, edits, problems, present, size=a.size).orderBy("part").collect()
         for r in rows:
-            why = f" ({r['n_problems']} problems; {r['n_missing']} IDs missing from {r['first_missing']})" if r["state"] == "error" and r["n_missing"] else f" ({r['n_problems']} problems)" if r["state"] == "error" else ""
-            self.say(f"{r['name']}  block {r['first_pos']}-{r['last_pos']}  {r['state']}{why}")
+            why = [f"{r['n_problems']} problems", *[f"{r['n_missing']} IDs missing from {r['first_missing']}"] * (r["n_missing"] > 0), *[f"extra IDs {r['extra_ids']}"] * (r["n_extra"] > 0)]
+            self.say(f"{r['name']}  block {r['first_pos']}-{r['last_pos']}  {r['state']}" + f" ({'; '.join(why)})" * (r["state"] == "error"))
         surplus = [p for p in there if p > f"part_{len(rows):03d}.txt"]
         for p in surplus:
             self.say(f"{p}  surplus")
@@ -316,11 +320,11 @@ class Tool:
             r = todo[0]
             self.say(f"next {r['name']}: {PROGRAM} text {shell_quoted(a.src)} --from {r['first_pos']} --to {r['last_pos']}\n  write {shell_quoted(folder / r['name'])}")
         else:
-            goal = self.ws.merge_goal(a.src, folder)
+            goal = self.ws.goal_of(a.src, folder)
             self.say(f"merge: {PROGRAM} merge {shell_quoted(a.src)} {shell_quoted(folder)} {shell_quoted(goal) if goal else '<target>'} --cleanup")
         return 1 if todo or surplus else 0
 
-    def status_rows(self) -> DataFrame:
+    def status_rows(self, languages: list[str]) -> DataFrame:
         """The status relation of the workspace; all files are parsed and compared in one batch."""
         ws, spark = self.ws, self.spark
         empty = spark.createDataFrame([], "path string, stem string, mtime timestamp")
@@ -350,10 +354,10 @@ class Tool:
         found = [(n.parent.name, n.stem.removeprefix("review."), n) for n in ws.work.glob("*/review.*.md")]
         notes = spark.createDataFrame([(n, c, p.read_text("utf-8", "replace"), p.stat().st_mtime) for n, c, p in found], "name string, language string, body string, at double")
         reviews = notes.select("name", "language", S.count_open(F.col("body")).alias("n_open"), F.timestamp_millis((F.col("at") * 1000).cast("long")).alias("mtime"))
-        return status(names, verdicts("raw", "cleaned").select("name", "passed"), verdicts("cleaned", "trans"), reviews)
+        return status(names, verdicts("raw", "cleaned").select("name", "passed"), verdicts("cleaned", "trans"), reviews, languages)
 
     def status(self, a) -> int:
-        rows = self.status_rows()
+        rows = self.status_rows([p.stem.removeprefix("target-") for p in Path(a.targets).glob("target-*.md")])
         if rows.columns == ["name"]:
             self.say(f"no subtitle files; put them into {self.ws.raw.as_posix()}/")
             return 0
@@ -409,7 +413,7 @@ def parser() -> argparse.ArgumentParser:
     add("check-asr", files=many, glossary=book)
     add("archive", paths=many, copy=flag)
     add("parts", "src", "dir", size=number)
-    add("status")
+    add("status", targets={"default": "references", "help": "folder of target-<code>.md, one for each language to be listed"})
     return p
 
 
@@ -419,6 +423,7 @@ def run(arguments: list[str], spark: SparkSession | None = None, out=None) -> in
         parser().error("--size must be 1 or more")
     spark = spark or SparkSession.builder.appName("tessera").config("spark.ui.enabled", "false").getOrCreate()
     tool = Tool(spark, out)
+    tool.ws.bootstrap()
     try:
         return getattr(tool, a.command.replace("-", "_"))(a)
     except Refused as e:

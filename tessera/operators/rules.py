@@ -7,14 +7,19 @@ one projection.  For rules in a table there is the join, see :func:`rules_table`
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import joined, term_pattern
 from tessera.operators.blocks import in_range
 
 
+#: Rules that one projection unrolls at most; more go through a join.  Rules of one such join.
+MANY, RULE_BLOCK = 200, 5000
+
+
 @dataclass(frozen=True)
 class Rule:
     cell: str
@@ -34,6 +39,10 @@ def _each(rules: list[Rule], make) -> F.Column:
 def glossary_violations(both: DataFrame, rules: list[Rule], start: int = 0, end: int = 0) -> DataFrame:
     """(pair, pos, id, rule_no, cell, hit, wanted, src, dst): a source term stands in the source, none of its targets in the target."""
     rows = both.where(in_range(start, end)).select("pair", "pos", F.col("s.idx").alias("id"), joined(F.col("s.lines")).alias("src"), joined(F.col("d.lines")).alias("dst"))
+    if len(rules) > MANY:
+        table = both.sparkSession.createDataFrame([(n, r.cell, term_pattern(r.sources), term_pattern(r.targets), " / ".join(r.targets)) for n, r in enumerate(rules)], "rule_no int, cell string, source_re string, target_re string, wanted string")
+        found = rules_table(both.where(in_range(start, end)), table).join(F.broadcast(table.select("rule_no", "wanted")), "rule_no")
+        return found.select("pair", "pos", "id", "src", "dst", "rule_no", "cell", "hit", "wanted")
     if not rules:
         return rows.where("false").select("pair", "pos", "id", F.lit(0).alias("rule_no"), F.lit("").alias("cell"), F.lit("").alias("hit"), F.lit("").alias("wanted"), "src", "dst")
 
@@ -46,8 +55,9 @@ def glossary_violations(both: DataFrame, rules: list[Rule], start: int = 0, end:
 
 
 def violation_counts(violations: DataFrame) -> DataFrame:
-    """(cell, n, first): violations of each term; ``first`` orders terms of the same count."""
-    return violations.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("pair", "pos", "rule_no")).alias("first"))
+    """(cell, n, first, rank): violations of each term, most first, then the one that comes first."""
+    counts = violations.groupBy("cell").agg(F.count("*").alias("n"), F.min(F.struct("pair", "pos", "rule_no")).alias("first"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first")))  # over a glossary's terms
 
 
 def asr_hits(blocks: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
@@ -67,8 +77,12 @@ def asr_hits(blocks: DataFrame, rules: list[Rule], *keys: str) -> DataFrame:
 def rules_table(both: DataFrame, rules: DataFrame) -> DataFrame:
     """:func:`glossary_violations` for many rules: a join with (rule_no, cell, source_re, target_re).
 
-    The rules are the smaller side of a nested-loop join; each block is read once per rule either way.
+    The rules are a query set against all rows, in blocks of about ``RULE_BLOCK``, each broadcast: a block of
+    text is read once for a block of rules.
     """
     rows = both.select("pair", "pos", F.col("s.idx").alias("id"), joined(F.col("s.lines")).alias("src"), joined(F.col("d.lines")).alias("dst"))
     hit = F.regexp_like("src", F.col("source_re")) & ~F.regexp_like("dst", F.col("target_re"))
-    return rows.join(rules, hit).select("pair", "pos", "id", "rule_no", "cell", F.expr("regexp_extract(src, source_re, 0)").alias("hit"), "src", "dst")
+    n = 1 + rules.count() // RULE_BLOCK
+    part = F.pmod(F.xxhash64("rule_no"), F.lit(n))
+    found = reduce(DataFrame.unionByName, [rows.join(F.broadcast(rules.where(part == i)), hit) for i in range(n)])
+    return found.select("pair", "pos", "id", "rule_no", "cell", F.expr("regexp_extract(src, source_re, 0)").alias("hit"), "src", "dst")

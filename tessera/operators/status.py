@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def status(names: DataFrame, cleaned_verdicts: DataFrame, translated_verdicts: DataFrame, reviews: DataFrame) -> DataFrame:
+def status(names: DataFrame, cleaned_verdicts: DataFrame, translated_verdicts: DataFrame, reviews: DataFrame, languages: list[str] = ()) -> DataFrame:
     """(name, stage, language, state, stale, review, n_open, review_old) per name and cell.
 
     ``names``: (name, stage raw/cleaned/trans, language or null, mtime).  Verdicts: (name[, language],
     passed), null for unreadable.  ``reviews``: (name, language, n_open, mtime).  States: present,
-    absent, no_source, pass, fail, unreadable.
+    absent, no_source, pass, fail, unreadable.  Every name has a cell for each language that is known
+    (``languages``) or that a file has; these codes, the columns of the table, are all that is collected.
     """
     has = names.groupBy("name").agg(
         F.bool_or(F.col("stage") == "raw").alias("raw"), F.bool_or(F.col("stage") == "cleaned").alias("cleaned"), F.max(F.when(F.col("stage") == "cleaned", F.col("mtime"))).alias("cleaned_at")
@@ -24,9 +25,8 @@ def status(names: DataFrame, cleaned_verdicts: DataFrame, translated_verdicts: D
     checked = has.join(cleaned_verdicts.select("name", "passed"), "name", "left")
     clean = row(checked, "cleaned", none, F.when(~F.col("cleaned"), "absent").when(~F.col("raw"), "present").otherwise(verdict(F.col("passed"))))
     files = names.where("stage = 'trans'").select("name", "language", F.col("mtime").alias("at"))
-    languages = files.select("language").distinct()
-    languages = languages.agg(F.collect_set("language").alias("all"))  # a handful of codes
-    cells = has.withColumn("k", F.lit(0)).join(languages.withColumn("k", F.lit(0)), "k").withColumn("language", F.explode("all")).drop("k", "all")
+    codes = sorted({*languages, *(r[0] for r in files.select("language").distinct().collect())})
+    cells = has.withColumn("language", F.explode(F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")))
     cells = cells.join(files, ["name", "language"], "left").join(translated_verdicts.select("name", "language", "passed"), ["name", "language"], "left")
     cells = cells.join(reviews.select("name", "language", F.col("n_open").alias("open"), F.col("mtime").alias("reviewed_at")), ["name", "language"], "left")
     judged = F.col("at").isNotNull() & F.col("cleaned")

@@ -193,4 +193,5 @@ def catalogue(spark: SparkSession, folder: str) -> DataFrame:
     return read.select(path.alias("path"), F.regexp_extract(path, r"([^/]*)\.srt$", 1).alias("stem"), F.col("modificationTime").alias("mtime"))
 
 
+# Fixed value: a file's name and its language code.
 NAME_AND_LANGUAGE = r"^(.+)\.([a-z]{2,3}(?:-[A-Za-z0-9]+)?)$"

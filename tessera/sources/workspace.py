@@ -1,96 +1,106 @@
 """The workspace's folders: which path belongs to which work, and versioned backups.
 
-``raw/<name>.srt`` is edited in ``work/<name>/cleaned[.txt]`` into ``cleaned/<name>.srt``, and that in
-``work/<name>/<code>[.txt]`` into ``trans/<name>.<code>.srt``.
+``STEPS`` says how files move on: sources of a folder, the names that work on them may have, and the file
+that comes of it.  ``OWNERS`` says to which name a path belongs.  All checks read these two tables.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import shutil
 import time
 from pathlib import Path
+from typing import NamedTuple
 
+# The folders, and what a language code looks like.
+FOLDERS = ["raw", "cleaned", "trans"]
 CODE = r"[a-z]{2,3}(-[A-Za-z0-9]+)?"
 
 
+class Step(NamedTuple):
+    work: str  # pattern of the work's name
+    shown: str  # how a message names it
+    goal: str  # the file that the work becomes
+
+
+STEPS = {
+    "raw": Step("cleaned", "cleaned", "cleaned/{name}.srt"),
+    "cleaned": Step(CODE, "<code>", "trans/{name}.{work}.srt"),
+}
+#: Patterns of paths below the workspace, or of whole paths elsewhere; the first that fits tells the name.
+OWNERS = [
+    r"work/(?P<name>[^/]+)/(?!backup(?:/|$)).+",
+    r"work(?:/.*)?",  # the work folder itself, a work's own one, or a backup: nobody's
+    r"(?:.*/)?trans/(?P<name>[^/]+?)(?:\.[^./]*)?\.[^./]*",
+    r"(?:.*/)?(?P<name>[^/]+?)(?:\.[^./]*)?",
+]
+
+
 class Workspace:
     def __init__(self, root: str | Path = "workspace"):
         self.root = Path(root)
-        self.raw, self.cleaned, self.trans, self.work = (self.root / d for d in ("raw", "cleaned", "trans", "work"))
+        self.raw, self.cleaned, self.trans = (self.root / d for d in FOLDERS)
+        self.work = self.root / "work"
 
     def bootstrap(self) -> None:
-        for d in (self.raw, self.cleaned, self.trans):
-            d.mkdir(parents=True, exist_ok=True)
+        """Makes the folders that files are put into; only where there is a workspace."""
+        if self.root.is_dir():
+            for d in (self.raw, self.cleaned, self.trans):
+                d.mkdir(exist_ok=True)
 
-    def within(self, path: str | Path, base: Path | None = None) -> tuple[str, ...] | None:
-        """The path's parts below ``base``, or None if it isn't there."""
-        own, top = Path(path).resolve(), (base or self.root).resolve()
-        return own.relative_to(top).parts if own.is_relative_to(top) else None
+    def inside(self, path: str | Path) -> str | None:
+        """The path below the workspace, with slashes, or None if it lies elsewhere."""
+        own, top = Path(path).resolve(), self.root.resolve()
+        return own.relative_to(top).as_posix() if own.is_relative_to(top) else None
 
-    def stage(self, src: str | Path) -> str | None:
-        """raw or cleaned, if the source is a file of that folder."""
-        name = Path(src).parent.name
-        return name if name in ("raw", "cleaned") and self.within(src) is not None else None
+    def step_of(self, src: str | Path) -> Step | None:
+        """What happens to a source; None for files outside the workspace's own folders."""
+        return STEPS.get(Path(src).parent.name) if self.inside(src) is not None else None
 
-    def work_place(self, src: str | Path, path: str | Path, folder: bool) -> str | None:
+    def misplaced(self, src: str | Path, path: str | Path, folder: bool) -> str | None:
         """None if edits of ``src`` may lie at ``path``, else where they have to."""
-        stage = self.stage(src)
-        if stage is None:
+        step = self.step_of(src)
+        if step is None:
             return None
-        parts, stem = self.within(path, self.work), Path(src).stem
-        last = parts[1] if parts and len(parts) == 2 and parts[0] == stem else ""
-        if not folder:
-            last = last.removesuffix(".txt") if last.endswith(".txt") else ""
-        if last == "cleaned" if stage == "raw" else re.fullmatch(CODE, last):
+        home, suffix = f"work/{Path(src).stem}/", "" if folder else ".txt"
+        if re.fullmatch(re.escape(home) + step.work + re.escape(suffix), self.inside(path) or ""):
             return None
-        return f"{self.work.as_posix()}/{stem}/{'cleaned' if stage == 'raw' else '<code>'}{'' if folder else '.txt'}"
+        return f"{self.root.as_posix()}/{home}{step.shown}{suffix}"
 
-    def merge_goal(self, src: str | Path, edits: str | Path) -> Path | None:
+    def goal_of(self, src: str | Path, edits: str | Path) -> Path | None:
         """The file that a merge writes: known from the source's folder and the edits' name."""
-        src, edits = Path(src), Path(edits)
-        code = edits.name if edits.is_dir() or not edits.suffix == ".txt" else edits.stem
-        if src.parent.name == "raw":
-            return self.cleaned / src.name
-        if src.parent.name == "cleaned":
-            return self.trans / f"{src.stem}.{code}.srt"
-        return None
-
-    def merge_fault(self, src: str | Path, edits: str | Path, out: str | Path) -> Path | None:
-        """None if a merge may write ``out``, else the file it has to write.  Paths elsewhere are free."""
-        if self.within(out) is None or (goal := self.merge_goal(src, edits)) is None:
+        step, edits = STEPS.get(Path(src).parent.name), Path(edits)
+        if step is None:
             return None
-        return None if self.within(out) == self.within(goal) else goal
+        work = edits.stem if edits.suffix == ".txt" and not edits.is_dir() else edits.name
+        return self.root / step.goal.format(name=Path(src).stem, work=work)
+
+    def wrong_goal(self, src: str | Path, edits: str | Path, out: str | Path) -> Path | None:
+        """None if a merge may write ``out``, else the file it has to write.  Paths elsewhere are free."""
+        goal = self.goal_of(src, edits)
+        return None if goal is None or self.inside(out) in (None, self.inside(goal)) else goal
 
     def backup_of(self, path: str | Path) -> Path:
-        """The backup folder for a path; ValueError for a work folder itself or a backup."""
-        own, parts = Path(path).resolve(), self.within(path, self.work)
-        if parts is None:
-            name = own.stem
-            if own.parent.name == "trans" and "." in name:
-                name = name[: name.rindex(".")]
-            return self.work.resolve() / name / "backup"
-        if len(parts) < 2 or parts[1] == "backup":
+        """The backup folder for a path; ValueError for what is nobody's."""
+        where = self.inside(path) or Path(path).resolve().as_posix()
+        owner = next(m.groupdict() for p in OWNERS if (m := re.fullmatch(p, where)))
+        if not owner:
             raise ValueError(f"not to be archived: {path}")
-        return self.work.resolve() / parts[0] / "backup"
+        return self.work.resolve() / owner["name"] / "backup"
 
     def archive(self, path: str | Path, copy: bool = False) -> Path | None:
         """Moves or copies a file or folder to its backup folder under the minute's name; None if there is none."""
         own = Path(path)
         if not own.exists():
             return None
-        folder = self.backup_of(own)
+        folder, minute = self.backup_of(own), time.strftime("%Y%m%d-%H%M")
+        stem, suffix = (own.name, "") if own.is_dir() else (own.stem, own.suffix)
+        turns = itertools.chain([""], (f"-{n}" for n in itertools.count(2)))
+        goal = next(g for t in turns if not (g := folder / f"{stem}.{minute}{t}{suffix}").exists())
         folder.mkdir(parents=True, exist_ok=True)
-        stem, suffix = (own.stem, own.suffix) if own.is_file() else (own.name, "")
-        name, n = f"{stem}.{time.strftime('%Y%m%d-%H%M')}", 1
-        while (goal := folder / (f"{name}{f'-{n}' if n > 1 else ''}{suffix}")).exists():
-            n += 1
-        if not copy:
-            shutil.move(str(own), str(goal))
-        elif own.is_file():
-            shutil.copy2(own, goal)
-        else:
-            shutil.copytree(own, goal)
+        take = shutil.move if not copy else shutil.copytree if own.is_dir() else shutil.copy2
+        take(str(own), str(goal))
         return goal
 
 
