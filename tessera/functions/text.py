@@ -26,6 +26,7 @@ OTHER_KEYS = [r"f\p{Nd}{1,2}", "[a-z0-9]"]
 SPOKEN_PLUS = ["cộng", "plus", "và"]
 JOINERS = [r"\+", "＋", "加", "plus", "cộng"]
 
+# The forms of a timing line, of markup, and of a Latin term.
 CLOCK = r"\p{Nd}{1,2}:\p{Nd}{2}:\p{Nd}{2}[,.]\p{Nd}{1,3}"
 TIMING = rf"(?U)^\s*({CLOCK})\s*-->\s*({CLOCK})"
 SPACE = r"(?U)^\s+|\s+$"
@@ -38,6 +39,7 @@ def either(words: Iterable[str]) -> str:
     return "(?:" + "|".join(words) + ")"
 
 
+# A shortcut that is spelled out, what joins keys, and a key combination.
 SPELLED_SHORTCUT = rf"(?iuU)(?<![a-z]){either(MODIFIERS)}\s*(?:{either(SPOKEN_PLUS)}\s+(?={either(MODIFIERS + PLAIN_KEYS + OTHER_KEYS)}(?!\w))|加)"
 JOIN = rf"\s*{either(JOINERS)}\s*"
 COMBO = rf"(?iuU)(?<![a-z])(?:{either(MODIFIERS)}{JOIN})+{either(MODIFIERS + PLAIN_KEYS + MORE_KEYS + OTHER_KEYS)}(?![a-z])"
@@ -79,13 +81,16 @@ def duration(timing: Column) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode's compatibility composition, which has no built-in; the one Python function of the engine."""
+    """Unicode's compatibility composition, which has no built-in; the one Python function of the engine.
+
+    Only text beyond ASCII goes to Python: the rest is its own composition.
+    """
 
     @F.pandas_udf("string")
     def normal(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda s: None if s is None else s if s.isascii() else unicodedata.normalize("NFKC", s))
+        return batch.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
-    return normal(text)
+    return F.coalesce(normal(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
 
 
 def numbers(normal: Column) -> Column:

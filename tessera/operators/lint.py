@@ -21,42 +21,59 @@ MOUSE = [
     ("(?iu)中键|middle[- ]?(?:click|mouse)", "(?iu)giữa|cuộn|middle|wheel|scroll", "middle"),
 ]
 SKIPPED = ["ok"]
+KINDS = ["number", "key", "mouse", "latin_term", "fast_read"]
 
 
-def neighbourhoods(dst: DataFrame) -> DataFrame:
-    """(pair, pos, near): the joined text of each block with the one before and the one after."""
+def neighbourhoods(dst: DataFrame, normal: bool = False) -> DataFrame:
+    """(pair, pos, near): the joined text of each block with the one before and the one after.
+
+    ``normal`` adds near_n, its NFKC: each block's own, joined, since nothing composes across a slash.
+    """
     around = Window.partitionBy("pair").orderBy("pos").rowsBetween(-1, 1)
-    rows = dst.select("pair", "pos", joined(F.col("lines")).alias("text"))
-    return rows.select("pair", "pos", F.array_join(F.collect_list("text").over(around), " / ").alias("near"))
+    rows = dst.select("pair", "pos", joined(F.col("lines")).alias("near"))
+    if normal:
+        rows = rows.withColumn("near_n", nfkc(F.col("near")))
+    return rows.select("pair", "pos", *[F.array_join(F.collect_list(c).over(around), " / ").alias(c) for c in rows.columns[2:]])
 
 
-def lint(both: DataFrame, dst: DataFrame, start: int = 0, end: int = 0, cps: float = 20.0, glossary_terms: list[str] = ()) -> DataFrame:
-    """Issues (pair, pos, step, id, kind, detail): number, key, mouse, latin_term, fast_read.
+def lint(both: DataFrame, dst: DataFrame, start: int = 0, end: int = 0, cps: float = 20.0, glossary_terms: list[str] = (), kinds: list[str] = KINDS) -> DataFrame:
+    """Issues (pair, pos, step, id, kind, detail) of the asked ``kinds``.
 
     ``both``: aligned blocks; ``dst``: all target blocks, since neighbours outside the range count too.
-    ``glossary_terms``: source spellings that are the glossary's business.
+    ``glossary_terms``: source spellings that are the glossary's business.  The detail of fast_read has
+    characters a second and seconds, rounded half to even to 0 and 1 digits.
     """
     rows = both.where(in_range(start, end)).select("pair", "pos", F.col("s.idx").alias("id"), F.col("s.timing").alias("timing"), joined(F.col("s.lines")).alias("st"), F.col("d.lines").alias("lines"))
-    rows = rows.join(neighbourhoods(dst), ["pair", "pos"])
-    rows = rows.withColumns({"st_n": nfkc(F.col("st")), "near_n": nfkc(F.col("near"))})
-    rows = rows.withColumns({"terms": latin_terms(F.col("st_n")), "near_combos": combos(F.col("near_n"))})
+    asked = lambda *names: any(n in kinds for n in names)
+    if asked("number", "key", "mouse", "latin_term"):
+        rows = rows.join(neighbourhoods(dst, normal=True), ["pair", "pos"]).withColumn("st_n", nfkc(F.col("st")))
     one = lambda step, kind, detail: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), detail.alias("detail"))
-    several = lambda when, issue: F.when(when, F.array(issue)).otherwise(F.array().cast("array<struct<step:int,kind:string,detail:string>>"))
-    lost = F.array_sort(F.array_except(numbers(F.col("st_n")), numbers(F.col("near_n"))), lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    parts = [several(F.size(lost) > 0, one(1, "number", F.array_join(lost, ", ")))]
-    parts.append(F.transform(F.array_except(combos(F.col("st_n")), F.col("near_combos")), lambda c: one(2, "key", c)))
-    for step, kind, rules in ((3, "key", KEYS), (4, "mouse", MOUSE)):
-        parts += [several(F.col("st").rlike(s) & ~F.col("near").rlike(d), one(step, kind, F.lit(name))) for s, d, name in rules]
-    skip = F.array(*[F.lit(w.lower()) for w in [*SKIPPED, *glossary_terms]])
-    kept = lambda w: (F.length(w) >= 2) & w.rlike(r"^[\x00-\x7F]+$") & ~F.array_contains(skip, F.lower(w)) & ~has_word(w, F.col("near_n"))
-    terms = F.array_distinct(F.filter("terms", kept))
-    parts.append(several((count_cjk(F.col("st")) >= F.size("terms")) & (F.size(terms) > 0), one(5, "latin_term", F.array_join(terms, ", "))))
-    if cps:
+    none, parts = F.array().cast("array<struct<step:int,kind:string,detail:string>>"), []
+    several = lambda when, issue: F.when(when, F.array(issue)).otherwise(none)
+    if asked("number"):
+        by_size = lambda a, b: F.when(F.length(a) != F.length(b), F.length(a) - F.length(b)).when(a < b, -1).when(a > b, 1).otherwise(0)
+        rows = rows.withColumn("lost", F.when(F.col("st_n").rlike(r"\p{Nd}"), F.array_sort(F.array_except(numbers(F.col("st_n")), numbers(F.col("near_n"))), by_size)))
+        parts.append(several(F.size("lost") > 0, one(1, "number", F.array_join("lost", ", "))))
+    if asked("key"):
+        parts.append(F.transform(F.array_except(combos(F.col("st_n")), combos(F.col("near_n"))), lambda c: one(2, "key", c)))
+        parts += [several(F.col("st").rlike(s) & ~F.col("near").rlike(d), one(3, "key", F.lit(name))) for s, d, name in KEYS]
+    if asked("mouse"):
+        parts += [several(F.col("st").rlike(s) & ~F.col("near").rlike(d), one(4, "mouse", F.lit(name))) for s, d, name in MOUSE]
+    if asked("latin_term"):
+        skip = F.array(*[F.lit(w.lower()) for w in [*SKIPPED, *glossary_terms]])
+        kept = lambda w: (F.length(w) >= 2) & w.rlike(r"^[\x00-\x7F]+$") & ~F.array_contains(skip, F.lower(w)) & ~has_word(w, F.col("near_n"))
+        # Only a text with as many CJK characters as Latin terms counts, which is cheaper to see than words are to find.
+        cjk = count_cjk(F.col("st"))
+        rows = rows.withColumn("terms", F.when(cjk > 0, latin_terms(F.col("st_n")))).withColumn("gone", F.when((F.size("terms") > 0) & (cjk >= F.size("terms")), F.array_distinct(F.filter("terms", kept))))
+        parts.append(several(F.size("gone") > 0, one(5, "latin_term", F.array_join("gone", ", "))))
+    if cps and asked("fast_read"):
         seconds = duration(F.col("timing"))
         rate = F.length(F.array_join(F.transform("lines", strip), " ")) / F.when(seconds > 0, seconds)
-        parts.append(several(F.coalesce(rate > cps, F.lit(False)), one(6, "fast_read", F.concat_ws(" ", F.bround(rate, 0).cast("long"), F.round(seconds, 3)))))
-    return rows.select("pair", "pos", "id", F.inline(F.flatten(F.array(*parts))))
+        parts.append(several(F.coalesce(rate > cps, F.lit(False)), one(6, "fast_read", F.format_string("%d %.1f", F.bround(rate, 0).cast("long"), F.bround(seconds, 1)))))
+    return rows.select("pair", "pos", "id", F.inline(F.flatten(F.array(*parts)) if parts else none))
 
 
 def lint_counts(issues: DataFrame) -> DataFrame:
-    return issues.groupBy("kind").agg(F.count("*").alias("n"), F.min(F.struct("pair", "pos", "step")).alias("first"))
+    """(kind, n, first, rank): issues of each kind, in the order in which the kinds first come."""
+    counts = issues.groupBy("kind").agg(F.count("*").alias("n"), F.min(F.struct("pair", "pos", "step")).alias("first"))
+    return counts.withColumn("rank", F.row_number().over(Window.orderBy("first")))  # of five kinds

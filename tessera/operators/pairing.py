@@ -57,44 +57,68 @@ def block_text(lines: Column) -> Column:
     return strip(F.array_join(lines, "\n"))
 
 
-def validate(src: DataFrame, dst: DataFrame, target: str | None = None, src_errors: DataFrame | None = None, dst_errors: DataFrame | None = None) -> DataFrame:
-    """Issues (pair, pos, step, id, severity, kind, detail); pair, pos and step order them.
+def side_by_side(src: DataFrame, dst: DataFrame) -> DataFrame:
+    """(pair, pos, s, d) of all blocks, null where a side has none; one shuffle by pair brings a pair together."""
+    own = F.struct("idx", "timing", "lines")
+    none = F.lit(None).cast("struct<idx:string,timing:string,lines:array<string>>")
+    both = src.select("pair", "pos", own.alias("s"), none.alias("d")).unionByName(dst.select("pair", "pos", none.alias("s"), own.alias("d")))
+    return both.repartition("pair").groupBy("pair", "pos").agg(F.first("s", ignorenulls=True).alias("s"), F.first("d", ignorenulls=True).alias("d"))
 
-    Errors: src_format, dst_format, block_count, id_changed, timing_changed, dst_empty.  Warnings:
-    markup, bad_shortcut, with a ``target`` also cjk_left and untranslated (one per pair), and
-    vietnamese_left if it is ``en``.
-    """
-    st, dt = block_text(F.col("s.lines")), block_text(F.col("d.lines"))
-    both = zipped(src, dst).select("pair", "pos", "s", "d", st.alias("st"), dt.alias("dt"))
+
+def block_issues(src: DataFrame, dst: DataFrame, target: str | None) -> DataFrame:
+    """(pair, found): each block's issues, the pair's own ones with its first block."""
+    both = side_by_side(src, dst).withColumns({"st": block_text(F.col("s.lines")), "dt": block_text(F.col("d.lines"))})
     st, dt, sid, did = F.col("st"), F.col("dt"), F.col("s.idx"), F.col("d.idx")
+    met = F.col("s").isNotNull() & F.col("d").isNotNull()
 
-    def issue(when, step, ident, severity, kind, detail):
-        return F.when(when, F.struct(F.lit(step).alias("step"), ident.alias("id"), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), detail.alias("detail")))
+    def issue(when, step, ident, severity, kind, detail, pos=F.col("pos")):
+        own = F.struct(pos.cast("int").alias("pos"), F.lit(step).alias("step"), ident.alias("id"), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), detail.cast("string").alias("detail"))
+        return F.when(when, own)
 
     found = [
-        issue(sid != did, 3, sid, "error", "id_changed", F.concat_ws(" -> ", sid, did)),
-        issue(F.col("s.timing") != F.col("d.timing"), 4, sid, "error", "timing_changed", F.concat_ws(" => ", F.col("s.timing"), F.col("d.timing"))),
-        issue((st != "") & (dt == ""), 5, did, "error", "dst_empty", F.lit("")),
-        issue(dt.rlike(MARKUP), 6, did, "warning", "markup", F.substring(dt, 1, 60)),
-        issue(dt.rlike(SPELLED_SHORTCUT), 7, did, "warning", "bad_shortcut", F.regexp_extract(dt, SPELLED_SHORTCUT, 0)),
+        issue(met & (sid != did), 3, sid, "error", "id_changed", F.concat_ws(" -> ", sid, did)),
+        issue(met & (F.col("s.timing") != F.col("d.timing")), 4, sid, "error", "timing_changed", F.concat_ws(" => ", F.col("s.timing"), F.col("d.timing"))),
+        issue(met & (st != "") & (dt == ""), 5, did, "error", "dst_empty", F.lit("")),
+        issue(met & dt.rlike(MARKUP), 6, did, "warning", "markup", F.substring(dt, 1, 60)),
+        issue(met & dt.rlike(SPELLED_SHORTCUT), 7, did, "warning", "bad_shortcut", F.regexp_extract(dt, SPELLED_SHORTCUT, 0)),
     ]
     if target:
-        found.append(issue(dt.rlike(CJK_LEFT), 8, did, "warning", "cjk_left", F.substring(dt, 1, 60)))
+        found.append(issue(met & dt.rlike(CJK_LEFT), 8, did, "warning", "cjk_left", F.substring(dt, 1, 60)))
         if target == "en":
-            found.append(issue(dt.rlike(VIETNAMESE_LEFT), 9, did, "warning", "vietnamese_left", F.substring(dt, 1, 60)))
-    out = both.select("pair", "pos", F.inline(F.array_compact(F.array(*found))))
-    sizes = counts(src, dst).where("n_src != n_dst")
-    row = lambda df, pos, step, severity, kind, detail: df.select("pair", pos.alias("pos"), F.lit(step).alias("step"), F.lit("").alias("id"), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), detail.alias("detail"))
-    out = out.unionByName(row(sizes, F.lit(0), 2, "error", "block_count", F.concat_ws(" -> ", "n_src", "n_dst")))
+            found.append(issue(met & dt.rlike(VIETNAMESE_LEFT), 9, did, "warning", "vietnamese_left", F.substring(dt, 1, 60)))
+    whole, order = Window.partitionBy("pair"), Window.partitionBy("pair").orderBy("pos")
+    same = F.count_if(met & (st != "") & (st == dt) & (F.length(st) > 3))
+    both = both.withColumns({"n_src": F.count("s").over(whole), "n_dst": F.count("d").over(whole), "same": same.over(whole), "turn": F.row_number().over(order)})
+    first = F.col("turn") == 1
+    found.append(issue(first & (F.col("n_src") != F.col("n_dst")), 2, F.lit(""), "error", "block_count", F.concat_ws(" -> ", "n_src", "n_dst"), F.lit(0)))
+    if target:
+        found.append(issue(first & (F.col("same") > 0), 10, F.lit(""), "warning", "untranslated", F.col("same"), F.lit(1 << 30)))
+    return both.select("pair", F.array_compact(F.array(*found)).alias("found"))
+
+
+def validate(src: DataFrame, dst: DataFrame, target: str | None = None, src_errors: DataFrame | None = None, dst_errors: DataFrame | None = None) -> DataFrame:
+    """Issues (pair, pos, step, id, severity, kind, detail); pair, pos and step order them.
+
+    Errors: src_format, dst_format, block_count, id_changed, timing_changed, dst_empty.  Warnings:
+    markup, bad_shortcut, with a ``target`` also cjk_left and untranslated (one per pair), and
+    vietnamese_left if it is ``en``.
+    """
+    out = block_issues(src, dst, target).select("pair", F.inline("found"))
     for step, kind, errors in ((0, "src_format", src_errors), (1, "dst_format", dst_errors)):
         if errors is not None:
-            out = out.unionByName(row(errors, F.lit(0), step, "error", kind, F.concat_ws(":", "pos", "code", "detail")))
-    if target:
-        same = both.where((st != "") & (st == dt) & (F.length(st) > 3)).groupBy("pair").count()
-        out = out.unionByName(row(same, F.lit(1 << 30), 10, "warning", "untranslated", F.col("count").cast("string")))
+            detail = F.concat_ws(":", "pos", "code", "detail")
+            own = errors.select("pair", F.lit(0).alias("pos"), F.lit(step).alias("step"), F.lit("").alias("id"), F.lit("error").alias("severity"), F.lit(kind).alias("kind"), detail.alias("detail"))
+            out = out.unionByName(own)
     return out
 
 
+def judged(src: DataFrame, dst: DataFrame, target: str | None = None) -> DataFrame:
+    """(pair, n_errors, n_warnings, passed) of every pair that either side has, in the one pass of :func:`validate`."""
+    of = lambda severity: F.sum(F.size(F.filter("found", lambda x: x["severity"] == severity))).cast("long")
+    totals = block_issues(src, dst, target).groupBy("pair").agg(of("error").alias("n_errors"), of("warning").alias("n_warnings"))
+    return totals.withColumn("passed", F.col("n_errors") == 0)
+
+
 def shown(issues: DataFrame, limits: dict[str, int] = SHOWN) -> DataFrame:
     """The first issues of each pair and severity."""
     n = F.row_number().over(Window.partitionBy("pair", "severity").orderBy("pos", "step", "id", "detail"))
