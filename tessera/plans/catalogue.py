@@ -138,8 +138,7 @@ def q_validate_shown(spark, sf_dir):
 
 @query(ISSUES + ", pairs AS (SELECT DISTINCT pair FROM src), totals AS (SELECT pair, count(*) FILTER (severity = 'error') AS e, count(*) FILTER (severity = 'warning') AS w FROM issues GROUP BY pair) SELECT pair, CAST(coalesce(e, 0) AS BIGINT) AS n_errors, CAST(coalesce(w, 0) AS BIGINT) AS n_warnings, coalesce(e, 0) = 0 AS passed FROM pairs LEFT JOIN totals USING (pair)")
 def q_validate_verdict(spark, sf_dir):
-    src, dst = both_sides(spark, sf_dir)
-    return P.verdicts(P.validate(src, dst, target="en"), src)
+    return P.judged(*both_sides(spark, sf_dir), target="en")
 
 
 @query("SELECT pair, CAST(count(*) AS BIGINT) AS n FROM zip WHERE st <> '' AND st = dt AND length(st) > 3 GROUP BY pair")
@@ -291,10 +290,21 @@ def q_find_literal(spark, sf_dir):
     return B.find(doc_blocks(spark, sf_dir), "License", "pair").select("pair", "pos", "idx")
 
 
-@query("SELECT item_id AS pair FROM benchmark WHERE regexp_matches(text, '(?i)the \\w+ of')")
+@query("SELECT pair, pos, idx FROM src WHERE regexp_matches(line, '(?i)the [a-z]+ of')")
 def q_find_regex(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("pair"), F.lit(1).alias("pos"), F.lit("1").alias("idx"), F.array("text").alias("lines"))
-    return B.find(rows, r"the [a-zA-Z0-9_]+ of", "pair", regex=True).select("pair")
+    return B.find(doc_blocks(spark, sf_dir), r"(?P<first>the) [a-z]+ of", "pair", regex=True).select("pair", "pos", "idx")
+
+
+@query("SELECT pair, pos, idx FROM src WHERE contains(lower(line), '. t') OR contains(line, '(')")
+def q_find_escaped(spark, sf_dir):
+    """Characters with a meaning in patterns stand for themselves."""
+    blocks = doc_blocks(spark, sf_dir)
+    return B.find(blocks, ". T", "pair").unionByName(B.find(blocks, "(", "pair")).select("pair", "pos", "idx").distinct()
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n_blocks, CAST(count(DISTINCT pair) AS BIGINT) AS n_files FROM src WHERE contains(lower(line), 'license')")
+def q_find_totals(spark, sf_dir):
+    return B.find(doc_blocks(spark, sf_dir), "license", "pair").agg(F.count("*").alias("n_blocks"), F.count_distinct("pair").alias("n_files"))
 
 
 @query("SELECT pair, pos, array_to_string([" + STRIP.format("x") + " FOR x IN list_filter([lag(text) OVER w, text, lead(text) OVER w], lambda y: y IS NOT NULL)], ' / ') AS near FROM turns WINDOW w AS (PARTITION BY pair ORDER BY pos)")
@@ -313,17 +323,17 @@ def linted(spark, sf_dir, **how):
 
 @query(NEAR + r", lost AS (SELECT pair, pos, sid AS id, list_filter(list_distinct(regexp_extract_all(st, '\p{Nd}+')), lambda x: NOT list_contains(regexp_extract_all(near, '\p{Nd}+'), x)) AS lost FROM li) SELECT pair, pos, id, array_to_string(list_transform(list_sort(list_transform(lost, lambda x: printf('%05d', length(x)) || x)), lambda y: substr(y, 6)), ', ') AS detail FROM lost WHERE len(lost) > 0")
 def q_lint_numbers(spark, sf_dir):
-    return linted(spark, sf_dir, cps=0).where("kind = 'number'").select("pair", "pos", "id", "detail")
+    return linted(spark, sf_dir, kinds=["number"]).select("pair", "pos", "id", "detail")
 
 
 @query(NEAR + r"SELECT pair, pos, sid AS id FROM li WHERE length(dt) / 1.0 > 200")
 def q_lint_speed(spark, sf_dir):
-    return linted(spark, sf_dir, cps=200.0).where("kind = 'fast_read'").select("pair", "pos", "id")
+    return linted(spark, sf_dir, cps=200.0, kinds=["fast_read"]).select("pair", "pos", "id")
 
 
 @query(NEAR + r"SELECT 'fast_read' AS kind, count(*) AS n FROM li WHERE length(dt) > 300 UNION ALL SELECT 'number', count(*) FROM li WHERE len(list_filter(list_distinct(regexp_extract_all(st, '\p{Nd}+')), lambda x: NOT list_contains(regexp_extract_all(near, '\p{Nd}+'), x))) > 0")
 def q_lint_counts(spark, sf_dir):
-    return L.lint_counts(linted(spark, sf_dir, cps=300.0).where("kind in ('number', 'fast_read')")).select("kind", "n")
+    return L.lint_counts(linted(spark, sf_dir, cps=300.0, kinds=["number", "fast_read"])).select("kind", "n")
 
 
 def with_keys(blocks, spoken):
@@ -343,7 +353,7 @@ KEYED = ", keyed AS (SELECT pair, pos, idx, (pair + pos) % 6 = 0 AS asked, (pair
 def q_lint_combos(spark, sf_dir):
     plain = doc_blocks(spark, sf_dir)
     src, dst = with_keys(plain, True), with_keys(plain, False)
-    return L.lint(P.zipped(src, dst), dst, cps=0).where("kind in ('key', 'mouse')").select("pair", "pos", "id", "kind", "detail")
+    return L.lint(P.zipped(src, dst), dst, kinds=["key", "mouse"]).select("pair", "pos", "id", "kind", "detail")
 
 
 @query("SELECT conv_id AS pair, CAST(turn + 1 AS INTEGER) AS pos, 'Photoshop, Gaussian' AS detail FROM conversations WHERE role = 'user' AND turn % 2 = 0 AND (conv_id + turn) % 3 = 0")
@@ -419,7 +429,7 @@ FROM parts p LEFT JOIN miss m USING (pair, part) LEFT JOIN xtra x USING (pair, p
 def q_parts_state(spark, sf_dir):
     src, edits = doc_edits(spark, sf_dir)
     none = spark.sql("SELECT CAST(NULL AS BIGINT) AS pair, '' AS name, '' AS code, '' AS detail WHERE false")
-    return M.part_states(src, edits, none, edits.select("pair", "name"), "pair", size=4)
+    return M.part_states(src, edits, none, edits.select("pair", "name"), "pair", size=4).drop("extra_ids")
 
 
 @query("SELECT pair, unnest(range(1, count(*) + 1, 5)) AS first, least(unnest(range(1, count(*) + 1, 5)) + 4, count(*)) AS last FROM src GROUP BY pair")
@@ -470,18 +480,182 @@ def q_name_lang(spark, sf_dir):
     return stem.select(F.col("doc_id").alias("pair"), F.regexp_extract("stem", S.NAME_AND_LANGUAGE, 1).alias("name"), F.regexp_extract("stem", S.NAME_AND_LANGUAGE, 2).alias("language"))
 
 
-@query("SELECT doc_id AS pair, 'No. ' || doc_id || ' ABC fi' AS normal FROM documents")
+@query("SELECT doc_id AS pair, 'ABC fi ' || text || ' No. 3' AS normal FROM documents")
 def q_nfkc(spark, sf_dir):
-    wide = F.concat(F.lit("Nｏ. "), F.col("doc_id").cast("string"), F.lit(" ＡＢＣ ﬁ"))
+    wide = F.concat(F.lit("ＡＢＣ ﬁ "), F.col("text"), F.lit(" Nｏ. ３"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair"), T.nfkc(wide).alias("normal"))
 
 
-@query("SELECT doc_id AS pair, len(string_split(text, chr(10))) - 1 AS n_open FROM documents")
+@query("SELECT conv_id AS pair, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS n_open FROM conversations GROUP BY conv_id")
 def q_review_pending(spark, sf_dir):
-    review = F.regexp_replace("text", "\n[^\n]*", "\n### x | Pending ")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair"), S.count_open(review).cast("long").alias("n_open"))
+    """Reviews with a heading for each turn, those of the user open; the texts below count for nothing."""
+    state = F.when(F.col("role") == "user", F.when(F.col("turn") % 4 == 0, "Pending").otherwise("unsure ")).otherwise("fixed")
+    entry = F.concat(F.lit("### "), F.col("turn").cast("string"), F.lit(" | x | "), state, F.lit("\n"), F.regexp_replace("text", "[#|]", ""), F.lit("\n"))
+    rows = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("pair")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("entry")))), lambda x: x["entry"]), "\n").alias("review"))
+    return rows.select("pair", S.count_open(F.col("review")).cast("long").alias("n_open"))
 
 
-@query("SELECT pair, pos, CAST(1 AS DOUBLE) AS seconds FROM src")
+@query("SELECT pair, pos, round((pair + pos) % 7 + ((pair * 13 + pos) % 1000) / 1000.0, 3)::DOUBLE AS seconds FROM src")
 def q_durations(spark, sf_dir):
-    return doc_blocks(spark, sf_dir).select("pair", "pos", T.duration(F.col("timing")).alias("seconds"))
+    """Clocks that end some seconds and thousandths after they begin."""
+    blocks = doc_blocks(spark, sf_dir)
+    begin, thousandths = F.col("pos"), (F.col("pair") * 13 + F.col("pos")) % 1000
+    end = F.concat(F.substring(clock(begin + (F.col("pair") + F.col("pos")) % 7), 1, 8), F.lit("."), F.lpad(thousandths.cast("string"), 3, "0"))
+    return blocks.select("pair", "pos", F.round(T.duration(F.concat(clock(begin), F.lit("  -->  "), end, F.lit(" X1:5"))), 3).alias("seconds"))
+
+
+@query("SELECT doc_id AS pair, CASE doc_id % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'short' WHEN 2 THEN 'not_utf8' END AS code, CASE doc_id % 4 WHEN 1 THEN '1' ELSE '' END AS detail FROM documents WHERE doc_id % 4 < 3")
+def q_parse_faults(spark, sf_dir):
+    """Files of white space, of a lone number, of no text, and good ones."""
+    k = F.col("doc_id") % 4
+    text = F.when(k == 0, F.concat(F.lit(" \n"), F.repeat(F.lit("\t\n"), (F.col("doc_id") % 9).cast("int")))).when(k == 1, F.concat(F.lit("\n"), F.col("doc_id").cast("string"), F.lit("\n\n"))).when(k == 3, "1\n00:00:01,000 --> 00:00:02,000\nx\n")
+    _, errors = S.parse_srt(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair"), text.alias("text")), "pair")
+    return errors.select("pair", "code", "detail")
+
+
+@query("""
+SELECT pair, pos AS line_no, 'malformed' AS code, substr('x' || regexp_replace(line, '[^a-z]', '', 'g') || 'x', 1, 60) AS detail FROM edited WHERE k % 4 = 0
+UNION ALL SELECT pair, pos, 'empty_text', idx FROM edited WHERE k % 4 = 1""")
+def q_edit_problems(spark, sf_dir):
+    """Edit files with lines that have no ID and lines without a text."""
+    blocks = doc_blocks(spark, sf_dir)
+    k, line = F.col("pair") + F.col("pos"), F.regexp_replace(F.col("lines")[0], "[^a-z]", "")
+    row = F.when(k % 4 == 0, F.concat(F.lit("x"), line, F.lit("x"))).when(k % 4 == 1, F.concat(F.lit(" "), F.col("idx"), F.lit(" |  "))).otherwise(F.concat(F.col("idx"), F.lit(" | a | b")))
+    texts = blocks.groupBy("pair").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", row.alias("row")))), lambda x: x["row"]), "\n").alias("text"))
+    _, problems = S.parse_edits(texts, "pair")
+    return problems.select("pair", "line_no", "code", "detail")
+
+
+SECTIONS = """
+WITH t AS (SELECT * FROM nation)
+SELECT n_nationkey AS pair, 4 AS section, unnest(['## 4. Terms', '| Gốc | English | Trạng thái |', '| --- | --- | --- |', '| ' || n_name || ' / x' || n_nationkey || ' | ' || lower(n_name) || ', land | ' || CASE WHEN n_nationkey % 3 = 0 THEN 'x' ELSE '?' END || ' |', '']) AS line FROM t
+UNION ALL SELECT n_nationkey, 5, unnest(['## 5. Other', '| A | B |', '| ' || n_regionkey || ' | b |']) FROM t"""
+
+
+@query(SECTIONS)
+def q_glossary_sections(spark, sf_dir):
+    """Sections of glossaries, tables compact and comments gone."""
+    books = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("pair"), F.concat(F.lit("# Title\n<!-- | x |\n-->\n"), F.expr(BOOK.format(n="'\n'")), F.lit("\n## 6. More\ntext")).alias("text"))
+    return S.glossary_lines(books, {4, 5}, "pair").select("pair", "section", "line")
+
+
+PARTS = """
+, lines_of AS (
+  SELECT pair, idx, pos, printf('part_%03d.txt', CAST(ceil(pos / 4.0) AS INTEGER)) AS name, pos AS line_no, 'own ' || idx AS text FROM edited WHERE k % 9 <> 0
+  UNION ALL SELECT pair, idx, pos, printf('part_%03d.txt', CAST(ceil(pos / 4.0) AS INTEGER) + 1), 1, 'later ' || idx FROM edited WHERE k % 10 = 0
+  UNION ALL SELECT pair, CAST(pos + 5000 AS VARCHAR), pos, printf('part_%03d.txt', CAST(ceil(pos / 4.0) AS INTEGER)), 2, 'extra' FROM edited WHERE k % 3 = 0)
+"""
+
+
+def part_edits(spark, sf_dir):
+    """Part files: some IDs missing, some again in the next part, some that no block has."""
+    src = doc_blocks(spark, sf_dir)
+    k, part = F.col("pair") + F.col("pos"), F.ceil(F.col("pos") / 4).cast("int")
+    row = lambda idx, part, line_no, text: src.select("pair", "pos", idx.alias("idx"), B.part_name(part, ".txt").alias("name"), line_no.alias("line_no"), text.alias("text"), k.alias("k"))
+    idx = F.col("idx")
+    own = row(idx, part, F.col("pos"), F.concat(F.lit("own "), idx)).where("k % 9 != 0")
+    later = row(idx, part + 1, F.lit(1), F.concat(F.lit("later "), idx)).where("k % 10 = 0")
+    extra = row((F.col("pos") + 5000).cast("string"), part, F.lit(2), F.lit("extra")).where("k % 3 = 0")
+    return src, own.unionByName(later).unionByName(extra).drop("k", "pos")
+
+
+@query(PARTS + "SELECT DISTINCT pair, idx, name FROM lines_of l WHERE EXISTS (SELECT 1 FROM lines_of x WHERE x.pair = l.pair AND x.idx = l.idx AND x.name < l.name)")
+def q_merge_other_parts(spark, sf_dir):
+    return M.in_several_parts(part_edits(spark, sf_dir)[1], "pair")
+
+
+@query(PARTS + "SELECT pair, idx, arg_max(text, name || printf('%09d', line_no)) AS text FROM lines_of GROUP BY pair, idx")
+def q_merge_last_part(spark, sf_dir):
+    return M.combined(part_edits(spark, sf_dir)[1], "pair")
+
+
+@query(PARTS + """
+, wrong AS (
+  SELECT pair, 3 AS step, 'missing' AS code, pos AS place, idx FROM edited e WHERE NOT EXISTS (SELECT 1 FROM lines_of l WHERE l.pair = e.pair AND l.idx = e.idx)
+  UNION ALL SELECT DISTINCT pair, 4, 'extra', CAST(idx AS INTEGER), idx FROM lines_of l WHERE NOT EXISTS (SELECT 1 FROM edited e WHERE l.pair = e.pair AND l.idx = e.idx)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY pair, step ORDER BY place) AS turn FROM wrong)
+SELECT pair, step, code, count(*) AS n, string_agg(idx, ', ' ORDER BY turn) FILTER (turn <= 20) AS ids FROM ranked GROUP BY pair, step, code""")
+def q_merge_report(spark, sf_dir):
+    """Missing IDs by position, extra ones by number, the first 20 of each named."""
+    src, edits = part_edits(spark, sf_dir)
+    none = spark.sql("SELECT CAST(NULL AS BIGINT) AS pair, '' AS name, 0 AS line_no, '' AS code, '' AS detail WHERE false")
+    return M.listed(M.merge_problems(src, edits, none, "pair"), "pair")
+
+
+def part_rows(spark, sf_dir):
+    src, edits = part_edits(spark, sf_dir)
+    none = spark.sql("SELECT CAST(NULL AS BIGINT) AS pair, '' AS name, '' AS code, '' AS detail WHERE false")
+    return M.part_states(src, edits, none, edits.select("pair", "name"), "pair", size=4)
+
+
+STATES = PARTS + """
+, parts AS (SELECT pair, CAST(ceil(pos / 4.0) AS INTEGER) AS part, printf('part_%03d.txt', CAST(ceil(pos / 4.0) AS INTEGER)) AS name FROM src GROUP BY ALL),
+xtra AS (SELECT DISTINCT pair, name, idx FROM lines_of l WHERE NOT EXISTS (SELECT 1 FROM edited e WHERE e.pair = l.pair AND e.idx = l.idx AND printf('part_%03d.txt', CAST(ceil(e.pos / 4.0) AS INTEGER)) = l.name)),
+named AS (SELECT pair, name, count(*) AS n_extra, string_agg(idx, ', ' ORDER BY CAST(idx AS BIGINT)) FILTER (turn <= 5) AS extra_ids FROM (SELECT *, row_number() OVER (PARTITION BY pair, name ORDER BY CAST(idx AS BIGINT)) AS turn FROM xtra) GROUP BY pair, name),
+lost AS (SELECT DISTINCT pair, printf('part_%03d.txt', CAST(ceil(pos / 4.0) AS INTEGER)) AS name FROM edited e WHERE NOT EXISTS (SELECT 1 FROM lines_of l WHERE l.pair = e.pair AND l.idx = e.idx AND l.name = printf('part_%03d.txt', CAST(ceil(e.pos / 4.0) AS INTEGER)))),
+states AS (
+  SELECT p.pair, p.part, p.name, coalesce(n.n_extra, 0) AS n_extra, coalesce(n.extra_ids, '') AS extra_ids,
+         CASE WHEN NOT EXISTS (SELECT 1 FROM lines_of l WHERE l.pair = p.pair AND l.name = p.name) THEN 'todo' WHEN n.name IS NOT NULL OR o.name IS NOT NULL THEN 'error' ELSE 'done' END AS state
+  FROM parts p LEFT JOIN named n USING (pair, name) LEFT JOIN lost o USING (pair, name))
+"""
+
+
+@query(STATES + "SELECT pair, part, state, CAST(n_extra AS BIGINT) AS n_extra, extra_ids FROM states")
+def q_parts_extra(spark, sf_dir):
+    return part_rows(spark, sf_dir).select("pair", "part", "state", "n_extra", "extra_ids")
+
+
+@query(STATES + "SELECT pair, count(*) FILTER (state = 'done') AS n_done, count(*) AS n_parts, arg_min(name, part) FILTER (state <> 'done') AS next_part FROM states GROUP BY pair")
+def q_parts_progress(spark, sf_dir):
+    return M.progress(part_rows(spark, sf_dir), "pair")
+
+
+@query(NEAR + r"SELECT pair, pos, sid AS id, CAST(length(dt) AS VARCHAR) || ' 1.0' AS detail FROM li WHERE length(dt) > 200")
+def q_lint_speed_detail(spark, sf_dir):
+    return linted(spark, sf_dir, cps=200.0, kinds=["fast_read"]).select("pair", "pos", "id", "detail")
+
+
+@query("SELECT pair, pos, CASE WHEN (pair + pos) % 2 = 0 THEN 'Gaussian' ELSE 'Gaussian, Photoshop' END AS detail FROM turns WHERE role = 'user'")
+def q_lint_glossary_terms(spark, sf_dir):
+    """A term of the glossary is left to the glossary, and one that the target has in any case isn't lost."""
+    src = turn_blocks(spark, sf_dir).where("role = 'user'").withColumn("lines", F.array(F.lit("打开滤镜 Gaussian Photoshop Layer"), F.lit("图层 ok")))
+    dst = src.withColumn("lines", F.array(F.when((F.col("pair") + F.col("pos")) % 2 == 0, "photoshop!").otherwise("mở")))
+    alone = lambda df: df.withColumn("pair", F.struct("pair", "pos"))  # every turn a file of its own: no neighbours
+    src, dst = alone(src), alone(dst)
+    return L.lint(P.zipped(src, dst), dst, glossary_terms=["layer"], kinds=["latin_term"]).select("pair.pair", "pos", "detail")
+
+
+LONGEST = [R.Rule("of", ("of", "of the", "of the same"), ("NONE",))]
+
+
+@query(", hits AS (SELECT pair, pos, lower(regexp_extract(st, '(?i)(?:^|[^A-Za-z0-9\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}])(of the same|of the|of)(?:$|[^A-Za-z0-9\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}])', 1)) AS hit FROM zip) SELECT pair, pos, hit FROM hits WHERE hit <> ''")
+def q_glossary_longest(spark, sf_dir):
+    """Of overlapping spellings the longest is the hit."""
+    src, _ = both_sides(spark, sf_dir)
+    return R.glossary_violations(P.zipped(src, edited_blocks(src).withColumn("lines", F.array(F.lit("x")))), LONGEST).select("pair", "pos", F.lower("hit").alias("hit"))
+
+
+@query(VIOLATIONS + "SELECT cell, n, CAST(row_number() OVER (ORDER BY n DESC, first) AS INTEGER) AS rank FROM (SELECT cell, count(*) AS n, min(struct_pack(a := pair, b := pos, c := rule_no)) AS first FROM violations GROUP BY cell)")
+def q_glossary_ranks(spark, sf_dir):
+    return R.violation_counts(R.glossary_violations(P.zipped(*both_sides(spark, sf_dir)), TERMS)).select("cell", "n", "rank")
+
+
+@query("""
+WITH f AS (SELECT DISTINCT source AS name, lang AS language FROM documents),
+a AS (SELECT DISTINCT name FROM f), l AS (SELECT DISTINCT language FROM f UNION SELECT 'xx'),
+r AS (SELECT name, language, length(name) % 3 AS open, 1500 AS at FROM f WHERE length(name) % 2 = 1)
+SELECT a.name, l.language, CASE WHEN f.name IS NULL THEN 'absent' ELSE 'pass' END AS state,
+       f.name IS NOT NULL AND 1000 > 500 + 100 * length(a.name) AS stale,
+       CASE WHEN r.name IS NULL THEN NULL WHEN r.open > 0 THEN 'progressing' ELSE 'done' END AS review, CAST(r.open AS BIGINT) AS n_open,
+       r.name IS NOT NULL AND 500 + 100 * length(a.name) > 1500 AS review_old
+FROM a CROSS JOIN l LEFT JOIN f ON f.name = a.name AND f.language = l.language LEFT JOIN r ON r.name = a.name AND r.language = l.language""")
+def q_status_reviews(spark, sf_dir):
+    """Sources that changed later, open and outdated reviews, and a language that no file has yet."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("name"), F.col("lang").alias("language")).distinct()
+    at = lambda seconds: F.timestamp_seconds(seconds).alias("mtime")
+    one = docs.select("name", F.lit(None).cast("string").alias("language"), F.lit("raw").alias("stage"), at(F.lit(0))).distinct()
+    files = docs.select("name", "language", F.lit("trans").alias("stage"), at(500 + 100 * F.length("name")))
+    names = one.unionByName(one.withColumn("stage", F.lit("cleaned")).withColumn("mtime", at(F.lit(1000)))).unionByName(files)
+    reviews = docs.where(F.length("name") % 2 == 1).select("name", "language", (F.length("name") % 3).alias("n_open"), at(F.lit(1500)))
+    known = status(names, one.select("name", F.lit(True).alias("passed")), docs.withColumn("passed", F.lit(True)), reviews, ["xx"])
+    return known.where("stage = 'trans'").select("name", "language", "state", "stale", "review", "n_open", "review_old")
