@@ -99,13 +99,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> int:
+    """How many tables of :func:`written` there are; for :func:`release`."""
+    return len(_written)
+
+
+def release(since: int) -> None:
+    """Deletes the tables written after the first ``since`` but for the last one, which must be all that is still read."""
+    for spark, path in _written[since:-1]:
+        delete(spark, path)
+    del _written[since:-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def forget() -> None:
     """Deletes the tables of :func:`written`; frames that read them can't be used any more."""
     while _written:
-        spark, path = _written.pop()
         try:
-            context = spark.sparkContext
-            target = context._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+            delete(*_written.pop())
         except Exception:  # the session has ended; the cluster's own cleaning of its shared folder is left
             return
