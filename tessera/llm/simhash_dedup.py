@@ -138,10 +138,10 @@ def common_shingles(documents: DataFrame, text_column: str, words: int) -> tuple
 
     text = quoted(text_column).cast("string")
     counts = documents.where(F.pmod(F.xxhash64(text, F.lit(7)), F.lit(SAMPLE)) == 0).select(F.explode(distinct(text)).alias("shingle")).groupBy("shingle").count()
-    rows = counts.where(F.col("count") >= LEAST_COUNT).orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
-    found = np.array([r["shingle"] for r in rows], np.int64).view(np.uint64)
+    rows = counts.where(F.col("count") >= LEAST_COUNT).orderBy(F.desc("count"), "shingle").limit(COMMON).toArrow()
+    found = rows.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(found)
-    return found[order], np.array([r["count"] for r in rows], np.int64)[order]
+    return found[order], rows.column("count").to_numpy()[order]
 
 
 def fingerprint(

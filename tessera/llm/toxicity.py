@@ -99,13 +99,11 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     if not positive or not unlabelled:
         return Model(weights, -10.0)
     n_p, n_u = len(positive), len(unlabelled)
-    every = [*positive, *unlabelled]
+    of_u, texts = counted or (slot_counts(unlabelled), n_u)
+    chosen = frequent(slot_counts(positive), n_p, of_u, texts, SURE)
+    every = [r[chosen[r]] for r in (*positive, *unlabelled)]
     index = np.concatenate([*every, np.zeros(0, np.int32)])
     row = np.repeat(np.arange(len(every)), [len(r) for r in every])
-    of_p = np.bincount(index[row < n_p], minlength=SLOTS)
-    of_u, texts = counted or (np.bincount(index[row >= n_p], minlength=SLOTS), n_u)
-    chosen = frequent(of_p, n_p, of_u, texts, SURE)
-    row, index = row[chosen[index]], index[chosen[index]]
     used, index = np.unique(index, return_inverse=True)
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     w[-1] = bias
@@ -153,7 +151,8 @@ def sample(rows: DataFrame, most_bytes: int = SAMPLE_BYTES) -> list[np.ndarray]:
     sizes = each.select("name", F.octet_length("slots").alias("bytes"))
     order = Window.orderBy(F.xxhash64("name"), "name").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kept = sizes.withColumn("upto", F.sum("bytes").over(order)).where(F.col("upto") <= most_bytes)  # at most some thousand rows
-    return [np.frombuffer(bytes(r[0]), np.int32) for r in each.join(F.broadcast(kept.select("name")), "name").select("slots").collect()]
+    found = each.join(F.broadcast(kept.select("name")), "name").select("slots").toArrow().column("slots")
+    return [np.frombuffer(x.as_buffer(), np.int32) for x in found]
 
 
 def count_texts(rows: DataFrame, only: np.ndarray, n: int = 0) -> np.ndarray:
@@ -171,8 +170,8 @@ def count_texts(rows: DataFrame, only: np.ndarray, n: int = 0) -> np.ndarray:
         yield pd.DataFrame({"slot": some, "times": times[some]})
 
     out = np.where(only, 0, n)
-    for slot, times in rows.select("text").mapInPandas(count, "slot long, times long").groupBy("slot").agg(F.sum("times")).collect():
-        out[slot] = times
+    found = rows.select("text").mapInPandas(count, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    out[found.column("slot").to_numpy()] = found.column("times").to_numpy()
     return out
 
 
@@ -183,7 +182,11 @@ def frequent(of_p: np.ndarray, n_p: int, of_u: np.ndarray, n_u: int, sure: float
 
 
 def slot_counts(rows: list[np.ndarray]) -> np.ndarray:
-    return np.bincount(np.concatenate([*rows, np.zeros(0, np.int32)]), minlength=SLOTS)
+    """In how many of the rows each slot stands."""
+    out = np.zeros(SLOTS, np.int64)
+    for r in rows:
+        out[r] += 1
+    return out
 
 
 def fit(
