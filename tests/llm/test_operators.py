@@ -525,6 +525,24 @@ def test_mix_meets_targets(documents, rows):
     assert mixing.mix(documents).count() == sum(r[names["copies"]] for r in got)
 
 
+@pytest.mark.parametrize("kind", ["equal rows", "null ids"])
+def test_mix_where_many_rows_tie(spark, kind):
+    one = (7, "five words are in here", "a") if kind == "equal rows" else None
+    rows = [one or (None, f"five words are in {i}", "a") for i in range(300)] + [(1000 + i, "some other words", "b") for i in range(40)] + [(2000, None, "b"), (2001, "", "c")]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, source string, name string, range int").repartition(4)
+    planned, names = mixing.plan_mix(frame)
+    assert planned.columns[:5] == frame.columns
+    got = planned.collect()
+    assert len(got) == len(rows)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r[names["taken"]] for r in own) - own[0][names["target"]]) <= 1
+        assert all(r[names["taken"]] <= 2 * r[names["size"]] for r in own)
+        mixed = mixing.mix(frame.where(F.col("source") == s), weights=(1,), share=1.3).collect()
+        words_of_mix = sum(len((r["text"] or "").split()) for r in mixed)
+        assert abs(words_of_mix - 1.3 * own[0][names["source_size"]]) <= 5  # a document's words
+
+
 def test_mix_of_nothing(nothing):
     assert mixing.mix(nothing).count() == 0
 
