@@ -177,8 +177,11 @@ def count_texts(rows: DataFrame, only: np.ndarray, n: int = 0) -> np.ndarray:
 
 def frequent(of_p: np.ndarray, n_p: int, of_u: np.ndarray, n_u: int, sure: float) -> np.ndarray:
     """Slots that are ``LEAST_LIFT`` times as frequent in the confirmed texts, ``sure`` standard errors below the estimate."""
+    out = of_p >= LEAST_TEXTS
+    of_p, of_u = of_p[out], of_u[out]
     lift = np.log((of_p + 0.5) / (n_p + 1)) - np.log((of_u + 0.5) / (n_u + 1)) - sure * np.sqrt(1 / (of_p + 0.5) + 1 / (of_u + 0.5))
-    return (of_p >= LEAST_TEXTS) & (lift > np.log(LEAST_LIFT))
+    out[out] = lift > np.log(LEAST_LIFT)
+    return out
 
 
 def slot_counts(rows: list[np.ndarray]) -> np.ndarray:
