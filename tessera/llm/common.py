@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -105,10 +106,17 @@ def tables() -> int:
 
 
 def release(since: int) -> None:
-    """Deletes the tables written after the first ``since`` but for the last one, which must be all that is still read."""
+    """Deletes the tables written after the first ``since`` but for the last one, which must be all that is still read.
+
+    Spark gives up the shuffle files and broadcasts of a step, and the driver the code it made for it, only
+    when the driver's JVM collects what nothing refers to any more; so that is asked for here.
+    """
     for spark, path in _written[since:-1]:
         delete(spark, path)
     del _written[since:-1]
+    if _written:
+        gc.collect()  # Python's own references to frames go first
+        _written[-1][0].sparkContext._jvm.System.gc()
 
 
 def delete(spark: SparkSession, path: str) -> None:
