@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, small, written
+from .common import fresh, quoted, written
 
 BINS = 1024
 #: Share of a node's weight that a cut may be off; the same where keeping equal texts together costs it.
@@ -41,14 +41,23 @@ def chosen(names: list[str], which: str = "dimension") -> Column:
     return F.coalesce(*[F.when(F.col(which) == i, F.col(c)) for i, c in enumerate(names)])
 
 
-def first_state(placed: DataFrame, nodes: DataFrame, dimensions: list[str], spread: list[int]) -> DataFrame:
+def of_nodes(table: DataFrame, leaves: int) -> DataFrame:
+    """``table``, one row for each of some nodes of a tree of so many leaves, marked for a broadcast if these are few.
+
+    The nodes of a level are at most as many as the leaves, all of them less than twice as many: the bound
+    is known without counting.
+    """
+    return F.broadcast(table) if 2 * leaves <= MOST_NODES else table
+
+
+def first_state(placed: DataFrame, nodes: DataFrame, dimensions: list[str], spread: list[int], leaves: int) -> DataFrame:
     """One row for each of ``nodes`` (node, first, parts) with rows: its dimension and the interval of each key.
 
     wanted: the weight that goes left; step: the key that decides now, 0 the dimension, 1 the text hash, 2
     the row hash; low and high: that key's interval; key0 and key1: the values of the keys before it.
     """
     ends = [f(d).alias(f"{x}{i}") for i, d in enumerate([*dimensions, "text_hash", "row_hash"]) for x, f in (("min", F.min), ("max", F.max))]
-    own = placed.join(small(nodes, MOST_NODES), "node").groupBy("node", "parts").agg(F.sum("size").alias("weight"), *ends)
+    own = placed.join(of_nodes(nodes, leaves), "node").groupBy("node", "parts").agg(F.sum("size").alias("weight"), *ends)
     n = len(dimensions)
     widths = F.array(*[F.struct(((F.col(f"max{i}") - F.col(f"min{i}")) / max(1, spread[i])).alias("width"), F.lit(-i).alias("order")) for i in range(n)])
     own = own.withColumn("dimension", -F.array_max(widths)["order"])
@@ -61,9 +70,9 @@ def first_state(placed: DataFrame, nodes: DataFrame, dimensions: list[str], spre
     )
 
 
-def next_state(placed: DataFrame, state: DataFrame, dimensions: list[str]) -> DataFrame:
+def next_state(placed: DataFrame, state: DataFrame, dimensions: list[str], leaves: int) -> DataFrame:
     """``state`` one histogram on: nodes whose part is light enough or a single row hash are done and have cuts."""
-    at = placed.join(small(state.select("node", "dimension", "step", "low", "high", "key0", "key1"), MOST_NODES), "node")
+    at = placed.join(of_nodes(state.select("node", "dimension", "step", "low", "high", "key0", "key1"), leaves), "node")
     value = chosen(dimensions)
     key = F.when(F.col("step") == 0, value).when(F.col("step") == 1, F.col("text_hash")).otherwise(F.col("row_hash"))
     same = (F.col("key0").isNull() | (value == F.col("key0"))) & (F.col("key1").isNull() | (F.col("text_hash") == F.col("key1")))
@@ -71,9 +80,9 @@ def next_state(placed: DataFrame, state: DataFrame, dimensions: list[str]) -> Da
     counted = at.where(same).select("node", key.alias("key"), "low", "high", width.alias("width"), "size").where(F.col("key").between(F.col("low"), F.col("high")))
     bins = counted.groupBy("node", F.floor((F.col("key") - F.col("low")) / F.col("width")).cast("long").alias("bin")).agg(F.sum("size").alias("size"), F.min("key").alias("from"), F.max("key").alias("to"))
     upto = F.sum("size").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    reached = bins.withColumn("upto", upto).join(small(state.select("node", "wanted"), MOST_NODES), "node").where(F.col("upto") >= F.col("wanted"))
+    reached = bins.withColumn("upto", upto).join(of_nodes(state.select("node", "wanted"), leaves), "node").where(F.col("upto") >= F.col("wanted"))
     part = reached.groupBy("node").agg(F.min_by(F.struct("from", "to", "size", (F.col("upto") - F.col("size")).alias("before")), "bin").alias("part"))
-    now, step = state.join(small(written(part, "median-parts"), MOST_NODES), "node", "left"), F.col("step")
+    now, step = state.join(of_nodes(part, leaves), "node", "left"), F.col("step")
     low, high, size = F.col("part.from"), F.col("part.to"), F.col("part.size")
     rest = F.col("wanted") - F.col("part.before")
     single, last = low == high, step == 2
@@ -90,22 +99,22 @@ def next_state(placed: DataFrame, state: DataFrame, dimensions: list[str]) -> Da
     )
 
 
-def split_level(placed: DataFrame, nodes: DataFrame, dimensions: list[str], spread: list[int]) -> DataFrame:
+def split_level(placed: DataFrame, nodes: DataFrame, dimensions: list[str], spread: list[int], leaves: int) -> DataFrame:
     """(node, dimension, cut0, cut1, cut2) of the nodes that have rows: rows whose keys come from there on go right.
 
     ``placed`` has node, dimensions, text_hash, row_hash, size.
     """
-    ready, state = [], written(first_state(placed, nodes, dimensions, spread), "intervals")
+    ready, state = [], written(first_state(placed, nodes, dimensions, spread, leaves), "intervals")
     while not state.isEmpty():
-        now = written(next_state(placed, state, dimensions), "intervals")
+        now = written(next_state(placed, state, dimensions, leaves), "intervals")
         ready.append(now.where("done").select("node", "dimension", "cut0", "cut1", "cut2"))
         state = now.where("not done")
     return written(reduce(DataFrame.unionByName, ready), "cuts") if ready else state.select("node", "dimension", "cut0", "cut1", "cut2")
 
 
-def place(placed: DataFrame, cuts: DataFrame, dimensions: list[str]) -> DataFrame:
+def place(placed: DataFrame, cuts: DataFrame, dimensions: list[str], leaves: int) -> DataFrame:
     """The rows one level down: node 2 n left of the cut, 2 n + 1 right of it; nodes without a cut stay."""
-    at = placed.join(small(cuts, MOST_NODES), "node", "left")
+    at = placed.join(of_nodes(cuts, leaves), "node", "left")
     value = chosen(dimensions)
     right = (value > F.col("cut0")) | (value == F.col("cut0")) & (
         F.col("cut1").isNull() | (F.col("text_hash") > F.col("cut1")) | (F.col("text_hash") == F.col("cut1")) & (F.col("cut2").isNull() | (F.col("row_hash") >= F.col("cut2")))
@@ -145,18 +154,18 @@ def kd_shards(
     nodes = written(documents.sparkSession.sql(f"SELECT 1L AS node, 0L AS first, {leaves}L AS parts"), "nodes")
     placed = points.withColumn("node", F.lit(1).cast("long"))
     while not (open_nodes := nodes.where("parts > 1")).isEmpty():
-        cuts = split_level(placed, open_nodes.select("node", "parts"), d_names, spread)
+        cuts = split_level(placed, open_nodes.select("node", "parts"), d_names, spread, leaves)
         if cuts.isEmpty():
             break
-        placed = written(place(placed, cuts, d_names), "placed")
+        placed = written(place(placed, cuts, d_names, leaves), "placed")
         levels.append(cuts)
-        both = nodes.join(small(cuts.select("node", F.lit(True).alias("cut")), MOST_NODES), "node", "left")
+        both = nodes.join(of_nodes(cuts.select("node", F.lit(True).alias("cut")), leaves), "node", "left")
         half = F.floor(F.col("parts") / 2)
         left = F.struct((2 * F.col("node")).alias("node"), "first", half.alias("parts"))
         right = F.struct((2 * F.col("node") + 1).alias("node"), (F.col("first") + half).alias("first"), (F.col("parts") - half).alias("parts"))
         # A node without rows is a leaf, whatever it was meant to hold.
         nodes = written(both.select(F.inline(F.when(F.col("cut"), F.array(left, right)).otherwise(F.array(F.struct("node", "first", F.lit(1).cast("long").alias("parts")))))), "nodes")
-    shard_of = small(nodes.select("node", F.col("first").cast("int").alias("shard")), MOST_NODES)
+    shard_of = of_nodes(nodes.select("node", F.col("first").cast("int").alias("shard")), leaves)
     parts = max(LEAST_PARTS, whole["rows"] // (leaves * PART_ROWS))
     part = F.pmod(F.xxhash64("row_hash"), F.lit(parts)).alias("part")
     counts = placed.join(shard_of, "node").groupBy("shard", part).count()
@@ -168,9 +177,9 @@ def kd_shards(
     renamed = {"node": n_node, "text_hash": n_text, "row_hash": n_row, "size": n_size} | {d: fresh(documents, f"dim{i}")[0] for i, d in enumerate(d_names)}
     own = documents.select("*", *[F.coalesce(d.cast("long"), F.lit(0)).alias(renamed[a]) for d, a in zip(dims, d_names, strict=True)], text_hash.alias(n_text), row_hash.alias(n_row), F.lit(1).cast("long").alias(n_node))
     for level in levels:
-        own = place_named(own, level, renamed, d_names)
+        own = place_named(own, level, renamed, d_names, leaves)
     wide = nodes.select(F.col("node").alias(n_node), F.col("first").cast("int").alias(shard_column))
-    own = own.join(small(wide, MOST_NODES), n_node)
+    own = own.join(of_nodes(wide, leaves), n_node)
     own = own.withColumn(n_part, F.pmod(F.xxhash64(n_row), F.lit(parts)))
     own = own.join(offsets, (F.col(shard_column) == F.col(n_s)) & (F.col(n_part) == F.col(n_p)))
     inside = Window.partitionBy(n_s, n_p).orderBy(n_row, n_text)
@@ -178,9 +187,9 @@ def kd_shards(
     return own.select(*map(quoted, documents.columns), shard_column, slot)
 
 
-def place_named(own: DataFrame, level: DataFrame, names: dict[str, str], dimensions: list[str]) -> DataFrame:
+def place_named(own: DataFrame, level: DataFrame, names: dict[str, str], dimensions: list[str], leaves: int) -> DataFrame:
     """:func:`place` under the helper names of a frame that may have columns of any name."""
     short = own.select(F.struct(*map(quoted, own.columns)).alias("all"), *[F.col(names[c]).alias(c) for c in ("node", "text_hash", "row_hash", *dimensions)])
-    moved = place(short, level, dimensions)
+    moved = place(short, level, dimensions, leaves)
     kept = [F.col("all").getField(c).alias(c) if c != names["node"] else F.col("node").alias(c) for c in own.columns]
     return moved.select(*kept)
