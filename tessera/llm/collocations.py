@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,16 @@ from .common import quoted, written
 PIECE_ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \x09"
 
 #: Bytes of text whose n-grams are counted together before they become rows.
-WINDOW = 16 << 20
+WINDOW = 32 << 20
 
 #: The row that counts all words of a language, a phrase no text has.
 ALL = ""
 
 #: Rows of an Arrow batch that goes back to Spark.
-BATCH = 1 << 16
+BATCH = 256
+
+#: An odd number that spreads the checksums of words over 64 bits.
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 KIND = np.zeros(256, np.uint8)  # of a byte: 0 in a word, 1 blank, 2 end of a piece
 KIND[list(BLANKS)], KIND[list(PIECE_ENDS)] = 1, 2
@@ -51,13 +55,17 @@ def words_of(data: bytes) -> tuple[pa.Array, np.ndarray]:
     return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(raw[inside])]), piece
 
 
-def count_grams(data: bytes, max_n: int, context: int = 0) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """(n-grams, their counts) for each n up to ``max_n``; those that end in the first ``context`` words don't count."""
+def count_grams(data: bytes, max_n: int, context: int = 0) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(n-grams, their counts, their marks) for each n up to ``max_n``; those that end in the first ``context`` words don't count.
+
+    The n-grams of three words and more that begin with the same n - 1 words have the same mark.
+    """
     words, piece = words_of(data)
     if len(words) <= context:
         return
     coded = words.dictionary_encode()
     own, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    marks = np.fromiter(map(crc32, names.to_pylist()), np.uint64, len(names))
     base, codes, seen = len(names), own, {}
     for n in range(1, max_n + 1):
         if n > len(own):
@@ -72,10 +80,14 @@ def count_grams(data: bytes, max_n: int, context: int = 0) -> Iterator[tuple[pa.
         parts = []
         for m in range(n, 1, -1):
             values, last = np.divmod(values, base)
-            parts.append(names.take(pa.array(last)))
+            parts.append(last)
             values = seen[m][values] if m in seen else values
-        parts.append(names.take(pa.array(values)))
-        yield pc.binary_join_element_wise(*parts[::-1], b" ") if n > 1 else parts[0], counts
+        parts.append(values)
+        mark = np.zeros(len(values), np.uint64)
+        for part in parts[: 0 if n > 2 else None : -1]:
+            mark = (mark ^ marks[part]) * MIX
+        columns = [names.take(pa.array(part)) for part in parts[::-1]]
+        yield pc.binary_join_element_wise(*columns, b" ") if n > 1 else columns[0], counts, mark
 
 
 def slices(data: bytes, max_n: int) -> Iterator[tuple[bytes, int]]:
@@ -96,14 +108,20 @@ def slices(data: bytes, max_n: int) -> Iterator[tuple[bytes, int]]:
 SEPARATED = bytes(32 if k else b for b, k in enumerate(KIND))  # every separator a space
 
 
-def counter(max_n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def counter(max_n: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def rows(lang: str, data: bytes, context: int = 0) -> Iterator[pa.RecordBatch]:
-        for n, (grams, counts) in enumerate(count_grams(data, max_n, context)):
-            if n == 0:
-                yield pa.record_batch([[lang], [ALL.encode()], [int(counts.sum())]], names)
-            for at in range(0, len(grams), BATCH):
-                own = grams[at : at + BATCH]
-                yield pa.record_batch([pa.repeat(pa.scalar(lang), len(own)), own, pa.array(counts[at : at + BATCH])], names)
+        for n, (grams, counts, mark) in enumerate(count_grams(data, max_n, context), 1):
+            if n == 1:
+                yield pa.record_batch([[lang], pa.array([0], pa.int32()), [ALL.encode()], pa.array([[counts.sum()]], pa.list_(pa.int32()))], names)
+            bucket = (mark >> np.uint64(32)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            found, first = np.unique(bucket[order], return_index=True)
+            ends = np.append(first, len(order)).astype(np.int32)
+            for at in range(0, len(found), BATCH):
+                own = slice(ends[at], ends[min(at + BATCH, len(found))])
+                cut = pa.array(ends[at : at + BATCH + 1] - ends[at], pa.int32())
+                phrases = pc.binary_join(pa.ListArray.from_arrays(cut, grams.take(pa.array(order[own]))), b"\n")
+                yield pa.record_batch([pa.repeat(pa.scalar(lang), len(phrases)), pa.array(found[at : at + BATCH].astype(np.int32)), phrases, pa.ListArray.from_arrays(cut, pa.array(counts[order[own]].astype(np.int32)))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = defaultdict(list), 0
@@ -123,16 +141,20 @@ def counter(max_n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
         for k in list(held):
             yield from rows(k, b"\n".join(held.pop(k)))
 
-    names = ["lang", "phrase", "f"]
+    names = ["lang", "bucket", "phrases", "counts"]
     return run
 
 
 def phrase_counts(documents: DataFrame, max_n: int = 3, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, phrase, f): occurrences of every 1- to ``max_n``-gram; phrase ``ALL`` has the number of all words."""
     rows = documents.select(F.coalesce(quoted(lang).cast("string"), F.lit("und")).alias("lang"), quoted(text).cast("string").cast("binary").alias("text"))
-    each = rows.mapInArrow(counter(max_n), "lang string, phrase binary, f long")
-    # Windows have combined what they could; combining once more before the shuffle would cost more than it saves.
-    return each.repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f")).withColumn("phrase", F.col("phrase").cast("string"))
+    buckets = max(1024, 16 * int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # Windows have combined what they could.  Their n-grams go through the shuffle in buckets, a row each, and
+    # those of three words and more lie beside the ones that begin alike, which takes half the room of a row each.
+    packed = rows.mapInArrow(counter(max_n, buckets), "lang string, bucket int, phrases binary, counts array<int>").repartition("lang", "bucket")
+    phrases = F.split(F.col("phrases").cast("string"), "\n", -1)
+    each = packed.select("lang", "bucket", "counts", F.posexplode(phrases).alias("at", "phrase"))
+    return each.groupBy("lang", "bucket", "phrase").agg(F.sum(F.get("counts", F.col("at"))).alias("f")).drop("bucket")
 
 
 def scored(counts: DataFrame, max_n: int) -> DataFrame:

@@ -20,10 +20,11 @@ def pieces(text):
 def brute(rows, max_n, least, percent, top):
     f, n = defaultdict(Counter), Counter()
     for lang, text in rows:
+        lang = "und" if lang is None else lang
         for w in pieces(text):
-            n[lang or "und"] += len(w)
+            n[lang] += len(w)
             for k in range(1, max_n + 1):
-                f[lang or "und"].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+                f[lang].update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     out = []
     for lang, own in f.items():
         candidates, found = {g: a for g, a in own.items() if len(g) > 1 and a >= least}, []
@@ -67,6 +68,10 @@ def test_products_beyond_64_bits(spark):
     assert row["score"] == 1000000 * (big - 1) ** 2 // (big * (big + 7)) and (row["l"], row["r"]) == (big, big + 7)
 
 
+def joined(found):
+    return {g.decode(): int(n) for grams, counts, _ in found for g, n in zip(grams.to_pylist(), counts, strict=True)}
+
+
 def plain_grams(data, max_n):
     return Counter(" ".join(w[i : i + k]) for w in pieces(data.decode()) for k in range(1, max_n + 1) for i in range(len(w) - k + 1))
 
@@ -78,8 +83,7 @@ def test_slices_lose_nothing(parts, window, max_n):
     try:
         collocations.WINDOW = window
         for own, context in collocations.slices(data, max_n):
-            for grams, counts in collocations.count_grams(own, max_n, context):
-                got.update(dict(zip((g.decode() for g in grams.to_pylist()), map(int, counts), strict=True)))
+            got.update(joined(collocations.count_grams(own, max_n, context)))
     finally:
         collocations.WINDOW = kept
     assert got == plain_grams(data, max_n)
@@ -88,7 +92,4 @@ def test_slices_lose_nothing(parts, window, max_n):
 def test_long_text_and_many_names(spark):
     """Words beyond what one number can code, in one long piece."""
     data = " ".join(f"w{i % 70000}" for i in range(140_001)).encode()
-    got = Counter()
-    for grams, counts in collocations.count_grams(data, 4):
-        got.update(dict(zip((g.decode() for g in grams.to_pylist()), map(int, counts), strict=True)))
-    assert got == plain_grams(data, 4)
+    assert joined(collocations.count_grams(data, 4)) == plain_grams(data, 4)
