@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, fingerprints, kd_shards, language_id, license_scan, mixing, simhash_dedup, token_counts, toxicity, url_filter
+from . import collocations, decontaminate, fingerprints, kd_shards, language_id, license_scan, mixing, simhash_dedup, token_counts, toxicity, url_filter, vantage_trees
 from .common import table, written
 
 
@@ -73,13 +73,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", (~toxicity.learns(F.col("doc_id"))).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vantage_trees.Index(vectors, k=10).search(vectors.where(F.col("vec_id") % 100 == 0), factor=1.0)
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_dedup, op2_url_filter, op3_decontaminate, op4_kd_shards, op5_token_counts, op6_mixing, op7_license_scan, op8_language_id, op9_fingerprints, op10_toxicity, op13_collocations)
+    for f in (op1_simhash_dedup, op2_url_filter, op3_decontaminate, op4_kd_shards, op5_token_counts, op6_mixing, op7_license_scan, op8_language_id, op9_fingerprints, op10_toxicity, op11_vantage_trees, op13_collocations)
 }
 
-ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op6_mixing": mixing.ORACLE, "op13_collocations": collocations.ORACLE}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op6_mixing": mixing.ORACLE, "op11_vantage_trees": vantage_trees.ORACLE, "op13_collocations": collocations.ORACLE}
