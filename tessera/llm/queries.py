@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, fingerprints, kd_shards, language_id, license_scan, mixing, simhash_dedup, token_counts, toxicity, url_filter, vantage_trees
+from . import collocations, decontaminate, fingerprints, kd_shards, language_id, license_scan, mixing, simhash_dedup, token_counts, toxicity, url_filter, vantage_trees, whitening
 from .common import table, written
 
 
@@ -78,13 +78,19 @@ def op11_vantage_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vantage_trees.Index(vectors, k=10).search(vectors.where(F.col("vec_id") % 100 == 0), factor=1.0)
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = found.select(F.col("id").alias("vec_id"), "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash_dedup, op2_url_filter, op3_decontaminate, op4_kd_shards, op5_token_counts, op6_mixing, op7_license_scan, op8_language_id, op9_fingerprints, op10_toxicity, op11_vantage_trees, op13_collocations)
+    for f in (op1_simhash_dedup, op2_url_filter, op3_decontaminate, op4_kd_shards, op5_token_counts, op6_mixing, op7_license_scan, op8_language_id, op9_fingerprints, op10_toxicity, op11_vantage_trees, op12_whitening, op13_collocations)
 }
 
 ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "op6_mixing": mixing.ORACLE, "op11_vantage_trees": vantage_trees.ORACLE, "op13_collocations": collocations.ORACLE}
