@@ -28,7 +28,7 @@ from .common import quoted, written
 PIECE_ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b" \x09"
 
 #: Bytes of text whose n-grams are counted together before they become rows.
-WINDOW = 32 << 20
+WINDOW = 8 << 20
 
 #: The row that counts all words of a language, a phrase no text has.
 ALL = ""
