@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.text import combos, count_cjk, duration, has_word, joined, latin_terms, nfkc, numbers, strip
 from tessera.operators.blocks import in_range
+from tessera.operators.chunks import with_neighbours
 
 # Names in the source, what may stand for them in the target, and the label.
 KEYS = [
@@ -29,11 +30,12 @@ def neighbourhoods(dst: DataFrame, normal: bool = False) -> DataFrame:
 
     ``normal`` adds near_n, its NFKC: each block's own, joined, since nothing composes across a slash.
     """
-    around = Window.partitionBy("pair").orderBy("pos").rowsBetween(-1, 1)
     rows = dst.select("pair", "pos", joined(F.col("lines")).alias("near"))
     if normal:
         rows = rows.withColumn("near_n", nfkc(F.col("near")))
-    return rows.select("pair", "pos", *[F.array_join(F.collect_list(c).over(around), " / ").alias(c) for c in rows.columns[2:]])
+    texts = rows.columns[2:]
+    near = with_neighbours(rows, *texts)
+    return near.select("pair", "pos", *[F.concat_ws(" / ", f"before.{c}", c, f"after.{c}").alias(c) for c in texts])
 
 
 def lint(both: DataFrame, dst: DataFrame, start: int = 0, end: int = 0, cps: float = 20.0, glossary_terms: list[str] = (), kinds: list[str] = KINDS) -> DataFrame:
