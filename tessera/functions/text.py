@@ -118,18 +118,21 @@ def quote(text: str) -> str:
     return "".join("\\" + c if c in r"\.[]{}()<>*+-=!?^$|&#~ " else c for c in text)
 
 
+#: Between two characters of :data:`LATIN`, before a term and behind it: there no term begins or ends.
+INSIDE_BEFORE, INSIDE_AFTER = f"(?<![{LATIN}](?=[{LATIN}]))", f"(?!(?<=[{LATIN}])[{LATIN}])"
+
+
 def term_pattern(spellings: Iterable[str]) -> str:
-    """Any of the spellings, longest first, in any case; Latin ends must be word ends, CJK may stand inside."""
-    out = []
-    for s in sorted(spellings, key=len, reverse=True):
-        left = f"(?<![{LATIN}])" if _latin(s[0]) else ""
-        right = f"(?![{LATIN}])" if _latin(s[-1]) else ""
-        out.append(left + quote(s) + right)
-    return "(?iu)" + "|".join(out)
+    """Any of the spellings, the longest that fits, in any case; a run of Latin letters and digits is never cut."""
+    either_of = "|".join(map(quote, sorted(spellings, key=lambda s: -len(s))))
+    return f"(?iu){INSIDE_BEFORE}(?:{either_of}){INSIDE_AFTER}"
 
 
-def _latin(c: str) -> bool:
-    return c.isascii() and c.isalnum() or "À" <= c <= "ɏ" or "Ḁ" <= c <= "ỿ"
+def term_pattern_of(spellings: Column) -> Column:
+    """:func:`term_pattern` of an array column."""
+    by_size = F.array_sort(spellings, lambda a, b: F.length(b) - F.length(a))
+    quoted = F.transform(by_size, lambda s: F.regexp_replace(s, r"([\\.\[\](){}<>*+\-=!?^$|&#~ ])", r"\\$1"))
+    return F.concat(F.lit(f"(?iu){INSIDE_BEFORE}(?:"), F.array_join(quoted, "|"), F.lit(f"){INSIDE_AFTER}"))
 
 
 def has_word(word: Column, text: Column) -> Column:

@@ -62,8 +62,8 @@ def lint(both: DataFrame, dst: DataFrame, start: int = 0, end: int = 0, cps: flo
     if asked("mouse"):
         parts += [several(F.col("st").rlike(s) & ~F.col("near").rlike(d), one(4, "mouse", F.lit(name))) for s, d, name in MOUSE]
     if asked("latin_term"):
-        skip = F.array(*[F.lit(w.lower()) for w in [*SKIPPED, *glossary_terms]])
-        kept = lambda w: (F.length(w) >= 2) & w.rlike(r"^[\x00-\x7F]+$") & ~F.array_contains(skip, F.lower(w)) & ~has_word(w, F.col("near_n"))
+        skip = sorted({w.lower() for w in [*SKIPPED, *glossary_terms]})  # a hash set, however many
+        kept = lambda w: (F.length(w) >= 2) & w.rlike(r"^[\x00-\x7F]+$") & ~F.lower(w).isin(skip) & ~has_word(w, F.col("near_n"))
         # Only a text with as many CJK characters as Latin terms counts, which is cheaper to see than words are to find.
         cjk = count_cjk(F.col("st"))
         rows = rows.withColumn("terms", F.when(cjk > 0, latin_terms(F.col("st_n")))).withColumn("gone", F.when((F.size("terms") > 0) & (cjk >= F.size("terms")), F.array_distinct(F.filter("terms", kept))))

@@ -263,9 +263,39 @@ def q_glossary_counts(spark, sf_dir):
 @query(VIOLATIONS + "SELECT pair, pos, id, rule_no, cell FROM violations")
 def q_glossary_join(spark, sf_dir):
     """The same with the rules as a table."""
-    rows = [(n, r.cell, T.term_pattern(r.sources), T.term_pattern(r.targets)) for n, r in enumerate(TERMS)]
-    rules = spark.createDataFrame(rows, "rule_no int, cell string, source_re string, target_re string")
-    return R.rules_table(P.zipped(*both_sides(spark, sf_dir)), rules).select("pair", "pos", "id", "rule_no", "cell")
+    return R.indexed_violations(P.zipped(*both_sides(spark, sf_dir)), R.rules_frame(spark, TERMS)).select("pair", "pos", "id", "rule_no", "cell")
+
+
+def benchmark_rules(spark, sf_dir) -> DataFrame:
+    """Thousands of rules: any two words of a benchmark text that follow each other; the right spelling has the next one too."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)
+    each = table(spark, sf_dir, "benchmark").select(words.alias("w")).select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 2)).alias("i")).where("size(w) > 2")
+    word = lambda n: F.element_at("w", F.col("i") + n)
+    found = each.groupBy(F.concat_ws(" ", word(0), word(1)).alias("cell")).agg(F.min(word(2)).alias("next"))
+    numbers = found.withColumn("rule_no", F.row_number().over(Window.orderBy("cell")))  # as many as a benchmark has words
+    return numbers.select("rule_no", "cell", F.array("cell").alias("sources"), F.array(F.concat_ws(" ", "cell", "next")).alias("targets"))
+
+
+BOUNDED = "'(?i)(^|[^A-Za-z0-9\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}])' || %s || '($|[^A-Za-z0-9\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}])'"
+
+MANY_RULES = """
+, w AS (SELECT regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
+three AS (SELECT w[i] || ' ' || w[i + 1] AS cell, w[i + 2] AS next, w[i + 1] AS key FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+many AS (SELECT cell, min(next) AS next, min(key) AS key, CAST(row_number() OVER (ORDER BY cell) AS INTEGER) AS rule_no FROM three GROUP BY cell),
+said AS (SELECT pair, pos, unnest(list_distinct(regexp_extract_all(lower(line), '[a-z0-9]+'))) AS key FROM src),
+near AS (SELECT DISTINCT pair, pos, rule_no, cell, cell || ' ' || next AS other FROM said JOIN many USING (key))
+"""
+
+
+@query(MANY_RULES + "SELECT near.pair, near.pos, sid AS id, rule_no, cell FROM near JOIN zip ON zip.pair = near.pair AND zip.pos = near.pos WHERE contains(lower(st), cell) AND regexp_matches(st, " + BOUNDED % "cell" + ") AND NOT regexp_matches(dt, " + BOUNDED % "other" + ")")
+def q_glossary_many(spark, sf_dir):
+    """Documents and their edits against every two words of the benchmark, through the index."""
+    return R.indexed_violations(P.zipped(*both_sides(spark, sf_dir)), benchmark_rules(spark, sf_dir)).select("pair", "pos", "id", "rule_no", "cell")
+
+
+@query(MANY_RULES + "SELECT near.pair, near.pos, idx, rule_no, cell AS hit FROM near JOIN src ON src.pair = near.pair AND src.pos = near.pos WHERE contains(lower(line), cell) AND regexp_matches(regexp_replace(line, '(?i)\\b' || other || '($|[^A-Za-z0-9\\x{00C0}-\\x{024F}\\x{1E00}-\\x{1EFF}])', '#\\1', 'g'), " + BOUNDED % "cell" + ")")
+def q_asr_many(spark, sf_dir):
+    return R.indexed_asr(doc_blocks(spark, sf_dir), benchmark_rules(spark, sf_dir), "pair").select("pair", "pos", "idx", "rule_no", F.lower("hit").alias("hit"))
 
 
 WRONG = [R.Rule("on", ("on",), ("on the", "on of")), R.Rule("ein", ("ein",), ("ein mit",))]
