@@ -7,6 +7,10 @@ edited side of a document is made from it by fixed changes on some lines.
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from tessera.operators import pairing as P
 from tessera.operators import rules as R
 from tessera.operators.status import status
 from tessera.sources import srt as S
+from tessera.sources import srt_files as W
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -689,3 +694,30 @@ def q_status_reviews(spark, sf_dir):
     reviews = docs.where(F.length("name") % 2 == 1).select("name", "language", (F.length("name") % 3).alias("n_open"), at(F.lit(1500)))
     known = status(names, one.select("name", F.lit(True).alias("passed")), docs.withColumn("passed", F.lit(True)), reviews, ["xx"])
     return known.where("stage = 'trans'").select("name", "language", "state", "stale", "review", "n_open", "review_old")
+
+
+#: Documents that go into one file of q_srt_files, and bytes of a range in which it is read.
+FILE_DOCUMENTS, FILE_RANGE = 500, 1 << 18
+
+
+def shared_folder(spark) -> str:
+    """A new folder's name where the driver and all executors see it; in local mode without such a place, one of this machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top is None and not spark.conf.get("spark.master", "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{top or tempfile.gettempdir()}/tessera-{uuid.uuid4().hex}"
+
+
+@query(
+    r", plain AS (SELECT pair // %d AS file, pair, pos, idx, timing, translate(line, chr(13), ' ') AS line FROM src) "
+    "SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY pair, pos) AS INTEGER) AS pos, idx, timing, CASE WHEN regexp_full_match(line, '[ \t]*') THEN '' ELSE line END AS text FROM plain" % FILE_DOCUMENTS
+)
+def q_srt_files(spark, sf_dir):
+    """Documents written as files of 500 each and read again in ranges."""
+    blocks = doc_blocks(spark, sf_dir).withColumn("lines", F.transform("lines", lambda x: F.translate(x, "\r", " ")))
+    rows = blocks.select(F.concat(F.floor(F.col("pair") / FILE_DOCUMENTS).cast("string"), F.lit(".srt")).alias("name"), F.struct("pair", "pos").alias("pos"), "idx", "timing", "lines")
+    folder = shared_folder(spark)
+    W.write(rows, folder)
+    atexit.register(W.remove, folder)
+    found, _ = W.scan(spark, folder, FILE_RANGE)
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.srt$", 1).cast("long").alias("file"), "pos", "idx", "timing", F.array_join("lines", "\n").alias("text"))

@@ -60,7 +60,14 @@ def parse_srt(texts: DataFrame, *keys: str, text: str = "text") -> tuple[DataFra
     body = F.regexp_replace(F.regexp_replace(F.col(text), r"\A\n+", ""), r"\n+\z", "")
     void = strip(body) == ""
     chunks = texts.select(*keys, F.posexplode(F.when(~void, F.split(body, r"\n[ \t]*\n+", -1))).alias("at", "chunk"))
-    lines = chunks.select(*keys, (F.col("at") + 1).alias("pos"), F.split("chunk", "\n", -1).alias("all"))
+    blocks, errors = blocks_of(chunks.select(*keys, (F.col("at") + 1).alias("pos"), "chunk"), *keys)
+    whole = texts.select(*keys, F.lit(0).alias("pos"), F.lit(0).alias("n"), F.when(F.col(text).isNull(), "not_utf8").when(void, "empty").alias("code"), F.lit("").alias("detail")).where("code is not null")
+    return blocks, whole.unionByName(errors)
+
+
+def blocks_of(chunks: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """Blocks and their errors of chunks (keys, pos, chunk)."""
+    lines = chunks.select(*keys, "pos", F.split("chunk", "\n", -1).alias("all"))
     short = F.size("all") < 2
     blocks = lines.select(
         *keys, "pos", strip(F.col("all")[0]).alias("idx"), F.when(short, "").otherwise(strip(F.get("all", F.lit(1)))).alias("timing"),
@@ -73,8 +80,7 @@ def parse_srt(texts: DataFrame, *keys: str, text: str = "text") -> tuple[DataFra
         said(~F.col("short") & ~F.col("timing").rlike(TIMING), "bad_timing", F.col("timing")),
     ))
     errors = blocks.select(*keys, "pos", F.posexplode(faults).alias("n", "e")).select(*keys, "pos", "n", "e.*")
-    whole = texts.select(*keys, F.lit(0).alias("pos"), F.lit(0).alias("n"), F.when(F.col(text).isNull(), "not_utf8").when(void, "empty").alias("code"), F.lit("").alias("detail")).where("code is not null")
-    return blocks.drop("short"), whole.unionByName(errors)
+    return blocks.drop("short"), errors
 
 
 def read_srt(spark: SparkSession, paths: list[str] | str, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
