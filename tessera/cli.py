@@ -262,12 +262,14 @@ class Tool:
     def find(self, a) -> int:
         blocks, order = self.scan(a.files)
         try:
-            rows = B.find(blocks, a.pattern, "path", regex=a.regex).join(order, "path").orderBy("n", "pos").collect()
+            found = B.find(blocks, a.pattern, "path", regex=a.regex).cache()
+            rows = found.join(order, "path").orderBy("n", "pos").collect()
         except PySparkException as e:
             raise Refused(f"bad pattern: {a.pattern}") from e
         for r in rows:
             self.say(f"{r['name']} | {r['idx']} | {r['text']}")
-        self.say(f"{len(rows)} blocks in {order.count()} files")
+        totals = B.hit_totals(B.hits_by_file(found, order)).first()
+        self.say(f"{totals['n_blocks']} blocks in {totals['n_files']} files")
         return 0
 
     def check_asr(self, a) -> int:

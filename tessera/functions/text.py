@@ -61,6 +61,38 @@ def loose_key(lines: Column) -> Column:
     return F.lower(F.regexp_replace(F.array_join(lines, ""), r"[^\p{L}\p{N}]+", ""))
 
 
+def let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def one_digit(number: Column) -> Column:
+    """A number from 0 to 2^31 with one digit behind the point: its exact binary value, rounded half to even.
+
+    The fraction, a double that is exact, is compared with twentieths in whole numbers of 2^-52 and a rest
+    below that; a product with 20 of either is exact.
+    """
+    unit = 1 << 52
+
+    def split(x: Column) -> Column:
+        units = (x - F.floor(x)) * unit
+        return F.struct(F.floor(x).alias("whole"), F.floor(units).alias("full"), ((units - F.floor(units)) * 20).alias("rest"))
+
+    def halves(x: Column) -> Column:
+        scaled = x["full"] * 20 + F.floor(x["rest"])
+        half = F.shiftright(scaled, 52).cast("long")  # twentieths
+        exact = (half * unit == scaled) & (x["rest"] == F.floor(x["rest"]))
+        return F.struct(x["whole"].alias("whole"), half.alias("half"), exact.alias("exact"))
+
+    def rounded(x: Column) -> Column:
+        odd, down = x["half"] % 2 == 1, F.shiftright(x["half"], 1)
+        up = odd & (~x["exact"] | (down % 2 == 1))
+        return x["whole"] * 10 + down + up.cast("long")
+
+    shown = lambda t: F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+    return let(let(let(let(number, split), halves), rounded), shown)
+
+
 def is_number(text: Column) -> Column:
     return text.rlike(r"^[\p{Nd}²³¹⁰⁴-⁹₀-₉]+$")
 

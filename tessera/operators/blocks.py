@@ -74,6 +74,18 @@ def find(blocks: DataFrame, pattern: str, *keys: str, regex: bool = False) -> Da
     return rows.where(F.col("text").rlike(f"(?iu){own}"))
 
 
+def hits_by_file(hits: DataFrame, scanned: DataFrame, key: str = "path") -> DataFrame:
+    """(key, times, n_blocks) of every file that was named, ``times`` of them, with hits or without; its blocks are read once and count each time."""
+    named = scanned.groupBy(key).agg(F.count("*").alias("times"))
+    found = hits.groupBy(key).agg(F.count("*").alias("n"))
+    return named.join(found, key, "left").select(key, "times", (F.col("times") * F.coalesce("n", F.lit(0))).alias("n_blocks"))
+
+
+def hit_totals(by_file: DataFrame) -> DataFrame:
+    """(n_files, n_blocks): files as often as they were named."""
+    return by_file.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n_files"), F.coalesce(F.sum("n_blocks"), F.lit(0)).alias("n_blocks"))
+
+
 def render(blocks: DataFrame, *keys: str) -> DataFrame:
     """(keys, srt): each document as the text of a subtitle file."""
     block = F.concat_ws("\n", F.array("idx", "timing"), F.col("lines"))

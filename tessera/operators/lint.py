@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import combos, count_cjk, duration, has_word, joined, latin_terms, nfkc, numbers, strip
+from tessera.functions.text import combos, count_cjk, duration, has_word, joined, latin_terms, nfkc, numbers, one_digit, strip
 from tessera.operators.blocks import in_range
 from tessera.operators.chunks import with_neighbours
 
@@ -43,7 +43,7 @@ def lint(both: DataFrame, dst: DataFrame, start: int = 0, end: int = 0, cps: flo
 
     ``both``: aligned blocks; ``dst``: all target blocks, since neighbours outside the range count too.
     ``glossary_terms``: source spellings that are the glossary's business.  The detail of fast_read has
-    characters a second and seconds, rounded half to even to 0 and 1 digits.
+    characters a second and seconds, their exact values rounded half to even to 0 and 1 digits.
     """
     rows = both.where(in_range(start, end)).select("pair", "pos", F.col("s.idx").alias("id"), F.col("s.timing").alias("timing"), joined(F.col("s.lines")).alias("st"), F.col("d.lines").alias("lines"))
     asked = lambda *names: any(n in kinds for n in names)
@@ -71,7 +71,7 @@ def lint(both: DataFrame, dst: DataFrame, start: int = 0, end: int = 0, cps: flo
     if cps and asked("fast_read"):
         seconds = duration(F.col("timing"))
         rate = F.length(F.array_join(F.transform("lines", strip), " ")) / F.when(seconds > 0, seconds)
-        parts.append(several(F.coalesce(rate > cps, F.lit(False)), one(6, "fast_read", F.format_string("%d %.1f", F.bround(rate, 0).cast("long"), F.bround(seconds, 1)))))
+        parts.append(several(F.coalesce(rate > cps, F.lit(False)), one(6, "fast_read", F.concat_ws(" ", F.bround(rate, 0).cast("long"), one_digit(seconds)))))
     return rows.select("pair", "pos", "id", F.inline(F.flatten(F.array(*parts)) if parts else none))
 
 

@@ -20,6 +20,7 @@ from tessera.operators import lint as L
 from tessera.operators import merging as M
 from tessera.operators import pairing as P
 from tessera.operators import rules as R
+from tessera.operators.chunks import output_numbers
 from tessera.operators.status import status
 from tessera.sources import srt as S
 from tessera.sources import srt_files as W
@@ -721,3 +722,42 @@ def q_srt_files(spark, sf_dir):
     atexit.register(W.remove, folder)
     found, _ = W.scan(spark, folder, FILE_RANGE)
     return found.select(F.regexp_extract("path", r"([0-9]+)\.srt$", 1).cast("long").alias("file"), "pos", "idx", "timing", F.array_join("lines", "\n").alias("text"))
+
+
+@query("SELECT pair, pos, row_number() OVER (ORDER BY pair, pos) AS number FROM src")
+def q_output_numbers(spark, sf_dir):
+    """The line that each block has in the output of all documents."""
+    return output_numbers(doc_blocks(spark, sf_dir), "number").select("pair", "pos", "number")
+
+
+NAMED = """
+, named AS (SELECT doc_id AS pair, unnest(range(0, 1 + doc_id % 3)) AS turn FROM documents),
+hit AS (SELECT pair, count(*) AS n FROM src WHERE contains(lower(line), 'license') GROUP BY pair),
+files AS (SELECT pair, count(*) AS times, CAST(count(*) * coalesce(max(n), 0) AS BIGINT) AS n_blocks FROM named LEFT JOIN hit USING (pair) GROUP BY pair)
+"""
+
+
+def named_files(spark, sf_dir) -> DataFrame:
+    """Documents as the files of a search, some named twice or three times."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_id") % 3))).select("pair")
+
+
+@query(NAMED + "SELECT pair, times, n_blocks FROM files")
+def q_find_files(spark, sf_dir):
+    return B.hits_by_file(B.find(doc_blocks(spark, sf_dir), "license", "pair"), named_files(spark, sf_dir), "pair")
+
+
+@query(NAMED + "SELECT CAST(sum(times) AS BIGINT) AS n_files, CAST(sum(n_blocks) AS BIGINT) AS n_blocks FROM files")
+def q_find_scanned(spark, sf_dir):
+    return B.hit_totals(B.hits_by_file(B.find(doc_blocks(spark, sf_dir), "license", "pair"), named_files(spark, sf_dir), "pair"))
+
+
+@query(r"""
+, clocks AS (SELECT pair, pos, pos AS a, (pair * 7 + pos * 3) % 1000 AS ma, pos + 1 + (pair + pos) % 9 AS b, (pair * 13 + pos * 50) % 1000 AS mb FROM src)
+SELECT pair, pos, printf('%.1f', (b // 60 * 60 + CAST(printf('%02d.%03d', b % 60, mb) AS DOUBLE)) - (a // 60 * 60 + CAST(printf('%02d.%03d', a % 60, ma) AS DOUBLE))) AS seconds FROM clocks""")
+def q_seconds_shown(spark, sf_dir):
+    """Durations as a report prints them, ties among them."""
+    blocks, pair, pos = doc_blocks(spark, sf_dir), F.col("pair"), F.col("pos")
+    stamp = lambda seconds, thousandths: F.concat(F.substring(clock(seconds), 1, 9), F.lpad((thousandths % 1000).cast("string"), 3, "0"))
+    times = F.concat(stamp(pos, pair * 7 + pos * 3), F.lit(" --> "), stamp(pos + 1 + (pair + pos) % 9, pair * 13 + pos * 50))
+    return blocks.select("pair", "pos", T.one_digit(T.duration(times)).alias("seconds"))

@@ -36,9 +36,18 @@ def test_neighbours(blocks, short_chunks):
     assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
 
 
+@pytest.mark.parametrize("splits", [1, 3, 1000])
+def test_output_numbers(spark, blocks, short_chunks, monkeypatch, splits):
+    monkeypatch.setattr(chunks, "SPLITS", splits)
+    rows = blocks.withColumn("pair", F.when(F.col("pair") != 3, F.concat(F.lit("p"), "pair")))
+    got = chunks.output_numbers(rows, "n").select("pair", "pos", "n").collect()
+    order = sorted(got, key=lambda r: (r["pair"] is not None, r["pair"] or "", r["pos"]))
+    assert [r["n"] for r in order] == list(range(1, rows.count() + 1))
+
+
 def test_empty_relation(spark, short_chunks):
     none = spark.createDataFrame([], "pair long, pos int, text string")
-    assert chunks.numbered(none, "n").collect() == [] and chunks.with_neighbours(none, "text").collect() == []
+    assert chunks.numbered(none, "n").collect() == [] == chunks.output_numbers(none, "n").collect() and chunks.with_neighbours(none, "text").collect() == []
 
 
 def sides(spark, n):
