@@ -25,8 +25,10 @@ from .decontaminate import WORD_BYTES
 #: Slots for hashed features: whole words, and beginnings of so many bytes.
 SLOTS = 1 << 20
 BEGINNINGS = range(3, 9)
-#: Rows that train, in expectation at most: confirmed toxic ones, and unlabelled ones; bytes of their features at most.
-POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 8000, 64 << 20
+#: Confirmed toxic rows that train, in expectation at most; bytes of their features at most.
+POSITIVES, SAMPLE_BYTES = 3000, 64 << 20
+#: Bytes of distinct feature sets that the driver takes; more of them stay on the executors, a job for each round.
+PATTERN_BYTES = 16 << 20
 ROUNDS, RATE, DECAY = 150, 0.1, 5e-4
 #: Confirmed texts in which a feature must stand, the least factor by which it must be more frequent in
 #: them, and how many standard errors below the estimate that factor is read.
@@ -89,39 +91,80 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, counted: tuple[np.ndarray, int] | None = None) -> Model:
-    """Minimises the non-negative risk of the logistic loss by Adam over all rows.
+class Patterns:
+    """Rows of features, positions among those with a weight, each with the number of times that it stands."""
 
-    ``counted``: in how many unlabelled texts each slot stands, and how many these are; without it the
-    ``unlabelled`` rows are counted.  Without positives every score is near zero.
-    """
-    weights, bias = np.zeros(SLOTS), -2.0
+    def __init__(self, rows: list[np.ndarray], times: np.ndarray, size: int):
+        self.size, self.times, self.n = size, times, float(times.sum())
+        self.index = np.concatenate([*rows, np.zeros(0, np.int32)])
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+    def spread(self, each: np.ndarray) -> np.ndarray:
+        """A number for each row, added up at the row's features and, last, over all rows."""
+        return np.concatenate([np.bincount(self.index, weights=each[self.row], minlength=self.size), [each.sum()]])
+
+    def sums(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        """(sum of the loss of each row if it were clean, that sum's gradient)."""
+        f = np.bincount(self.row, weights=w[self.index], minlength=len(self.times)) + w[-1]
+        return float((self.times * np.logaddexp(0, f)).sum()), self.spread(self.times * sigmoid(f))
+
+
+class RemotePatterns:
+    """:class:`Patterns` that stay where they are: a table (pattern, times)."""
+
+    def __init__(self, table: DataFrame, n: int, size: int):
+        self.table, self.n, self.size = table, float(n), size
+
+    def sums(self, w: np.ndarray) -> tuple[float, np.ndarray]:
+        size = self.size
+
+        def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                loss, gradient = Patterns(unpacked(batch["pattern"]), batch["times"].to_numpy(float), size).sums(w)
+                yield pd.DataFrame({"at": np.arange(size + 2), "part": [*gradient, loss]})
+
+        added = self.table.mapInPandas(part, "at int, part double").groupBy("at").agg(F.sum("part").alias("part")).toArrow()
+        out = np.zeros(size + 2)
+        out[added.column("at").to_numpy()] = added.column("part").to_numpy()
+        return float(out[-1]), out[:-1]
+
+
+def unpacked(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32) for x in column]
+
+
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """:func:`descend` over rows of slots, features chosen by counts in these rows.  Without rows every score is near zero."""
     if not positive or not unlabelled:
-        return Model(weights, -10.0)
-    n_p, n_u = len(positive), len(unlabelled)
-    of_u, texts = counted or (slot_counts(unlabelled), n_u)
-    chosen = frequent(slot_counts(positive), n_p, of_u, texts, SURE)
-    every = [r[chosen[r]] for r in (*positive, *unlabelled)]
-    index = np.concatenate([*every, np.zeros(0, np.int32)])
-    row = np.repeat(np.arange(len(every)), [len(r) for r in every])
-    used, index = np.unique(index, return_inverse=True)
+        return Model(np.zeros(SLOTS), -10.0)
+    used = np.flatnonzero(frequent(slot_counts(positive), len(positive), slot_counts(unlabelled), len(unlabelled), SURE))
+    of = lambda rows: Patterns([at_of(used, r) for r in rows], np.ones(len(rows)), len(used))
+    return descend(of(positive), of(unlabelled), prior, used)
+
+
+def at_of(used: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Positions in ``used`` of those slots that are in it; both sorted."""
+    at = np.searchsorted(used, slots)
+    return at[(at < len(used)) & (used[np.minimum(at, len(used) - 1)] == slots)].astype(np.int32) if len(used) else np.zeros(0, np.int32)
+
+
+def descend(positive: Patterns, unlabelled: Patterns | RemotePatterns, prior: float, used: np.ndarray) -> Model:
+    """Minimises the non-negative risk of the logistic loss by Adam over all rows; ``used``: the slots of the positions."""
     w, m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    w[-1] = bias
+    w[-1] = -2.0
+    own = positive.spread(positive.times)  # the loss of a row as toxic is the one as clean less its sum of weights
     for t in range(1, ROUNDS + 1):
-        f = np.bincount(row, weights=w[:-1][index], minlength=n_p + n_u) + w[-1]
-        s = sigmoid(f)
-        loss_negative = np.logaddexp(0, f)
-        negative = loss_negative[n_p:].mean() - prior * loss_negative[:n_p].mean()
-        grad = np.empty(n_p + n_u)
+        loss_p, s_p = positive.sums(w)
+        loss_u, s_u = unlabelled.sums(w)
+        negative = loss_u / unlabelled.n - prior * loss_p / positive.n
         if negative >= 0:
-            grad[:n_p] = prior * (s[:n_p] - 1) / n_p - prior * s[:n_p] / n_p
-            grad[n_p:] = s[n_p:] / n_u
+            g = prior * (s_p - own) / positive.n - prior * s_p / positive.n + s_u / unlabelled.n
         else:  # the negative part went below zero: step back out of it
-            grad[:n_p] = prior * s[:n_p] / n_p
-            grad[n_p:] = -s[n_p:] / n_u
-        g = np.concatenate([np.bincount(index, weights=grad[row], minlength=len(used)) + DECAY * w[:-1], [grad.sum()]])
+            g = prior * s_p / positive.n - s_u / unlabelled.n
+        g[:-1] += DECAY * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    weights = np.zeros(SLOTS)
     weights[used] = w[:-1]
     return Model(weights, float(w[-1]))
 
@@ -155,26 +198,46 @@ def sample(rows: DataFrame, most_bytes: int = SAMPLE_BYTES) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), np.int32) for x in found]
 
 
-def count_texts(rows: DataFrame, only: np.ndarray, n: int = 0) -> np.ndarray:
-    """In how many of all n rows (``text``) each slot stands, for the slots ``only`` (a mask); for others n."""
+def slots_in(rows: DataFrame, only: np.ndarray) -> DataFrame:
+    """(slots) of each row (``text``): those of the slots ``only`` (a mask) that stand in it, packed."""
     used = np.flatnonzero(only).astype(np.int32)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        wanted, times = np.zeros(SLOTS, bool), np.zeros(SLOTS, np.int64)
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        wanted = np.zeros(SLOTS, bool)
         wanted[used] = True
         slots = Slots(wanted)
         for batch in batches:
-            for t in batch["text"]:
-                times[slots.text(t)] += 1
+            yield pd.DataFrame({"slots": [slots.text(t).tobytes() for t in batch["text"]]})
+
+    return rows.select("text").mapInPandas(packed, "slots binary")
+
+
+def count_slots(rows: DataFrame) -> np.ndarray:
+    """In how many of the rows (``slots``, packed) each slot stands."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        times = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            times += np.bincount(np.frombuffer(b"".join(batch["slots"]), np.int32), minlength=SLOTS)
         some = np.flatnonzero(times)
         yield pd.DataFrame({"slot": some, "times": times[some]})
 
-    out = np.where(only, 0, n)
-    found = rows.select("text").mapInPandas(count, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    found = rows.mapInPandas(count, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("times")).toArrow()
     out[found.column("slot").to_numpy()] = found.column("times").to_numpy()
     return out
 
 
+def patterns(rows: DataFrame, used: np.ndarray) -> DataFrame:
+    """(pattern, times): the distinct sets of features with a weight, as positions in ``used``, and how many rows have each."""
+
+    def restricted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"pattern": [at_of(used, s).tobytes() for s in unpacked(batch["slots"])]})
+
+    return rows.mapInPandas(restricted, "pattern binary").groupBy("pattern").agg(F.count("*").alias("times"))
+
+
 def frequent(of_p: np.ndarray, n_p: int, of_u: np.ndarray, n_u: int, sure: float) -> np.ndarray:
     """Slots that are ``LEAST_LIFT`` times as frequent in the confirmed texts, ``sure`` standard errors below the estimate."""
     out = of_p >= LEAST_TEXTS
@@ -193,30 +256,38 @@ def slot_counts(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def fit(
-    documents: DataFrame, labels: DataFrame, trains: Column, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", positives: int | None = None, unlabelled: int | None = None
+    documents: DataFrame, labels: DataFrame, trains: Column, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", positives: int | None = None
 ) -> Model:
     """The classifier from the documents for which ``trains`` (over ``doc_id``) holds.
 
-    Confirmed toxic: label 1, about ``positives`` rows at most (else ``POSITIVES``); unlabelled: any document,
-    about ``unlabelled`` rows at most (else ``UNLABELLED``); both chosen by hash, and no more than their features fill
-    ``SAMPLE_BYTES``.  Features are chosen by their counts in all unlabelled rows, but for those that the
-    sample excludes by ``2 SURE`` standard errors.  The class prior is the share of label 1 among the
-    labelled documents.  A document with several labels is toxic if one of them is 1; an (id, text)
-    that repeats is sampled once.  Null ids and labels are left out of training, null texts are
-    empty.  Only the chosen documents' texts are shuffled.
+    Confirmed toxic: label 1, about ``positives`` rows at most (else ``POSITIVES``), chosen by hash, and no more
+    than their features fill ``SAMPLE_BYTES``.  Unlabelled: every document, repeated ones as often as they stand.
+    The class prior is the share of label 1 among the labelled documents.  A document with several labels is
+    toxic if one of them is 1; a confirmed (id, text) that repeats is taken once.  Null ids and labels are left
+    out of training, null texts are empty.  Only the confirmed documents' texts are shuffled.
     """
-    positives, unlabelled = positives or POSITIVES, unlabelled or UNLABELLED
+    positives = positives or POSITIVES
     own = documents.select(quoted(id_column).alias("doc_id"), quoted(text_column).cast("string").alias("text")).where(F.col("doc_id").isNotNull() & trains)
     known = labels.select(quoted(id_column).alias("doc_id"), quoted(label_column).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & trains)
     known = written(known.groupBy("doc_id").agg(F.max("label").alias("label")), "known-labels")
     counts = known.agg(F.count("*"), F.count(F.when(F.col("label") == 1, 1))).first()
     prior = counts[1] / counts[0] if counts[0] else 0.0
     toxic = known.where((F.col("label") == 1) & low(F.col("doc_id"), positives / max(1, counts[1]))).select("doc_id")
-    positive, n = sample(own.join(F.broadcast(toxic), "doc_id", "left_semi")), own.count()  # about `positives` ids
-    some = sample(own.where(low(F.xxhash64("doc_id", "text"), unlabelled / max(1, n))))
-    of_p, of_s = slot_counts(positive), slot_counts(some)
-    may = frequent(of_p, len(positive), of_s, len(some), -2 * SURE)
-    return train(positive, some, prior, (count_texts(own, may, n), n) if may.any() else None)
+    positive = sample(own.join(F.broadcast(toxic), "doc_id", "left_semi"))  # about `positives` ids
+    if not positive:
+        return train([], [], prior)
+    of_p = slot_counts(positive)
+    rows = written(slots_in(own, of_p >= LEAST_TEXTS), "text-slots")
+    n = rows.count()
+    used = np.flatnonzero(frequent(of_p, len(positive), count_slots(rows), n, SURE))
+    sets = written(patterns(rows, used), "feature-sets")
+    size = sets.agg(F.sum(F.octet_length("pattern") + 8)).first()[0] or 0
+    if size <= PATTERN_BYTES:
+        held = sets.toArrow()
+        unlabelled = Patterns(unpacked(x.as_buffer() for x in held.column("pattern")), held.column("times").to_numpy().astype(float), len(used))
+    else:
+        unlabelled = RemotePatterns(sets, n, len(used))
+    return descend(Patterns([at_of(used, r) for r in positive], np.ones(len(positive)), len(used)), unlabelled, prior, used)
 
 
 def learns(ident: Column) -> Column:
