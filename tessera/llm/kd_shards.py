@@ -137,8 +137,9 @@ def kd_shards(
     with fewer rows than shards some stay empty, and an empty table gives no rows.  Null ids and texts and
     repeated rows are rows like any other; rows that repeat id and text go to one shard.  Equal texts
     share a shard unless that costs over ``GROUP_SLACK`` of a node.  Dimensions lie between -2^61 and 2^61.
-    Other columns stay, whatever their names, but for ``shard_column`` and ``slot_column``, which must be new.
+    Other columns stay, whatever their names, but for ones named like ``shard_column`` and ``slot_column``, which give way.
     """
+    documents = documents.drop(*[quoted(c) for c in documents.columns if c.lower() in (shard_column.lower(), slot_column.lower())])
     names = fresh(documents, "size", "node", "text_hash", "row_hash", "part", "before", "s", "p")
     n_size, n_node, n_text, n_row, n_part, n_before, n_s, n_p = names
     text = quoted(text_column).cast("string")
@@ -171,8 +172,6 @@ def kd_shards(
     counts = placed.join(shard_of, "node").groupBy("shard", part).count()
     order = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("shard").alias(n_s), F.col("part").alias(n_p), F.coalesce(F.sum("count").over(order), F.lit(0)).alias(n_before))
-    if fixed := [c for c in (shard_column, slot_column) if c.lower() in {x.lower() for x in documents.columns}]:
-        raise ValueError(f"{fixed} are columns already")
     # The same cuts on the documents themselves: their other columns never went through the tree.
     renamed = {"node": n_node, "text_hash": n_text, "row_hash": n_row, "size": n_size} | {d: fresh(documents, f"dim{i}")[0] for i, d in enumerate(d_names)}
     own = documents.select("*", *[F.coalesce(d.cast("long"), F.lit(0)).alias(renamed[a]) for d, a in zip(dims, d_names, strict=True)], text_hash.alias(n_text), row_hash.alias(n_row), F.lit(1).cast("long").alias(n_node))
