@@ -904,3 +904,12 @@ def test_toxicity_bounds_the_sample(spark):
     wide = rows.withColumn("toxic", F.lit("x")).withColumn("_name", F.lit(1))
     kept = toxicity.remove_toxic(wide, repeated)
     assert kept.columns == wide.columns
+
+
+def test_columns_named_like_a_shard_give_way(spark):
+    documents = spark.createDataFrame([(i, "x" * i, "old", i, 0.5) for i in range(12)], "doc_id long, text string, Shard string, slot int, node double")
+    got = kd_shards.kd_shards(documents, shards=2)
+    assert got.columns == ["doc_id", "text", "node", "shard", "slot"] and dict(got.dtypes)["shard"] == "int"
+    rows = got.collect()
+    assert sorted(r["doc_id"] for r in rows) == list(range(12))
+    assert all(sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows))) for s in (0, 1))
