@@ -97,7 +97,7 @@ class Tool:
             self.faults(faults)
             return 1
         if self.ws.inside(a.out) is not None:
-            raise Refused("split writes outside the workspace; clean and translate with parts and text")
+            raise Refused("split writes outside the workspace; edits of its files go by parts and text")
         Path(a.out).mkdir(parents=True, exist_ok=True)
         for old in Path(a.out).glob("part_*.srt"):
             old.unlink()
