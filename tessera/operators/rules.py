@@ -4,10 +4,10 @@ Few rules come as a literal list, each with patterns compiled once; a block meet
 projection.  Many rules are a table with an index: each spelling stands under one of its keys, a block's
 text has keys of its own, and only where they are equal the pattern is tried.
 
-A key is a whole run of characters of ``RUN``, or one or two characters beside each other that are neither
-in ``RUN`` nor white space.  All case forms of a character of ``RUN`` are in ``RUN``, and all of ``RUN``
-bounds words, so that a term that stands in a text has its runs there as whole runs, and its other
-characters side by side: no hit is lost.
+A key is two runs of characters of ``RUN`` that follow each other, one whole run, or one or two characters
+beside each other that are neither in ``RUN`` nor white space.  All case forms of a character of ``RUN`` are
+in ``RUN``, and all of ``RUN`` bounds words, so that a term that stands in a text has its runs there as whole
+runs in the same order, and its other characters side by side: no hit is lost.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import joined, term_pattern, term_pattern_of
+from tessera.functions.text import joined, let, term_pattern, term_pattern_of
 from tessera.operators.blocks import in_range
 
 
@@ -99,6 +99,10 @@ def runs_of(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(f"[{RUN}]+"), 0), folded)
 
 
+def pairs_of(runs: Column) -> Column:
+    return F.zip_with(F.slice(runs, F.lit(1), F.greatest(F.size(runs) - 1, F.lit(0))), F.slice(runs, F.lit(2), F.size(runs)), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def others_of(text: Column, size: int) -> Column:
     """The ``size`` characters beside each other outside of ``RUN`` and white space, everywhere in a text."""
     pieces = F.filter(F.regexp_extract_all(text, F.lit(rf"(?U)[^{RUN}\s]+"), 0), lambda p: F.length(p) >= size)
@@ -106,16 +110,18 @@ def others_of(text: Column, size: int) -> Column:
 
 
 def keys_of(text: Column) -> Column:
-    return F.array_distinct(F.concat(runs_of(text), others_of(text, 1), others_of(text, 2)))
+    runs = let(runs_of(text), lambda r: F.concat(r, pairs_of(r)))
+    return F.array_distinct(F.concat(runs, others_of(text, 1), others_of(text, 2)))
 
 
 def index_of(rules: DataFrame) -> DataFrame:
     """(key, rule columns): a row for each rule and key; a spelling's key is the one that the fewest spellings have, of those the longest.
 
-    Spellings with runs go by a run, others by two characters, or the one that they have.
+    Spellings with runs go by two of them, or the one that they have, others by two characters or one.
     """
     each = rules.select("*", F.explode(F.array_distinct("sources")).alias("_s"))
-    own = F.array_distinct(F.coalesce(*[F.when(F.size(k) > 0, k) for k in (runs_of(F.col("_s")), others_of(F.col("_s"), 2), others_of(F.col("_s"), 1))]))
+    spelling = F.col("_s")
+    own = F.array_distinct(F.coalesce(*[F.when(F.size(k) > 0, k) for k in (pairs_of(runs_of(spelling)), runs_of(spelling), others_of(spelling, 2), others_of(spelling, 1))]))
     keyed = each.select("rule_no", "_s", F.explode(own).alias("key"))
     rare = keyed.join(keyed.groupBy("key").agg(F.count("*").alias("_n")), "key")
     chosen = rare.groupBy("rule_no", "_s").agg(F.min(F.struct("_n", (-F.length("key")).alias("_l"), "key")).alias("m")).select("rule_no", F.col("m.key").alias("key")).distinct()
